@@ -42,7 +42,7 @@ def sketches(shingled: DataFrame, share: float) -> DataFrame:
     """(h, item_id): each item's k least hashes, k set by the bound of its size partition."""
     upper = F.pow(F.lit(2), F.floor(F.log2(F.size("shingles"))) + 1) - 1
     k = (F.floor((1 - share) * upper + 1e-9) + 1).cast("int")
-    hashes = F.array_sort(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))
+    hashes = F.sort_array(F.transform("shingles", lambda s: F.xxhash64(F.split(s, " "))))
     return shingled.select("item_id", F.explode(F.slice(hashes, F.lit(1), k)).alias("h"))
 
 

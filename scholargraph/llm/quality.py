@@ -41,10 +41,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     split = text.withColumn("words", F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, SPACE)))
     split = split.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]")))
     split = split.withColumn("n_words", F.size("words"))
-    split = split.withColumn("windows", F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(1), F.col("n_words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))).otherwise(F.array().cast("array<bigint>")))
+    listed = sorted({w for v in COMMON.values() for w in v})
     lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     common = F.coalesce(F.try_element_at(lists, F.col("lang")), F.array(*[F.lit(w) for w in sorted({w for v in COMMON.values() for w in v[:4]})]))
-    split = split.withColumn("common", common).withColumn("seen", F.filter("words", lambda w: F.length(w) <= 5)).withColumn("seen", F.array_sort(F.filter("seen", lambda w: F.array_contains("common", w))))
+    windows = F.when(F.col("n_words") >= 5, F.transform(F.sequence(F.lit(1), F.col("n_words") - 4), lambda i: F.xxhash64(F.slice("words", i, 5)))).otherwise(F.array().cast("array<bigint>"))
+    # in one projection with `windows`, which is used more than once: Spark then evaluates `seen` once, too
+    split = split.select("*", windows.alias("windows"), common.alias("common"), F.filter("words", lambda w: w.isin(listed)).alias("seen"))
     n_lower, n_upper = _kept(F.col("text"), "[^a-z]+"), _kept(F.col("text"), "[^A-Z]+")
     counted = split.select(
         "doc_id", "lang", F.col("n_words").cast("long").alias("n_words"),
@@ -52,13 +54,13 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         _kept(F.col("text"), "[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.array().cast("array<struct<h:bigint,i:int>>"))
-        .otherwise(F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
+        .otherwise(F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
         n_lower.alias("n_lower"), n_upper.alias("n_upper"), _kept(F.col("text"), "[^0-9]+").alias("n_digit"),
         _kept(F.col("text"), "[\\x00-\\x7F]+").alias("n_other"), F.length("text").cast("long").alias("n_chars"),
         F.transform("common", lambda c: F.size(F.filter("seen", lambda w: w == c))).alias("common_counts"),
     )
     twice = F.filter("sorted", lambda x, i: (x["h"] == F.get("sorted", i - 1)["h"]) | (x["h"] == F.get("sorted", i + 1)["h"]))
-    placed = counted.withColumn("places", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("sorted")
+    placed = counted.withColumn("places", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("sorted")
     # a window covers five words, or as many as come before the next one found twice
     gaps = F.transform("places", lambda p, i: F.least(F.lit(5), F.coalesce(F.get("places", i + 1) - p, F.lit(5))))
     repeated = F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long")
@@ -83,7 +85,7 @@ def _distance(ps: list[Column], qs: list[Column]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), reduce(add, [0.5 * half(p, q) + 0.5 * half(q, p) for p, q in zip(ps, qs)])))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, most_chars: float = 0.25, most_words: float = 0.45, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, most_chars: float = 0.25, most_words: float = 0.295, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: counts, base_failed, kept, and the distances char_jsd and word_jsd.
 
     ``kept`` is false if base_failed, or if the text has ``min_words`` words and a distance over its

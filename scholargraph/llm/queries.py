@@ -21,17 +21,102 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer(), 4096, 1)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.pii import find
+
+    return find(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.quality import quality_rules
+
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.lines import clean_lines
+
+    return clean_lines(_read(spark, sf_dir, "documents"), min_sites=10, min_words=3).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.toxicity import scored
+
+    return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.decontamination import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), share=0.8, width=5)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholargraph.llm.tokens import token_counts
 
     return token_counts(_read(spark, sf_dir, "documents"), _tokenizer(), 2048)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.licenses import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scholargraph.llm.simhash import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), width=4, distance=4, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_counts, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_personal_data,
+        op3_quality_rules,
+        op4_token_counts,
+        op5_line_dedup,
+        op6_toxicity,
+        op7_license_scan,
+        op8_secret_scan,
+        op9_simhash,
+        op10_decontamination,
+    )
+}
+
+_OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+b AS (
+  SELECT line, min(doc_id * 1000000000 + pos) FILTER (WHERE doc_id IS NOT NULL) AS first FROM l
+  WHERE regexp_matches(line, '([^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]+){2}[^ \t\n\x0b\f\r]')
+  GROUP BY line HAVING count(DISTINCT source) >= 10),
+r AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(b.line) FILTER (WHERE l.doc_id * 1000000000 + l.pos <> b.first) AS n_removed,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE b.line IS NULL OR l.doc_id * 1000000000 + l.pos = b.first), '') AS text
+  FROM l LEFT JOIN b ON l.line = b.line GROUP BY l.doc_id)
+SELECT d.doc_id, r.text, coalesce(r.n_lines, 0) AS n_lines, coalesce(r.n_removed, 0) AS n_removed FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+_OP10_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL),
+s AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n.n_shingles) AS n_shingles, count(*) / any_value(n.n_shingles) AS containment
+FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING count(*) / any_value(n.n_shingles) >= 0.8
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5_SQL, "op10_decontamination": _OP10_SQL}
