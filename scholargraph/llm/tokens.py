@@ -1,131 +1,95 @@
 """Token counts from distinct pre-tokens: no token ids are made for the documents.
 
-1. Each block of documents (an Arrow batch) yields its distinct pre-tokens, each with a posting: the
-   documents that hold it and how often.
-2. Postings are dealt out by the pre-token's hash and sorted by pre-token, so each distinct pre-token
-   meets its postings in one place and is encoded once: a merge join of the distinct pre-tokens' piece
-   counts with the per-document frequencies. A very frequent pre-token has one posting per block, not
-   one row per document.
-3. Products are summed by document.
+1. Pre-tokens are counted over all documents, and the pieces of each distinct one are counted once:
+   a table (word, times, n).
+2. Per-document frequencies are joined with that table and summed. The most frequent pre-tokens, a
+   bounded part of the table, are joined where the text is read; each document's other pre-tokens are
+   joined by a shuffle. Those are rare, so no key of that join is hot.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections import Counter
-from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.llm.tokenizing import words_of
+from scholargraph.plans.cutpoints import written
 
-#: Sums held by a task before it hands them on.
-HELD = 2_000_000
-
-POSTINGS = "deal int, word string, block long, docs binary, times binary"
-SUMS = "block long, row int, doc_id long, n_bytes long, n_tokens long"
-
-
-def _postings(batches, tokenizer):
-    """Rows (deal, word, block, docs, times); the null word heads a block: doc ids, their validity, bytes."""
-    words = words_of(tokenizer)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = batch.column(0)[0].as_py()
-        found: list[Counter] = []
-        sizes = np.zeros(batch.num_rows, "<i8")
-        for k, text in enumerate(batch.column(2)):
-            text = text.as_py() or ""
-            sizes[k] = len(text.encode())
-            found.append(Counter(words.split(text)))
-        number: dict[str, int] = {}
-        for c in found:
-            for w in c:
-                number.setdefault(w, len(number))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        of_word = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int32, total)
-        times = np.fromiter(chain.from_iterable(c.values() for c in found), np.int32, total)
-        docs = np.repeat(np.arange(len(found), dtype=np.int32), lengths)
-        order = np.argsort(of_word, kind="stable")
-        ends = np.cumsum(np.bincount(of_word, minlength=len(number))) if total else np.zeros(0, np.int64)
-        narrow = "<u2" if batch.num_rows <= 65536 else "<u4"
-        doc_bytes, wide = docs[order].astype(narrow).tobytes(), times[order]
-        size, out, at = int(narrow[-1]), [[], [], [], [], []], 0
-        for w, end in zip(number, ends.tolist()):
-            t = wide[at:end]
-            freq = t.astype("u1").tobytes() if t.max() < 256 else t.astype("<u4").tobytes()
-            for col, v in zip(out, (zlib.crc32(w.encode()) & 0x7FFFFFFF, w, block, doc_bytes[at * size : end * size], freq)):
-                col.append(v)
-            at = end
-        ids = batch.column(1)
-        head = np.array([x.as_py() or 0 for x in ids], "<i8").tobytes(), np.array([x.is_valid for x in ids], "u1").tobytes() + sizes.tobytes()
-        for col, v in zip(out, (zlib.crc32(struct.pack("<q", block)) & 0x7FFFFFFF, None, block, *head)):
-            col.append(v)
-        types = (pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary())
-        step = 20_000
-        for k in range(0, len(out[0]), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + step], t) for c, t in zip(out, types)], ["deal", "word", "block", "docs", "times"])
-
-
-def _sums(batches, tokenizer):
-    """Counts each distinct pre-token once, as its run begins, and sums the products by document."""
-    words, last, n, sums, held = words_of(tokenizer), None, 0, {}, 0
-
-    def rows(block, row, doc, size, tokens):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((block, row, doc, size, tokens), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["block", "row", "doc_id", "n_bytes", "n_tokens"])
-
-    def handed():
-        for block, total in sums.items():
-            row = np.flatnonzero(total)
-            yield rows(np.full(len(row), block), row.astype(np.int32), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.int64()), total[row])
-
-    for batch in batches:
-        col = [c.to_pylist() for c in batch.columns]
-        new = [w for w in dict.fromkeys(col[1]) if w is not None and w != last]
-        count = dict(zip(new, words.counts(new)))
-        if last is not None:
-            count[last] = n
-        for word, block, docs, times in zip(*col[1:]):
-            if word is None:
-                size = len(docs) // 8
-                valid = np.frombuffer(times[:size], "u1")
-                yield rows(np.full(size, block), np.arange(size, dtype=np.int32), pa.array(np.frombuffer(docs, "<i8"), mask=valid == 0), np.frombuffer(times[size:], "<i8"), np.zeros(size, np.int64))
-                continue
-            last, n = word, count[word]
-            narrow = 2 if len(docs) in (2 * len(times), len(times) // 2) else 4
-            at = np.frombuffer(docs, f"<u{narrow}")
-            freq = np.frombuffer(times, "u1" if len(times) == len(at) else "<u4")
-            need = int(at[-1]) + 1
-            if block not in sums:
-                sums[block] = np.zeros(max(need, 1024), np.int64)
-                held += len(sums[block])
-            if len(sums[block]) < need:
-                more = np.zeros(2 * need, np.int64)
-                more[: len(sums[block])] = sums[block]
-                held += len(more) - len(sums[block])
-                sums[block] = more
-            sums[block][at] += freq.astype(np.int64) * n
-        if held > HELD:
-            yield from handed()
-            sums, held = {}, 0
-    yield from handed()
-
-
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Pre-tokens sent to every executor at most, and their longest.
+KNOWN, KNOWN_CHARS = 300_000, 40
+
+
+def pre_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """(word, times): the distinct pre-tokens of all texts."""
+
+    def run(batches):
+        words = words_of(tokenizer)
+        for batch in batches:
+            count: Counter = Counter()
+            for text in batch.column(0):
+                if text.is_valid:
+                    count.update(words.split(text.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], ["word", "times"])
+
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+def pieces_of(words: DataFrame, tokenizer: str) -> DataFrame:
+    """``words`` (word, times) with ``n``, the number of the word's tokens."""
+
+    def run(batches):
+        split = words_of(tokenizer)
+        for batch in batches:
+            n = split.counts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], ["word", "times", "n"])
+
+    return words.mapInArrow(run, "word string, times long, n int")
+
+
+def most_frequent(pieces: DataFrame, known: int) -> dict[str, int]:
+    """word: n of at most ``known`` words, those whose frequency is above a bound."""
+    short = pieces.filter(F.length("word") <= KNOWN_CHARS)
+    step = F.floor(8 * F.log2("times"))
+    total, least = 0, None
+    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
+        total += r["count"]
+        if total > known:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    return {r[0]: r[1] for r in short.filter(step >= least).select("word", "n").collect()}  # at most `known` rows
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     A null text is empty: no bytes, no tokens. Null and repeated ids keep a row each.
     """
-    spark = docs.sparkSession
+    pieces = written(pieces_of(pre_tokens(docs, tokenizer, text_col), tokenizer), "pieces")
+    table = most_frequent(pieces, known)
+    names = ["row_id", "doc_id", "n_bytes", "n_known", "rare"]
+    rare_type = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())]))
+
+    def run(batches):
+        words = words_of(tokenizer)
+        for batch in batches:
+            sizes, sums, rest = [], [], []
+            for text in batch.column(2):
+                text = text.as_py() or ""
+                found = words.split(text)
+                rare = Counter(w for w in found if w not in table)
+                sizes.append(len(text.encode()))
+                sums.append(sum(table[w] for w in found if w in table) if rare else sum(map(table.__getitem__, found)))
+                rest.append([{"word": w, "times": n} for w, n in rare.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(rest, rare_type)], names)
+
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    posted = numbered.mapInArrow(lambda b: _postings(b, tokenizer), POSTINGS)
-    dealt = posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "deal").sortWithinPartitions("word")
-    sums = dealt.mapInArrow(lambda b: _sums(b, tokenizer), SUMS)
-    by_row = sums.groupBy("block", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
-    return by_row.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = written(numbered.mapInArrow(run, "row_id long, doc_id long, n_bytes long, n_known long, rare array<struct<word:string,times:int>>"), "counted")
+    rare = counted.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.times")
+    more = rare.join(pieces.select("word", "n"), "word").groupBy("row_id").agg(F.sum(F.col("times") * F.col("n")).alias("n_rare"))
+    n_tokens = F.col("n_known") + F.coalesce("n_rare", F.lit(0))
+    return counted.drop("rare").join(more, "row_id", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
