@@ -1,9 +1,10 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, calibrated by isotonic regression.
 
 Features: densities of a lexicon, its nearness to second-person words, capitals, punctuation and
-obfuscation. The lexicon is learned, too: words that are much likelier in toxic texts and occur in a
-fixed share of them, so that no group of copies can add its own words. Everything is fitted on a
-bounded sample of labelled rows: one part for lexicon and trees, another for the calibration.
+obfuscation. The lexicon is learned, too: words and stems (first letters of longer words) that are much
+likelier in toxic texts and occur in a fixed share of them. Near copies count as one text there, so that
+a group of copies can't add its own words. Everything is fitted on a bounded sample of labelled rows:
+one part for lexicon and trees, another for the calibration.
 """
 
 from __future__ import annotations
@@ -33,17 +34,34 @@ NAMES = (
     "log_words", "lexicon_density", "lexicon_hits", "lexicon_distinct", "lexicon_window", "near_second_person", "second_person_density",
     "capitals", "shouted_words", "exclamations", "marks", "symbols", "digits", "obfuscated_density", "obfuscated_hits", "stretched_density",
 )
+#: Lengths of stems; a stem is written with a mark before it.
+STEMS, MARK = (4, 5), "^"
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-_MASKED = re.compile(r"[A-Za-z]+(?:[0-9@$!*._-][A-Za-z]+)+")
+_MASKED = re.compile(r"(?<![A-Za-z])[A-Za-z]++(?:[0-9@$!*._-][A-Za-z]++)++")  # possessive: linear on long runs of letters
 _STRETCHED = re.compile(r"([A-Za-z])\1{3}")
 
 
-def text_features(text: str, lexicon: frozenset[str], near: int = 5, window: int = 50) -> list[float]:
+class Listed(dict):
+    """Whether a word or one of its stems is in the lexicon; keeps what it has looked up, up to a bound."""
+
+    def __init__(self, lexicon: frozenset[str], most: int = 300_000):
+        super().__init__()
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, word: str) -> bool:
+        found = word in self.lexicon or any(MARK + word[:n] in self.lexicon for n in STEMS if len(word) > n)
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found
+        return found
+
+
+def text_features(text: str, listed: Listed, near: int = 5, window: int = 50) -> list[float]:
     """The features named in NAMES; an empty text has zeros."""
     words = _WORD.findall(text.lower())
     n = max(1, len(words))
-    hits = [i for i, w in enumerate(words) if w in lexicon]
+    hits = [i for i, w in enumerate(words) if listed[w]]
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     close = thick = 0
     if hits:
@@ -60,7 +78,7 @@ def text_features(text: str, lexicon: frozenset[str], near: int = 5, window: int
         float(np.log1p(len(words))), len(hits) / n, float(np.log1p(len(hits))), float(len({words[i] for i in hits})), float(thick), close / n, len(you) / n,
         upper / max(1, upper + lower), len(_SHOUT.findall(text)) / n, int(count[33]) / chars, int(count[[44, 46, 58, 59, 63]].sum()) / chars,
         int(count[[35, 36, 37, 38, 42, 60, 62, 124]].sum()) / chars, int(count[48:58].sum()) / chars,
-        len(masked) / n, float(sum(w in lexicon for w in masked)), len(_STRETCHED.findall(text)) / n,
+        len(masked) / n, float(sum(listed[w] for w in masked)), len(_STRETCHED.findall(text)) / n,
     ]
 
 
@@ -70,8 +88,9 @@ def with_features(docs: DataFrame, lexicon: frozenset[str], text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def run(batches):
+        listed = Listed(lexicon)
         for batch in batches:
-            made = [text_features(t.as_py() or "", lexicon) for t in batch.column(at)]
+            made = [text_features(t.as_py() or "", listed) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
@@ -102,14 +121,22 @@ class Toxicity:
 
 
 def learn_lexicon(labelled: DataFrame, least_share: float = 0.03, least_odds: float = 8.0, most: int = 300) -> frozenset[str]:
-    """Words in ``least_share`` of the toxic texts of ``labelled`` (text, y) and ``least_odds`` times likelier there."""
-    totals = labelled.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    pos, neg = float(totals[0] or 0), float(totals[1] or 0)
-    words = labelled.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
-    counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    """Words and stems in ``least_share`` of the toxic texts of ``labelled`` (text, y) and ``least_odds`` times likelier there.
+
+    Texts with the same least hash of eight-word shingles, as near copies mostly have, count once.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
+    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 8)))
+    split = labelled.select("y", words.alias("w")).filter(F.size("w") > 0).select("y", F.array_min(shingles).alias("sig"), "w")
+    totals = split.groupBy("y").agg(F.countDistinct("sig").alias("n")).collect()  # two rows
+    pos, neg = (float(sum(r.n for r in totals if r.y == y)) for y in (1.0, 0.0))
+    stems = [F.when(F.length("w") > n, F.concat(F.lit(MARK), F.substring("w", 1, n))) for n in STEMS]
+    each = split.select("y", "sig", F.explode(F.array_distinct("w")).alias("w"))
+    entries = each.select("y", "sig", F.explode(F.array_compact(F.array("w", *stems))).alias("e")).distinct()
+    counts = entries.groupBy("e").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     odds = (F.col("p") / (pos + 1)) / ((F.col("n") + 1) / (neg + 1))
-    chosen = counts.filter((F.col("p") >= max(3, least_share * pos)) & (odds >= least_odds)).orderBy(odds.desc(), "w").limit(most)
-    return frozenset(r[0] for r in chosen.select("w").collect())  # at most `most` words
+    chosen = counts.filter((F.col("p") >= max(3, least_share * pos)) & (odds >= least_odds)).orderBy(odds.desc(), "e").limit(most)
+    return frozenset(r[0] for r in chosen.select("e").collect())  # at most `most` entries
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", trees: int = 20, depth: int = 3) -> Toxicity:
