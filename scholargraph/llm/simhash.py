@@ -1,9 +1,11 @@
-"""SimHash near-duplicates: pigeonhole blocks, verified by Hamming distance, joined to components.
+"""SimHash near-duplicates: blocks of fingerprints, verified by Hamming distance, joined to components.
 
-Fingerprints within ``distance`` d of each other agree on at least k - d of any k blocks, so each
-fingerprint is keyed by every choice of k - d blocks and close pairs share a key. k grows with the
-number of distinct fingerprints, so that unrelated ones seldom share a key; the result is the same for
-any k. Equal fingerprints are one node from the start.
+A fingerprint of 64 bits is keyed by pigeonhole: fingerprints within ``distance`` d of each other agree
+on at least k - d of any k blocks, so each is keyed by every choice of k - d blocks and close pairs share
+a key for certain. k grows with the number of distinct fingerprints, so that unrelated ones seldom share
+a key; the result is the same for any k. A wider fingerprint tells similarities apart more finely; the
+distances that go with a similarity of 0.8 are too large for pigeonhole then, so its keys are plain
+blocks, of which close pairs share one with high probability. Equal fingerprints are one node.
 
 A bucket may hold a third of all fingerprints (a large group of near copies), so pairs within buckets
 are never listed. Two linear passes find the components without losing a link between different ones:
@@ -22,59 +24,70 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.operators.components import components
 from scholargraph.plans.cutpoints import written
 
-_SPACES = b" \t\n\x0b\x0c\r"
 #: Shingle hashes turned to bits at once.
-_CHUNK = 65_536
-
-
-def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
-    """Bit b is 1 if it is set in over half of the hashes of the text's word shingles; no words: zero."""
+_CHUNK = 4_080
+#: What a similarity of 0.8 of five-word shingles needs: bits, and the distance that it has on average.
+WIDE, WIDE_DISTANCE = 768, 116
+
+
+def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
+    """(hashes, k): the hashes themselves and k - 1 further independent ones made of each."""
+    if k == 1:
+        return hashes[:, None]
+    with np.errstate(over="ignore"):
+        x = hashes[:, None] + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    x[:, 0] = hashes
+    return x
+
+
+def _ones(hashes: np.ndarray, k: int) -> np.ndarray:
+    """How many of the hashes have each of the 64 k bits set; bytes of ones are added eight at a time."""
+    total = np.zeros(64 * k, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        made = _derived(hashes[at : at + _CHUNK], k)
+        lanes = np.unpackbits(made.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 255 ones fit a byte
+        total += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return total
+
+
+def fingerprint(text: str, width: int = 4, seed: int = 42, bits: int = 64) -> list[int]:
+    """Words of 64 bits; a bit is 1 if it is set in over half of the hashes of the text's word shingles.
+
+    Fewer than ``width`` words are one shingle; no words give zero.
+    """
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return [0] * (bits // 64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return h(joined, seed)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))[: len(words) - width + 1].tolist()
-    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), _CHUNK):
-        part = hashes[k : k + _CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - width + 1)].tolist()
+    hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, (ends[min(width, len(words)) - 1 :] - 1).tolist())), np.uint64, len(starts))
+    return np.packbits(2 * _ones(hashes, bits // 64) > len(hashes), bitorder="little").view("<u8").tolist()
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every document, fp a signed long. A null text has no words: fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, w) of every document, w signed longs. A null text has no words: fingerprint zero."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py() or "", width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            made = np.array([fingerprint(t.as_py() or "", width, seed, bits) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.int64()))], ["doc_id", "w"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, w array<long>")
 
 
-def _keys(nodes: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """``nodes`` with one row per choice of blocks: ``choice`` and ``key``, the chosen blocks' bits."""
-    bounds = [64 * k // blocks for k in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), blocks - distance):
-        mask = sum(((1 << bounds[b + 1]) - (1 << bounds[b])) for b in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    return nodes.withColumn("c", F.explode(choices)).select(*nodes.columns, "c.choice", "c.key")
-
-
-def _near(a, b, distance: int):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -85,52 +98,88 @@ def blocks_for(n: int, distance: int) -> int:
     return k
 
 
-def link_components(nodes: DataFrame, distance: int = 4, blocks: int | None = None, part_rows: int = 20_000) -> DataFrame:
-    """(fp, component) for distinct fingerprints ``nodes`` (fp); component is the least fp it reaches."""
-    blocks = blocks or blocks_for(nodes.count(), distance)
-    keyed = _keys(nodes.select("fp"), distance, blocks)
-    shared = written(keyed.groupBy("choice", "key").agg(F.min("fp").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+def _pigeonhole_keys(distance: int, blocks: int) -> list[Column]:
+    bounds = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [sum((1 << bounds[b + 1]) - (1 << bounds[b]) for b in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+    return [F.get("w", F.lit(0)).bitwiseAND(F.lit(_signed(m))) for m in masks]
+
+
+def _block_keys(bits: int, size: int) -> list[Column]:
+    """Blocks of ``size`` bits; none crosses a word's edge, what is left of a word is not used."""
+    each = 64 // size
+    return [F.get("w", F.lit(k)).bitwiseAND(F.lit(_signed(((1 << size) - 1) << (size * j)))) for k in range(bits // 64) for j in range(each)]
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000) -> DataFrame:
+    """(node, component) for distinct fingerprints ``nodes`` (node, w); component is the least node it reaches."""
+    n = nodes.count()
+    keys = _pigeonhole_keys(distance, blocks or blocks_for(n, distance)) if bits == 64 else _block_keys(bits, max(21, n.bit_length() + 2))
+    choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
+    # the first word goes along: with 64 bits it decides, else it drops most pairs that met by chance
+    head_distance = distance if bits == 64 else min(31, round(64 * distance / bits + 8))
+    keyed = nodes.select("node", F.get("w", F.lit(0)).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(u, v) of (u, v, hu, hv), those that are close indeed."""
+        close = pairs.filter(F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance).select("u", "v").filter("u <> v")
+        if bits == 64:
+            return close
+        wide = [nodes.select(F.col("node").alias(a), F.col("w").alias(f"w{a}")) for a in "uv"]
+        both = close.distinct().join(wide[0], "u").join(wide[1], "v")
+        return both.filter(_apart(F.col("wu"), F.col("wv")) <= distance).select("u", "v")
+
+    shared = written(keyed.groupBy("choice", "key").agg(F.min(F.struct("node", "head")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(keyed.join(shared, ["choice", "key"]), "members")
-    star = members.filter(_near("fp", "least", distance) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    part = F.when(F.col("n") > part_rows, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / part_rows)))
-    order = Window.partitionBy("choice", "key", part).orderBy("fp")  # a large bucket is dealt to parts
-    chain = members.withColumn("before", F.lag("fp").over(order)).filter(_near("fp", "before", distance)).select(F.col("fp").alias("u"), F.col("before").alias("v"))
-    first = written(components(star.union(chain)), "first")
+    star = members.select(F.col("node").alias("u"), F.col("least.node").alias("v"), F.col("head").alias("hu"), F.col("least.head").alias("hv"))
+    part = F.when(F.col("n") > part_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / part_rows)))
+    order = Window.partitionBy("choice", "key", part).orderBy("node")  # a large bucket is dealt to parts
+    chain = members.withColumn("before", F.lag(F.struct("node", "head")).over(order)).filter("before is not null").select(F.col("node").alias("u"), F.col("before.node").alias("v"), F.col("head").alias("hu"), F.col("before.head").alias("hv"))
+    first = written(components(verified(star.union(chain))), "first")
     # second pass: only buckets that hold several components
-    known = members.join(first, members["fp"] == first["node"], "left").select("choice", "key", "n", "fp", F.coalesce("component", "fp").alias("comp"))
-    known = written(known, "known")
+    known = written(members.join(first.withColumnRenamed("node", "f"), members["node"] == F.col("f"), "left").select("choice", "key", "n", "head", "node", F.coalesce("component", "node").alias("comp")), "known")
     groups = known.groupBy("choice", "key", "comp").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"))
-    parts = F.ceil(F.col("n") / part_rows).cast("int")
-    open_ = written(known.join(mixed, ["choice", "key"]).withColumn("parts", parts), "open")
-    left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", F.col("fp").alias("u"), F.col("comp").alias("cu"))
-    right = open_.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("choice", "key", "p", F.col("fp").alias("v"), F.col("comp").alias("cv"))
-    more = left.join(right, ["choice", "key", "p"]).filter((F.col("cu") != F.col("cv")) & _near("u", "v", distance)).select("cu", "cv")
-    joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    out = nodes.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("comp"))
-    return out.join(joined, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("component", "comp").alias("component"))
+    open_ = written(known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")), "open")
+    left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("head").alias("hu"))
+    right = open_.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("head").alias("hv"))
+    met = left.join(right, ["choice", "key", "p"]).filter((F.col("cu") != F.col("cv")) & (F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance))
+    of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
+    more = met.select("cu", "cv") if bits == 64 else verified(met).join(of("u"), "u").join(of("v"), "v").select("cu", "cv")
+    joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "j")
+    return of("node").join(joined, F.col("cnode") == F.col("j"), "left").select("node", F.coalesce("component", "cnode").alias("component"))
+
+
+def _grouped(docs: DataFrame, width: int, distance: int, seed: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, w, component_id) of every document."""
+    marked = written(fingerprints(docs, width, seed, bits, id_col, text_col).withColumn("node", F.get("w", F.lit(0)) if bits == 64 else F.xxhash64("w")), "fingerprints")
+    nodes = written(marked.groupBy("node").agg(F.any_value("w").alias("w"), F.min("doc_id").alias("least_id")), "nodes")
+    linked = written(nodes.select("node", "least_id").join(link_components(nodes.select("node", "w"), distance, bits), "node"), "linked")
+    ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(ids, "component").select("node", "component_id")
+    return marked.join(named, "node").select("doc_id", "w", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex digits), component_id (least doc_id reachable).
 
     Null ids keep a row each; a component of null ids only has a null component_id. Documents without
     words all have fingerprint zero and are linked like any others.
     """
-    marked = written(fingerprints(docs, width, seed, id_col, text_col), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    linked = written(nodes.join(link_components(nodes, distance), "fp"), "linked")
-    ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.array_join(F.transform("w", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    return _grouped(docs, width, distance, seed, bits, id_col, text_col).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, distance: int = WIDE_DISTANCE, seed: int = 42, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose id is the least of their component; all of ``docs``' columns.
 
+    By default documents are near-duplicates at a similarity of about 0.8 of their five-word shingles.
     Rows that repeat a kept id and its text stay as one; rows with a null id can't be told from each
     other and all stay.
     """
-    keep = near_duplicates(docs, width, distance, seed, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = _grouped(docs, width, distance, seed, bits, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
     return kept.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(id_col).isNull()))
