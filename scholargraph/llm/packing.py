@@ -223,7 +223,7 @@ def pack(parts: DataFrame, capacity: int, salts: int | None = None) -> DataFrame
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "salt").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")) - 1
-    ranked = salted.withColumn("own", own).join(maybe_broadcast(before, len(histogram) * salts), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
+    ranked = salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "salt")
     places = spark.createDataFrame(made.places, PLACES)
     at = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["rank_from"]) & (ranked["rank"] < places["rank_to"])
     within = F.col("rank") - F.col("rank_from")
