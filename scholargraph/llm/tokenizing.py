@@ -24,7 +24,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Words:
     """Splits texts into pre-tokens and encodes single pre-tokens, with a bounded memo of ids."""
 
-    def __init__(self, path: str, most_kept: int = 1_000_000):
+    def __init__(self, path: str, most_kept: int = 500_000):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
