@@ -16,15 +16,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     A node's out-degree counts all its edges, also those to targets that are no nodes and parallel ones
     of another type; what flows to such targets is lost, and rank without a way out is not handed round.
-    Edges stay cached by source; a round shuffles only the summed contributions.
+    Edges stay cached by source, in its order: a round sorts and shuffles only the summed contributions.
     """
     keys = ["root_id", "id"]
     n = nodes.groupBy("root_id").agg(F.count("*").alias("n"))
-    base = nodes.select(*keys).join(n, "root_id").select(*keys, "n").repartition(*keys).persist()
+    base = nodes.select(*keys).join(n, "root_id").select(*keys, "n").repartition(*keys).sortWithinPartitions(*keys).persist()
     out = edges.groupBy("root_id", "from_id").agg(F.count("*").alias("out"))
     kept = edges.join(base.select("root_id", F.col("id").alias("to_id")), ["root_id", "to_id"], "left_semi")
     by_pair = kept.groupBy("root_id", "from_id", "to_id").agg(F.count("*").alias("times")).join(out, ["root_id", "from_id"])
-    flows = by_pair.select("root_id", F.col("from_id").alias("id"), "to_id", (F.lit(damping) * F.col("times") / F.col("out")).alias("share")).repartition(*keys).persist()
+    flows = by_pair.select("root_id", F.col("from_id").alias("id"), "to_id", (F.lit(damping) * F.col("times") / F.col("out")).alias("share")).repartition(*keys).sortWithinPartitions(*keys).persist()
     ranks = base.select(*keys, (F.lit(1.0) / F.col("n")).alias("score"))
     for i in range(iterations):
         sent = ranks.join(flows, keys).groupBy("root_id", F.col("to_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))

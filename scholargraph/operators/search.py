@@ -30,7 +30,7 @@ def search_keyword(docs: DataFrame, queries: DataFrame, per_source: int = 20, k1
     stats = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     tf = sized.select("id", "source", "len", F.explode("t").alias("term")).groupBy("id", "source", "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("source", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, ["source", "term"]).join(F.broadcast(stats), "source").join(wanted, "term")
+    joined = tf.join(df, ["source", "term"]).join(stats, "source").join(wanted, "term")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = joined.groupBy("query_id", "source", "id").agg(F.sum(part).alias("score"))
