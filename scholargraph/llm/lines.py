@@ -63,5 +63,7 @@ def clean_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3, margin
 
 
 def remove_boilerplate(docs: DataFrame, **how) -> DataFrame:
-    """The columns of ``docs`` only."""
-    return clean_lines(docs, **how).select(*docs.columns)
+    """The columns of ``docs`` only, also where they are named n_lines or n_removed."""
+    away = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = clean_lines(docs.withColumnsRenamed(away), **how).drop("n_lines", "n_removed")
+    return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)

@@ -110,14 +110,14 @@ class Toxicity:
     calibration: Model | None
     rate: float
 
-    def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with a calibrated ``score``, 0 to 1; all rows, in any state, get one."""
+    def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
+        """``docs`` with a calibrated score, 0 to 1, as ``name``; all rows, in any state, get one."""
         if self.trees is None:
-            return docs.withColumn("score", F.lit(self.rate))
+            return docs.withColumn(name, F.lit(self.rate))
         made = with_features(docs, self.lexicon, text_col, "__features").withColumn("__vector", array_to_vector("__features"))
         raw = self.trees.transform(made).withColumn("__raw", vector_to_array("__probability")[1])
         out = self.calibration.transform(raw)
-        return out.select(*docs.columns, F.least(F.greatest("__score", F.lit(0.0)), F.lit(1.0)).alias("score"))
+        return out.select(*[c for c in docs.columns if c != name], F.least(F.greatest("__score", F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def learn_lexicon(labelled: DataFrame, least_share: float = 0.03, least_odds: float = 8.0, most: int = 300) -> frozenset[str]:
@@ -171,4 +171,4 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def keep_clean(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under 0.5, with its columns."""
-    return model.score(docs, text_col).filter(F.col("score") < 0.5).select(*docs.columns)
+    return model.score(docs, text_col, "__toxicity").filter(F.col("__toxicity") < 0.5).select(*docs.columns)

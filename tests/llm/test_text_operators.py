@@ -267,7 +267,7 @@ def lines_brute(docs, sites=10, words=3):
 
 
 def test_line_dedup(spark, real, odd):
-    from scholargraph.llm.lines import clean_lines
+    from scholargraph.llm.lines import clean_lines, remove_boilerplate
 
     rnd = random.Random(8)
     common = [f"a shared line number {i}" for i in range(12)] + ["", "two words", "  ", "The end."]
@@ -277,6 +277,8 @@ def test_line_dedup(spark, real, odd):
     for sites in (3, 9, 10, 11, 13):
         out = clean_lines(df, min_sites=sites)
         assert collections.Counter((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()) == lines_brute([(m[0], m[1], m[3]) for m in made], sites)
+    kept = remove_boilerplate(odd)
+    assert kept.columns == odd.columns and {r.n_lines for r in kept.select("n_lines").collect()} == {"clash"}
     out = clean_lines(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()

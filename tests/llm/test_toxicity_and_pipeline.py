@@ -63,7 +63,9 @@ def test_odd_rows_get_scores(spark, odd):  # noqa: F811
     assert keep_clean(odd, fit(odd, labels)).columns == odd.columns
     docs, labels = corpus(spark, 600)
     model = fit(docs, labels)
-    assert len(model.score(odd.drop("score")).select("score").collect()) == odd.count()
+    assert len(model.score(odd).select("score").collect()) == odd.count()
+    clean = keep_clean(odd, model)
+    assert clean.columns == odd.columns and {r.score for r in clean.select("score").collect()} == {"clash"}
 
 
 def similar_brute(docs, width=5, least=0.8):
