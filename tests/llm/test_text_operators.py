@@ -147,6 +147,48 @@ def test_quality_base(request, which):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_distances(real, odd):
+    """Distances and verdicts against the definition, computed in plain Python."""
+    from math import log2, sqrt
+
+    from scholargraph.llm.quality import COMMON, quality_rules
+
+    pooled_list = sorted({w for v in COMMON.values() for w in v[:4]})
+
+    def shares(text, lang):
+        chars, w = max(1, len(text)), re.findall(r"[^\x20\x09-\x0D]+", text)
+        space = sum(c in " \t\n\x0b\x0c\r" for c in text)
+        n = [sum(a <= c <= b for c in text) for a, b in ("az", "AZ", "09")] + [space]
+        other = sum(ord(c) > 127 for c in text)
+        n += [len(text) - sum(n) - other, other]
+        listed = COMMON.get(lang, pooled_list)
+        words = [w.count(x) for x in listed][:16]
+        words += [0] * (16 - len(words))
+        total = max(1, len(w))
+        return [x / chars for x in n], [x / total for x in words] + [(total - sum(words)) / total], len(w)
+
+    def distance(p, q):
+        half = lambda a, b: a * log2(2 * a / (a + b)) if a > 0 else 0.0
+        return sqrt(max(0.0, sum(0.5 * half(a, b) + 0.5 * half(b, a) for a, b in zip(p, q))))
+
+    for df in (real, odd):
+        docs = [(r.doc_id, r.text or "", r.lang) for r in df.select("doc_id", "text", "lang").collect()]
+        made = [(d, lang, *shares(t, lang)) for d, t, lang in docs]
+        mean = lambda rows, k: [sum(r[k][i] for r in rows) / len(rows) for i in range(len(rows[0][k]))] if rows else None
+        far = [m for m in made if m[4] >= 50]
+        refs = {x: [m for m in far if m[1] == x] for x in COMMON} | {"": far}
+        refs = {x: (mean(r, 2), mean(r, 3)) for x, r in refs.items()}
+        want = []
+        for (d, t, lang), m in zip(docs, made):
+            ref = refs[lang if lang in COMMON else ""]
+            c, w = (distance(a, b if b else [0.0] * len(a)) for a, b in ((m[2], ref[0]), (m[3], ref[1])))
+            b = quality_base(t)
+            failed = b[0] < 10 or 100 * b[4] > 20 * b[0]
+            want.append((str(d), round(c, 6), round(w, 6), not failed and not (m[4] >= 50 and (c > 0.25 or w > 0.295))))
+        got = [(str(r.doc_id), round(r.char_jsd, 6), round(r.word_jsd, 6), r.kept) for r in quality_rules(df).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_quality_verdict(spark):
     from scholargraph.llm.quality import quality_rules
 
