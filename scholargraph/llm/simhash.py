@@ -5,21 +5,25 @@ on at least k - d of any k blocks, so each is keyed by every choice of k - d blo
 a key for certain. k grows with the number of distinct fingerprints, so that unrelated ones seldom share
 a key; the result is the same for any k. A wider fingerprint tells similarities apart more finely; the
 distances that go with a similarity of 0.8 are too large for pigeonhole then, so its keys are plain
-blocks, of which close pairs share one with high probability. Equal fingerprints are one node.
+blocks, a few bits longer than their number asks for, of which close pairs share one with high
+probability. Equal fingerprints are one node.
 
 A bucket may hold a third of all fingerprints (a large group of near copies), so pairs within buckets
 are never listed. Two linear passes find the components without losing a link between different ones:
 
 1. In each bucket, every fingerprint is compared with the bucket's least one and with the one before it
-   in order. Verified links give first components, which already join almost all of a large group.
+   in order (of wide ones each takes its few likeliest partners of all buckets). Verified links give first
+   components, which already join almost all of a large group.
 2. In each bucket that still holds several components, members outside the bucket's largest component
    are compared with all its members, in salted parts. Links inside one component are not needed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -105,32 +109,41 @@ def _pigeonhole_keys(distance: int, blocks: int) -> list[Column]:
 
 
 def _block_keys(bits: int, size: int) -> list[Column]:
-    """Blocks of ``size`` bits; none crosses a word's edge, what is left of a word is not used."""
-    each = 64 // size
-    return [F.get("w", F.lit(k)).bitwiseAND(F.lit(_signed(((1 << size) - 1) << (size * j)))) for k in range(bits // 64) for j in range(each)]
+    """All whole blocks of ``size`` bits, across the words' edges."""
+    keys = []
+    for at in range(0, bits - size + 1, size):
+        k, low = divmod(at, 64)
+        key = F.shiftrightunsigned(F.get("w", F.lit(k)), low)
+        if low + size > 64:
+            key = key.bitwiseOR(F.shiftleft(F.get("w", F.lit(k + 1)), 64 - low))
+        keys.append(key.bitwiseAND(F.lit((1 << size) - 1)))
+    return keys
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _apart(a: str, b: str, bits: int) -> Column:
+    """Differing bits of two fingerprints; a sum of plain expressions, so that it stays compiled."""
+    return reduce(add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)])
 
 
 def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000) -> DataFrame:
     """(node, component) for distinct fingerprints ``nodes`` (node, w); component is the least node it reaches."""
     n = nodes.count()
-    keys = _pigeonhole_keys(distance, blocks or blocks_for(n, distance)) if bits == 64 else _block_keys(bits, max(21, n.bit_length() + 2))
+    keys = _pigeonhole_keys(distance, blocks or blocks_for(n, distance)) if bits == 64 else _block_keys(bits, min(60, n.bit_length() + 2))
     choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
     # the first word goes along: with 64 bits it decides, else it drops most pairs that met by chance
     head_distance = distance if bits == 64 else min(31, round(64 * distance / bits + 8))
     keyed = nodes.select("node", F.get("w", F.lit(0)).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(u, v) of (u, v, hu, hv), those that are close indeed."""
-        close = pairs.filter(F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance).select("u", "v").filter("u <> v")
+    def verified(pairs: DataFrame, best: int = 6) -> DataFrame:
+        """(u, v) of (u, v, hu, hv), those that are close indeed; of wide ones each u's likeliest only."""
+        apart = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv")))
+        close = pairs.filter((F.col("u") != F.col("v")) & (apart <= head_distance))
         if bits == 64:
-            return close
+            return close.select("u", "v")
+        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(apart.alias("d"), "v"))), 1, best).alias("s"))  # two a block at most
         wide = [nodes.select(F.col("node").alias(a), F.col("w").alias(f"w{a}")) for a in "uv"]
-        both = close.distinct().join(wide[0], "u").join(wide[1], "v")
-        return both.filter(_apart(F.col("wu"), F.col("wv")) <= distance).select("u", "v")
+        both = few.select("u", F.explode("s.v").alias("v")).join(wide[0], "u").join(wide[1], "v")
+        return both.filter(_apart("wu", "wv", bits) <= distance).select("u", "v")
 
     shared = written(keyed.groupBy("choice", "key").agg(F.min(F.struct("node", "head")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(keyed.join(shared, ["choice", "key"]), "members")
@@ -143,13 +156,18 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
     known = written(members.join(first.withColumnRenamed("node", "f"), members["node"] == F.col("f"), "left").select("choice", "key", "n", "head", "node", F.coalesce("component", "node").alias("comp")), "known")
     groups = known.groupBy("choice", "key", "comp").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"))
-    open_ = written(known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")), "open")
-    left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("head").alias("hu"))
-    right = open_.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("head").alias("hv"))
-    met = left.join(right, ["choice", "key", "p"]).filter((F.col("cu") != F.col("cv")) & (F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance))
-    of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
-    more = met.select("cu", "cv") if bits == 64 else verified(met).join(of("u"), "u").join(of("v"), "v").select("cu", "cv")
+    open_ = known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+    if bits > 64:
+        open_ = open_.join(nodes, "node")
+    open_ = written(open_, "open")
+    own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}"), *([F.col("w").alias(f"w{a}")] if bits > 64 else [])]
+    left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
+    right = open_.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"))
+    near = (F.col("cu") != F.col("cv")) & (F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance)
+    near = near & (_apart("wu", "wv", bits) <= distance) if bits > 64 else near
+    more = left.join(right, ["choice", "key", "p"]).filter(near).select("cu", "cv")
     joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "j")
+    of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
     return of("node").join(joined, F.col("cnode") == F.col("j"), "left").select("node", F.coalesce("component", "cnode").alias("component"))
 
 
