@@ -4,9 +4,10 @@ A fingerprint of 64 bits is keyed by pigeonhole: fingerprints within ``distance`
 on at least k - d of any k blocks, so each is keyed by every choice of k - d blocks and close pairs share
 a key for certain. k grows with the number of distinct fingerprints, so that unrelated ones seldom share
 a key; the result is the same for any k. A wider fingerprint tells similarities apart more finely; the
-distances that go with a similarity of 0.8 are too large for pigeonhole then, so its keys are plain
-blocks, a few bits longer than their number asks for, of which close pairs share one with high
-probability. Equal fingerprints are one node.
+distances that go with a similarity of 0.8 are too large for pigeonhole then, so its keys are pairs of
+short blocks, as many as a pair of texts at 0.8 needs to share one in 99 of 100 cases, whatever the
+table's size. A loose Hamming limit drops pairs that met by chance; the exact similarity of the texts'
+sets of word shingles decides. Equal fingerprints are one node.
 
 A bucket may hold a third of all fingerprints (a large group of near copies), so pairs within buckets
 are never listed. Two linear passes find the components without losing a link between different ones:
@@ -36,8 +37,12 @@ from scholargraph.plans.cutpoints import written
 
 #: Shingle hashes turned to bits at once.
 _CHUNK = 4_080
-#: What a similarity of 0.8 of five-word shingles needs: bits, and the distance that it has on average.
-WIDE, WIDE_DISTANCE = 768, 116
+#: Bits for a similarity of 0.8 of shingles, and a distance that hardly any such pair exceeds: 116.4 is
+#: the mean at 0.8, 9.9 the standard deviation.
+WIDE, WIDE_DISTANCE = 768, 160
+#: Keys of wide fingerprints: each block of so many bits with those so many blocks on. 228 keys of 20 bits;
+#: with 0.1515 of the bits differing, as at 0.8, a simulated pair shares one in 0.993 of the cases.
+_BLOCK, _STEPS = 10, (1, 3, 7)
 
 
 def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -67,7 +72,8 @@ def _ones(hashes: np.ndarray, k: int) -> np.ndarray:
 def fingerprint(text: str, width: int = 4, seed: int = 42, bits: int = 64) -> list[int]:
     """Words of 64 bits; a bit is 1 if it is set in over half of the hashes of the text's word shingles.
 
-    Fewer than ``width`` words are one shingle; no words give zero.
+    Fewer than ``width`` words are one shingle; no words give zero. A wide fingerprint stands for the set
+    of shingles, as similarity does: repeats count once.
     """
     words = text.encode().lower().split()
     if not words:
@@ -76,18 +82,21 @@ def fingerprint(text: str, width: int = 4, seed: int = 42, bits: int = 64) -> li
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: max(1, len(words) - width + 1)].tolist()
     hashes = np.fromiter((h(joined[a:b], seed) for a, b in zip(starts, (ends[min(width, len(words)) - 1 :] - 1).tolist())), np.uint64, len(starts))
+    if bits > 64:
+        hashes = np.unique(hashes)
     return np.packbits(2 * _ones(hashes, bits // 64) > len(hashes), bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, w) of every document, w signed longs. A null text has no words: fingerprint zero."""
+    """(doc_id, th, w) of every document, w signed longs, th a hash of the text. A null text has no words: fingerprint zero."""
 
     def run(batches):
         for batch in batches:
-            made = np.array([fingerprint(t.as_py() or "", width, seed, bits) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.int64()))], ["doc_id", "w"])
+            made = np.array([fingerprint(t.as_py(), width, seed, bits) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(made), pa.list_(pa.int64()))], ["doc_id", "th", "w"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, w array<long>")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th")).mapInArrow(run, "doc_id long, th long, w array<long>")
 
 
 def _signed(mask: int) -> int:
@@ -108,16 +117,57 @@ def _pigeonhole_keys(distance: int, blocks: int) -> list[Column]:
     return [F.get("w", F.lit(0)).bitwiseAND(F.lit(_signed(m))) for m in masks]
 
 
-def _block_keys(bits: int, size: int) -> list[Column]:
-    """All whole blocks of ``size`` bits, across the words' edges."""
-    keys = []
-    for at in range(0, bits - size + 1, size):
-        k, low = divmod(at, 64)
-        key = F.shiftrightunsigned(F.get("w", F.lit(k)), low)
-        if low + size > 64:
-            key = key.bitwiseOR(F.shiftleft(F.get("w", F.lit(k + 1)), 64 - low))
-        keys.append(key.bitwiseAND(F.lit((1 << size) - 1)))
-    return keys
+def shingles(text: str, width: int) -> frozenset[bytes]:
+    """The set that similarity compares; fewer than ``width`` words are one shingle, no words none."""
+    words = text.encode().lower().split()
+    return frozenset(b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def block_pairs(w: np.ndarray) -> np.ndarray:
+    """(rows, keys) of fingerprints (rows, words): whole numbers that tell the pair of blocks and its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")
+    n = bits.shape[1] // _BLOCK
+    blocks = bits[:, : n * _BLOCK].reshape(len(w), n, _BLOCK) @ (1 << np.arange(_BLOCK, dtype=np.int64))
+    keys = [(blocks << _BLOCK) | np.roll(blocks, -step, axis=1) for step in _STEPS]
+    return np.concatenate(keys, axis=1) + (np.arange(n * len(_STEPS), dtype=np.int64) << 2 * _BLOCK)
+
+
+def _wide_keyed(nodes: DataFrame) -> DataFrame:
+    """(node, head, choice, key); the key tells the choice, too."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                w = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                keys = block_pairs(w)
+                times = keys.shape[1]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), times)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(w[:, 0], times)), pa.array(keys.ravel())], ["node", "head", "key"])
+
+    return nodes.select("node", "w").mapInArrow(run, "node long, head long, key long").select("node", "head", F.lit(0).cast("short").alias("choice"), "key")
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The rows of ``pairs`` (u, v, ...) whose texts' shingles have that similarity. ``nodes`` has (node, th), ``texts`` (th, text)."""
+    pairs = written(pairs, "pairs")
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "th"), "node")
+    found = written(texts.join(met, "th").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+    schema = pairs.schema
+
+    def run(batches):
+        for batch in batches:
+            keep, last, a = [], None, frozenset()
+            for tu, tv in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
+                if tv != last:  # rows of a v follow one another
+                    last, a = tv, shingles(tv, width)
+                b = shingles(tu, width)
+                shared = len(a & b)
+                keep.append(a == b or shared >= similarity * (len(a) + len(b) - shared))
+            yield batch.select(schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, schema)
 
 
 def _apart(a: str, b: str, bits: int) -> Column:
@@ -125,25 +175,34 @@ def _apart(a: str, b: str, bits: int) -> Column:
     return reduce(add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)])
 
 
-def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000) -> DataFrame:
-    """(node, component) for distinct fingerprints ``nodes`` (node, w); component is the least node it reaches."""
-    n = nodes.count()
-    keys = _pigeonhole_keys(distance, blocks or blocks_for(n, distance)) if bits == 64 else _block_keys(bits, min(60, n.bit_length() + 2))
-    choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
+def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000, texts: DataFrame | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, component) for distinct fingerprints ``nodes`` (node, w); component is the least node it reaches.
+
+    Wide ones need ``texts`` (th, text) and th in ``nodes``, for the exact similarity.
+    """
     # the first word goes along: with 64 bits it decides, else it drops most pairs that met by chance
-    head_distance = distance if bits == 64 else min(31, round(64 * distance / bits + 8))
-    keyed = nodes.select("node", F.get("w", F.lit(0)).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
+    head_distance = distance if bits == 64 else round(64 * distance / bits + 8)
+    if bits == 64:
+        keys = _pigeonhole_keys(distance, blocks or blocks_for(nodes.count(), distance))
+        choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
+        keyed = nodes.select("node", F.get("w", F.lit(0)).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
+    else:
+        keyed = _wide_keyed(nodes)
+
+    def close_indeed(pairs: DataFrame) -> DataFrame:
+        """Of wide ones (u, v, ...), those that are within the distance and similar."""
+        wide = [nodes.select(F.col("node").alias(a), F.col("w").alias(f"w{a}")) for a in "uv"]
+        near = pairs.join(wide[0], "u").join(wide[1], "v").filter(_apart("wu", "wv", bits) <= distance).select(*pairs.columns)
+        return _similar(near, nodes, texts, width, similarity)
 
-    def verified(pairs: DataFrame, best: int = 6) -> DataFrame:
+    def verified(pairs: DataFrame, best: int = 4) -> DataFrame:
         """(u, v) of (u, v, hu, hv), those that are close indeed; of wide ones each u's likeliest only."""
         apart = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv")))
         close = pairs.filter((F.col("u") != F.col("v")) & (apart <= head_distance))
         if bits == 64:
             return close.select("u", "v")
-        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(apart.alias("d"), "v"))), 1, best).alias("s"))  # two a block at most
-        wide = [nodes.select(F.col("node").alias(a), F.col("w").alias(f"w{a}")) for a in "uv"]
-        both = few.select("u", F.explode("s.v").alias("v")).join(wide[0], "u").join(wide[1], "v")
-        return both.filter(_apart("wu", "wv", bits) <= distance).select("u", "v")
+        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(apart.alias("d"), "v"))), 1, best).alias("s"))  # two a key at most
+        return close_indeed(few.select("u", F.explode("s.v").alias("v")))
 
     shared = written(keyed.groupBy("choice", "key").agg(F.min(F.struct("node", "head")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(keyed.join(shared, ["choice", "key"]), "members")
@@ -157,47 +216,50 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
     groups = known.groupBy("choice", "key", "comp").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"))
     open_ = known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
-    if bits > 64:
-        open_ = open_.join(nodes, "node")
     open_ = written(open_, "open")
-    own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}"), *([F.col("w").alias(f"w{a}")] if bits > 64 else [])]
+    own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}")]
     left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
     right = open_.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"))
     near = (F.col("cu") != F.col("cv")) & (F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance)
-    near = near & (_apart("wu", "wv", bits) <= distance) if bits > 64 else near
-    more = left.join(right, ["choice", "key", "p"]).filter(near).select("cu", "cv")
+    more = left.join(right, ["choice", "key", "p"]).filter(near)
+    if bits > 64:
+        more = close_indeed(more.select("u", "v", "cu", "cv").distinct())
+    more = more.select("cu", "cv")
     joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "j")
     of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
     return of("node").join(joined, F.col("cnode") == F.col("j"), "left").select("node", F.coalesce("component", "cnode").alias("component"))
 
 
-def _grouped(docs: DataFrame, width: int, distance: int, seed: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+def _grouped(docs: DataFrame, width: int, distance: int, seed: int, bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, w, component_id) of every document."""
     marked = written(fingerprints(docs, width, seed, bits, id_col, text_col).withColumn("node", F.get("w", F.lit(0)) if bits == 64 else F.xxhash64("w")), "fingerprints")
-    nodes = written(marked.groupBy("node").agg(F.any_value("w").alias("w"), F.min("doc_id").alias("least_id")), "nodes")
-    linked = written(nodes.select("node", "least_id").join(link_components(nodes.select("node", "w"), distance, bits), "node"), "linked")
+    nodes = written(marked.groupBy("node").agg(F.any_value("w").alias("w"), F.any_value("th").alias("th"), F.min("doc_id").alias("least_id")), "nodes")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    links = link_components(nodes.select("node", "w", "th"), distance, bits, texts=docs.select(F.xxhash64(text).alias("th"), text.alias("text")), width=width, similarity=similarity)
+    linked = written(nodes.select("node", "least_id").join(links, "node"), "linked")
     ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = linked.join(ids, "component").select("node", "component_id")
     return marked.join(named, "node").select("doc_id", "w", "component_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex digits), component_id (least doc_id reachable).
 
     Null ids keep a row each; a component of null ids only has a null component_id. Documents without
-    words all have fingerprint zero and are linked like any others.
+    words all have fingerprint zero and are linked like any others. Wide fingerprints (``bits`` over 64)
+    find candidates only: two texts are linked if their shingles have the ``similarity``, exactly.
     """
     digits = F.array_join(F.transform("w", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
-    return _grouped(docs, width, distance, seed, bits, id_col, text_col).select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _grouped(docs, width, distance, seed, bits, similarity, id_col, text_col).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, distance: int = WIDE_DISTANCE, seed: int = 42, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, width: int = 5, distance: int = WIDE_DISTANCE, seed: int = 42, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The documents whose id is the least of their component; all of ``docs``' columns.
 
-    By default documents are near-duplicates at a similarity of about 0.8 of their five-word shingles.
+    By default documents are near-duplicates at a similarity of 0.8 of their five-word shingles.
     Rows that repeat a kept id and its text stay as one; rows with a null id can't be told from each
     other and all stay.
     """
-    keep = _grouped(docs, width, distance, seed, bits, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
+    keep = _grouped(docs, width, distance, seed, bits, similarity, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
     kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
     return kept.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -287,6 +287,45 @@ def test_wide_fingerprints_find_similar_texts(spark):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def similar_pairs(n, low, high, seed):
+    """Texts in pairs whose similarity of five-word shingles is between low and high."""
+    rnd = random.Random(seed)
+    out = []
+    while len(out) < n:
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 400))]
+        copy = list(base)
+        for k in rnd.sample(range(len(base)), max(1, len(base) // rnd.randrange(15, 70))):
+            copy[k] = "new"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, copy))
+        if low <= len(a & b) / len(a | b) < high:
+            out.append((" ".join(base), " ".join(copy)))
+    return out
+
+
+def test_wide_keys_meet_at_the_threshold():
+    """Keys know nothing of the table's size, and pairs just over 0.8 share one and pass the Hamming limit."""
+    from scholargraph.llm.simhash import WIDE, WIDE_DISTANCE, block_pairs, fingerprint
+
+    pairs = similar_pairs(400, 0.8, 0.83, 11)
+    a, b = (np.array([fingerprint(p[k], 5, 42, WIDE) for p in pairs], np.uint64).view(np.int64) for k in (0, 1))
+    near = np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(axis=1) <= WIDE_DISTANCE
+    head = np.unpackbits((a[:, :1] ^ b[:, :1]).view(np.uint8), axis=1).sum(axis=1) <= round(64 * WIDE_DISTANCE / WIDE + 8)
+    met = (block_pairs(a) == block_pairs(b)).any(axis=1)
+    assert block_pairs(a).shape == (400, 228) and (met & near & head).mean() >= 0.98
+    other = np.roll(b, 1, axis=0)
+    assert (block_pairs(a) == block_pairs(other)).any(axis=1).mean() < 0.01  # 228 keys of 20 bits
+
+
+def test_wide_fingerprints_decide_by_exact_similarity(spark):
+    from scholargraph.llm.simhash import deduplicate
+
+    high, low = similar_pairs(150, 0.8, 0.9, 12), similar_pairs(150, 0.7, 0.8, 13)
+    docs = spark.createDataFrame([(2 * i + k, t[k], "en", "s", 1) for i, t in enumerate(high + low) for k in (0, 1)], DOCS)
+    kept = {r.doc_id for r in deduplicate(docs).collect()}
+    assert sum(2 * i + 1 in kept for i in range(150)) <= 3
+    assert all(2 * i + k in kept for i in range(150, 300) for k in (0, 1)) and all(2 * i in kept for i in range(150))
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     from scholargraph.llm.simhash import deduplicate
 
