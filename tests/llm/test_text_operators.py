@@ -496,6 +496,22 @@ def test_secrets(spark, odd, real):
     assert got == {1: f"random:{len(prose)}:{len(prose) + 40}", 2: "", 3: ""}
 
 
+def test_random_runs_after_an_equals_sign(spark):
+    """Values of name=value lines and of query strings, under names that no fixed pattern knows."""
+    from scholargraph.llm.secrets import scan
+
+    prose = "many ordinary words stand here and there so that letters have their usual shares of a text " * 20
+    rnd = random.Random(14)
+    docs, want = [], {}
+    for i, before in enumerate(("aws_access=", "PRIVATE_KEY=", "see https://x.org/a?sig=", "https://x.org/?a=1&sig=", "export K='", "key: ", "a==")):
+        key = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+        docs.append((i, f"{prose}{before}{key}&b=2", "en", "s", 1))
+        want[i] = f"random:{len(prose + before)}:{len(prose + before) + 40}"
+    docs.append((50, f"{prose}name=some_ordinary_words_in_a_value", "en", "s", 1))
+    got = {r.doc_id: r.spans for r in scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want | {50: ""}
+
+
 def test_randomness_battery():
     from scholargraph.llm.secrets import battery
 
