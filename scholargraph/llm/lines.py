@@ -17,38 +17,49 @@ from pyspark.sql import functions as F
 from scholargraph.plans.cutpoints import written
 
 
-def line_places(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """(id, site, pos, k1, k2) of the lines that have ``min_words`` words."""
-    enough = r"([^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (min_words - 1)
+#: Sites that make a line boilerplate, by default. Ten words and more don't coincide by chance: in the given
+#: table copies of whole documents take such lines to 4 sites at most, and a passage of 19 documents still
+#: reaches 8 where a third of all documents are of one source. Shorter lines do coincide and need more.
+LONG_WORDS, LONG_SITES, SHORT_SITES = 10, 5, 10
+
+
+def _words(n: int) -> str:
+    """A pattern of at least ``n`` words."""
+    return r"([^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (n - 1)
+
+
+def line_places(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int, min_sites: int | None = None) -> DataFrame:
+    """(id, site, pos, k1, k2, need) of the lines that have ``min_words`` words; need is how many sites make it boilerplate."""
+    need = F.when(F.col("line").rlike(_words(LONG_WORDS)), LONG_SITES).otherwise(SHORT_SITES) if min_sites is None else F.lit(min_sites)
     lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.col("line").rlike(enough)).select("id", "site", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("second"), "line").alias("k2"))
+    return lines.filter(F.col("line").rlike(_words(min_words))).select("id", "site", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("second"), "line").alias("k2"), need.alias("need"))
 
 
 def line_sketches(places: DataFrame, lg_k: int = 12) -> DataFrame:
-    """(k1, k2, sketch, first): sketches of sites merge by ``hll_union_agg`` over tables made apart."""
-    return places.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "pos"))).alias("first"))
+    """(k1, k2, sketch, first, need): sketches of sites merge by ``hll_union_agg`` over tables made apart."""
+    return places.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "pos"))).alias("first"), F.min("need").alias("need"))
 
 
-def boilerplate_lines(places: DataFrame, min_sites: int, margin: float) -> DataFrame:
-    """(k1, k2, first) of the lines that at least ``min_sites`` distinct sites hold, exactly."""
-    estimated = written(line_sketches(places).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").filter(F.col("sites") > min_sites * (1 - margin)), "spread")
-    sure = F.col("sites") >= min_sites * (1 + margin)
+def boilerplate_lines(places: DataFrame, margin: float) -> DataFrame:
+    """(k1, k2, first) of the lines that at least ``need`` distinct sites hold, exactly."""
+    estimated = written(line_sketches(places).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").filter(F.col("sites") > F.col("need") * (1 - margin)), "spread")
+    sure = F.col("sites") >= F.col("need") * (1 + margin)
     near = estimated.filter(~sure)
-    exact = places.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "site").distinct().groupBy("k1", "k2").agg(F.count("site").alias("exact")).filter(F.col("exact") >= min_sites)
+    exact = places.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "site", "need").distinct().groupBy("k1", "k2").agg(F.count("site").alias("exact"), F.min("need").alias("need")).filter(F.col("exact") >= F.col("need"))
     return estimated.filter(sure).select("k1", "k2", "first").union(near.join(exact, ["k1", "k2"], "left_semi").select("k1", "k2", "first"))
 
 
-def clean_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 3, margin: float = 0.1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int | None = None, min_words: int = 3, margin: float = 0.1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate removed from the text, and n_lines and n_removed (long).
 
     A line of at least ``min_words`` words that at least ``min_sites`` distinct sites hold is
-    boilerplate; its place with the least (id, position) stays, all others go. Null sites count as no
+    boilerplate (by default, 5 sites for lines of ten words and more, 10 for shorter ones); its place with the least (id, position) stays, all others go. Null sites count as no
     site. Rows with a null id or text keep their text; rows that repeat an id lose the same places. A
     text that loses all its lines is empty. Other columns pass through; ``__id`` and ``__drop`` are
     taken.
     """
-    places = written(line_places(docs, id_col, text_col, site_col, min_words), "lines")
-    found = boilerplate_lines(places, min_sites, margin)
+    places = written(line_places(docs, id_col, text_col, site_col, min_words, min_sites), "lines")
+    found = boilerplate_lines(places, margin)
     gone = places.join(found, ["k1", "k2"]).filter(F.col("id").isNotNull() & (F.struct("id", "pos") != F.col("first")))
     drop = gone.groupBy("id").agg(F.collect_set("pos").alias("__drop")).withColumnRenamed("id", "__id")
     joined = docs.join(drop, docs[id_col] == drop["__id"], "left")

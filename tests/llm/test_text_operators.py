@@ -365,6 +365,21 @@ def test_line_dedup(spark, real, odd):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_line_dedup_under_a_hot_source(spark):
+    """A long passage in 19 documents goes even if a third of all documents are of one source; a chance short line stays."""
+    from scholargraph.llm.lines import clean_lines, remove_boilerplate
+
+    passage = " ".join(f"passage{k}" for k in range(60))
+    docs = [(i, f"own text {i} here\n{passage}", "en", "hot" if i % 3 == 0 else f"s{i % 8}", 1) for i in range(19)]
+    docs += [(100 + i, f"own text {100 + i} here\nsee you soon", "en", f"s{i}", 1) for i in range(9)]
+    docs += [(200 + i, "a copy of a whole document that stands at four sites", "en", f"s{i}", 1) for i in range(4)]
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r.text for r in remove_boilerplate(df).collect()}
+    assert [i for i in got if passage in got[i]] == [0]
+    assert all(got[d[0]] == d[1] for d in docs[19:])
+    assert all(r.text == d[1] for r, d in zip(sorted(clean_lines(df, min_sites=10).collect(), key=lambda r: r.doc_id), docs))
+
+
 def test_decontamination(spark, odd):
     from scholargraph.llm.decontamination import contaminated, remove_contaminated
 
