@@ -50,15 +50,23 @@ def influential_citations(citations: DataFrame) -> DataFrame:
     return citations.groupBy(F.col("cited_paper_id").alias("paper_id")).agg(F.count("*").alias("n_citations"), F.count_if("is_influential").alias("n_influential"))
 
 
-def recommend(citations: DataFrame, limit: int = 10, degree: int = 100) -> DataFrame:
+def _met(lists: DataFrame, part_rows: int) -> DataFrame:
+    """(p, q, n): how many lists (via, p) hold both; a long list is dealt to parts that each meet the whole list."""
+    sizes = lists.groupBy("via").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    dealt = lists.join(sizes, "via")
+    left = dealt.select("via", "p", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
+    right = dealt.select("via", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["via", "part"]).filter("p <> q").groupBy("p", "q").agg(F.count("*").alias("n"))
+
+
+def recommend(citations: DataFrame, limit: int = 10, part_rows: int = 1_000) -> DataFrame:
     """(paper_id, recommended_id, score, rank): papers cited together with it, and papers that cite alike.
 
-    The score counts common citing papers and common references. Lists are used up to ``degree``
-    positions, as each paper of a list meets each other one.
+    The score counts all common citing papers and common references.
     """
-    co = citations.filter(F.col("ref_position") <= degree).select(F.col("citing_paper_id").alias("via"), F.col("cited_paper_id").alias("p"))
-    coupled = citations.filter(F.col("cite_position") <= degree).select(F.col("cited_paper_id").alias("via"), F.col("citing_paper_id").alias("p"))
-    pairs = [x.join(x.withColumnRenamed("p", "q"), "via").filter("p <> q").groupBy("p", "q").agg(F.count("*").alias("n")) for x in (co, coupled)]
+    co = citations.select(F.col("citing_paper_id").alias("via"), F.col("cited_paper_id").alias("p"))
+    coupled = citations.select(F.col("cited_paper_id").alias("via"), F.col("citing_paper_id").alias("p"))
+    pairs = [_met(x, part_rows) for x in (co, coupled)]
     scored = pairs[0].union(pairs[1]).groupBy("p", "q").agg(F.sum("n").alias("score"))
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "q"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select(F.col("p").alias("paper_id"), F.col("q").alias("recommended_id"), "score", "rank")

@@ -119,3 +119,13 @@ def test_plans_have_no_cross_join_and_no_python(spark):
     for name in ("merge_dedup_raw", "filter_spec", "recommend_cocite", "authors_hindex", "merge_details", "induced_subgraph_year", "lookup_paper"):
         plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Arrow")), name
+
+
+def test_recommendations_count_all_positions(spark):
+    from scholargraph.operators.details import recommend
+
+    made = [("A", f"p{k}", k, 1) for k in range(1, 151)] + [("B", "p149", 1, 2), ("B", "p150", 2, 2)]
+    df = spark.createDataFrame(made, "citing_paper_id string, cited_paper_id string, ref_position int, cite_position int")
+    for part_rows in (7, 1_000):
+        got = {(r.paper_id, r.recommended_id): (r.score, r["rank"]) for r in recommend(df, part_rows=part_rows).collect()}
+        assert got["p149", "p150"] == got["p150", "p149"] == (2, 1) and got["A", "B"] == (2, 1)
