@@ -3,20 +3,29 @@
 A fingerprint of 64 bits is keyed by pigeonhole: fingerprints within ``distance`` d of each other agree
 on at least k - d of any k blocks, so each is keyed by every choice of k - d blocks and close pairs share
 a key for certain. k grows with the number of distinct fingerprints, so that unrelated ones seldom share
-a key; the result is the same for any k. A wider fingerprint tells similarities apart more finely; the
-distances that go with a similarity of 0.8 are too large for pigeonhole then, so its keys are pairs of
-short blocks, as many as a pair of texts at 0.8 needs to share one in 99 of 100 cases, whatever the
-table's size. A loose Hamming limit drops pairs that met by chance; the exact similarity of the texts'
-sets of word shingles decides. Equal fingerprints are one node.
+a key; the result is the same for any k.
+
+A similarity of 0.8 of shingle sets means that 15 % of the bits differ, which is too much for 64 bits: a
+wide fingerprint of 80 blocks of 20 bits is split instead, and each block is a key. Texts within 79 of
+the 1,600 bits share a block for certain; a pair at 0.80 (some 242 bits apart) shares one in 0.952 of the
+cases, at 0.85 in 0.993, at 0.90 in 0.9999, whatever the table's size. A Hamming limit that hardly any
+pair at 0.8 exceeds drops pairs that met by chance, and the exact similarity of the texts' sets of word
+shingles decides. Equal fingerprints are one node.
 
 A bucket may hold a third of all fingerprints (a large group of near copies), so pairs within buckets
-are never listed. Two linear passes find the components without losing a link between different ones:
+are never listed. Two passes find the components without losing a link between different ones:
 
 1. In each bucket, every fingerprint is compared with the bucket's least one and with the one before it
-   in order (of wide ones each takes its few likeliest partners of all buckets). Verified links give first
-   components, which already join almost all of a large group.
+   in order (of wide ones each takes its few likeliest partners of all buckets; the second pass sees the
+   others). Verified links give first components, which already join almost all of a large group.
 2. In each bucket that still holds several components, members outside the bucket's largest component
-   are compared with all its members, in salted parts. Links inside one component are not needed.
+   are compared with all its members, in salted parts. Links inside one component are not needed. A
+   bucket of 64-bit fingerprints with many such members is split by pigeonhole once more, over the bits
+   that its key leaves free, so that members without a link part; that loses no link either.
+
+Unrelated wide fingerprints share a given block once in 2**20 pairs, so n distinct texts make some
+n * n / 26,000 chance meetings, each one comparison of 128 bits inside the join. For far more than 10**8
+distinct texts take longer blocks, and more of them (``block``, ``bits``).
 """
 
 from __future__ import annotations
@@ -33,16 +42,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.operators.components import components
-from scholargraph.plans.cutpoints import written
+from scholargraph.plans.cutpoints import maybe_broadcast, written
 
 #: Shingle hashes turned to bits at once.
 _CHUNK = 4_080
-#: Bits for a similarity of 0.8 of shingles, and a distance that hardly any such pair exceeds: 116.4 is
-#: the mean at 0.8, 9.9 the standard deviation.
-WIDE, WIDE_DISTANCE = 768, 160
-#: Keys of wide fingerprints: each block of so many bits with those so many blocks on. 228 keys of 20 bits;
-#: with 0.1515 of the bits differing, as at 0.8, a simulated pair shares one in 0.993 of the cases.
-_BLOCK, _STEPS = 10, (1, 3, 7)
+#: Bits for a similarity of 0.8 of shingles, in blocks of so many, and a distance that hardly any such pair
+#: exceeds: 242.4 is the mean at 0.8, 14.3 the standard deviation.
+WIDE, BLOCK, WIDE_DISTANCE = 1_600, 20, 300
+#: The same for the first two words, 128 bits, that go along with each key: mean 19.4, deviation 4.1.
+HEAD_DISTANCE = 36
 
 
 def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -58,14 +66,40 @@ def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def _added(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Bit columns of 15 arrays added up: arrays of the sums' bits, the least first, by full adders on whole words."""
+    out = []
+    while rows:
+        carries = []
+        while len(rows) >= 3:
+            a, b, c = rows[:3]
+            either = a ^ b
+            rows = [*rows[3:], either ^ c]
+            carries.append((a & b) | (either & c))
+        out.append(rows[0])
+        rows = carries
+    return out
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    """How many rows of ``words`` have each bit set; bytes of ones are added eight at a time."""
+    if not len(words):
+        return np.zeros(64 * words.shape[1], np.int64)
+    lanes = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 255 ones fit a byte
+    return sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+
+
 def _ones(hashes: np.ndarray, k: int) -> np.ndarray:
-    """How many of the hashes have each of the 64 k bits set; bytes of ones are added eight at a time."""
+    """How many of the hashes have each of the 64 k bits set."""
     total = np.zeros(64 * k, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         made = _derived(hashes[at : at + _CHUNK], k)
-        lanes = np.unpackbits(made.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # 255 ones fit a byte
-        total += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+        times = len(made) // 15 if k > 1 else 0
+        if times:
+            planes = _added([made[i * times : (i + 1) * times] for i in range(15)])
+            total += sum(_sums(x) << i for i, x in enumerate(planes))
+        total += _sums(made[15 * times :])
     return total
 
 
@@ -123,36 +157,38 @@ def shingles(text: str, width: int) -> frozenset[bytes]:
     return frozenset(b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def block_pairs(w: np.ndarray) -> np.ndarray:
-    """(rows, keys) of fingerprints (rows, words): whole numbers that tell the pair of blocks and its bits."""
+def block_keys(w: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """(rows, blocks) of fingerprints (rows, words): whole numbers that tell the block's place and its bits."""
     bits = np.unpackbits(np.ascontiguousarray(w).view(np.uint8), axis=1, bitorder="little")
-    n = bits.shape[1] // _BLOCK
-    blocks = bits[:, : n * _BLOCK].reshape(len(w), n, _BLOCK) @ (1 << np.arange(_BLOCK, dtype=np.int64))
-    keys = [(blocks << _BLOCK) | np.roll(blocks, -step, axis=1) for step in _STEPS]
-    return np.concatenate(keys, axis=1) + (np.arange(n * len(_STEPS), dtype=np.int64) << 2 * _BLOCK)
+    n = bits.shape[1] // block
+    values = np.zeros((len(w), n), np.int64)
+    for i in range(block):
+        values |= bits[:, i : n * block : block].astype(np.int64) << i
+    return values + (np.arange(n, dtype=np.int64) << block)
 
 
-def _wide_keyed(nodes: DataFrame) -> DataFrame:
-    """(node, head, choice, key); the key tells the choice, too."""
+def _wide_keyed(nodes: DataFrame, block: int) -> DataFrame:
+    """(node, head, choice, key); the key tells the block, too."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 w = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                keys = block_pairs(w)
+                keys = block_keys(w, block)
                 times = keys.shape[1]
                 node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), times)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(w[:, 0], times)), pa.array(keys.ravel())], ["node", "head", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, np.repeat(w[:, 0], times), np.repeat(w[:, 1], times), keys.ravel())], ["node", "a", "b", "key"])
 
-    return nodes.select("node", "w").mapInArrow(run, "node long, head long, key long").select("node", "head", F.lit(0).cast("short").alias("choice"), "key")
+    made = nodes.select("node", "w").mapInArrow(run, "node long, a long, b long, key long")
+    return made.select("node", F.struct("a", "b").alias("head"), F.lit(0).cast("short").alias("choice"), "key")
 
 
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The rows of ``pairs`` (u, v, ...) whose texts' shingles have that similarity. ``nodes`` has (node, th), ``texts`` (th, text)."""
     pairs = written(pairs, "pairs")
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "th"), "node")
-    found = written(texts.join(met, "th").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    met = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "th"), "node"), "met")
+    found = written(texts.join(maybe_broadcast(met, met.count()), "th").groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     both = pairs.join(found.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(found.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     schema = pairs.schema
 
@@ -175,19 +211,40 @@ def _apart(a: str, b: str, bits: int) -> Column:
     return reduce(add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)])
 
 
-def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000, texts: DataFrame | None = None, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def _heads_apart(bits: int) -> Column:
+    """Differing bits of ``hu`` and ``hv``: the whole of a 64-bit fingerprint, two words of a wide one."""
+    return reduce(add, [F.bit_count(F.col(f"hu.{x}").bitwiseXOR(F.col(f"hv.{x}"))) for x in ("a" if bits == 64 else "ab")])
+
+
+def _free_masks(distance: int, blocks: int) -> list[tuple[int, int]]:
+    """(choice, mask): for each key, the choices of half of 2 * distance parts of the bits that it leaves free.
+
+    Fingerprints that share the key and are within the distance agree on one of the choices.
+    """
+    bounds, parts = [64 * k // blocks for k in range(blocks + 1)], 2 * distance
+    out = []
+    for choice, chosen in enumerate(combinations(range(blocks), blocks - distance)):
+        free = [b for k in range(blocks) if k not in chosen for b in range(bounds[k], bounds[k + 1])]
+        cut = [len(free) * k // parts for k in range(parts + 1)]
+        for some in combinations(range(parts), distance):
+            out.append((choice, _signed(sum(1 << b for k in some for b in free[cut[k] : cut[k + 1]]))))
+    return out
+
+
+def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks: int | None = None, part_rows: int = 20_000, texts: DataFrame | None = None, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(node, component) for distinct fingerprints ``nodes`` (node, w); component is the least node it reaches.
 
     Wide ones need ``texts`` (th, text) and th in ``nodes``, for the exact similarity.
     """
-    # the first word goes along: with 64 bits it decides, else it drops most pairs that met by chance
-    head_distance = distance if bits == 64 else round(64 * distance / bits + 8)
+    spark = nodes.sparkSession
+    head_distance = distance if bits == 64 else HEAD_DISTANCE
     if bits == 64:
-        keys = _pigeonhole_keys(distance, blocks or blocks_for(nodes.count(), distance))
+        blocks = blocks or blocks_for(nodes.count(), distance)
+        keys = _pigeonhole_keys(distance, blocks)
         choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
-        keyed = nodes.select("node", F.get("w", F.lit(0)).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
+        keyed = nodes.select("node", F.struct(F.get("w", F.lit(0)).alias("a")).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
     else:
-        keyed = _wide_keyed(nodes)
+        keyed = _wide_keyed(nodes, block)
 
     def close_indeed(pairs: DataFrame) -> DataFrame:
         """Of wide ones (u, v, ...), those that are within the distance and similar."""
@@ -197,11 +254,10 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
 
     def verified(pairs: DataFrame, best: int = 4) -> DataFrame:
         """(u, v) of (u, v, hu, hv), those that are close indeed; of wide ones each u's likeliest only."""
-        apart = F.bit_count(F.col("hu").bitwiseXOR(F.col("hv")))
-        close = pairs.filter((F.col("u") != F.col("v")) & (apart <= head_distance))
+        close = pairs.filter((F.col("u") != F.col("v")) & (_heads_apart(bits) <= head_distance))
         if bits == 64:
             return close.select("u", "v")
-        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(apart.alias("d"), "v"))), 1, best).alias("s"))  # two a key at most
+        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(_heads_apart(bits).alias("d"), "v"))), 1, best).alias("s"))  # two a key at most
         return close_indeed(few.select("u", F.explode("s.v").alias("v")))
 
     shared = written(keyed.groupBy("choice", "key").agg(F.min(F.struct("node", "head")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -214,52 +270,74 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
     # second pass: only buckets that hold several components
     known = written(members.join(first.withColumnRenamed("node", "f"), members["node"] == F.col("f"), "left").select("choice", "key", "n", "head", "node", F.coalesce("component", "node").alias("comp")), "known")
     groups = known.groupBy("choice", "key", "comp").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"))
-    open_ = known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
-    open_ = written(open_, "open")
+    mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"), F.col("most.size").alias("most"))
+    open_ = written(known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")), "open")
     own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}")]
-    left = open_.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
-    right = open_.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"))
-    near = (F.col("cu") != F.col("cv")) & (F.bit_count(F.col("hu").bitwiseXOR(F.col("hv"))) <= head_distance)
-    more = left.join(right, ["choice", "key", "p"]).filter(near)
+    major = (F.col("comp") == F.col("major")).alias("main")
+    # a pair outside the largest component is seen once
+    near = (F.col("cu") != F.col("cv")) & (F.col("main") | (F.col("u") < F.col("v"))) & (_heads_apart(bits) <= head_distance)
+
+    def compared(rows: DataFrame, *by: str) -> DataFrame:
+        """Near pairs of different components among the rows that agree on ``by``."""
+        return rows.filter("comp <> major").select(*by, *own("u")).join(rows.select(*by, *own("v"), major), list(by)).filter(near).select("u", "v", "cu", "cv")
+
+    crowded = (F.col("n") - F.col("most")) > (2 * comb(2 * distance, distance) if bits == 64 else 1 << 62)
+    few = open_.filter(~crowded)
+    left = few.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
+    right = few.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"), major)
+    more = left.join(right, ["choice", "key", "p"]).filter(near).select("u", "v", "cu", "cv")
     if bits > 64:
-        more = close_indeed(more.select("u", "v", "cu", "cv").distinct())
+        more = close_indeed(more.distinct())
+    elif not open_.filter(crowded).isEmpty():
+        masks = spark.createDataFrame(_free_masks(distance, blocks), "choice short, mask long")  # as many rows as keys and choices, 28,000 at most
+        split = open_.filter(crowded).join(F.broadcast(masks), "choice").withColumn("sub", F.col("head.a").bitwiseAND(F.col("mask")))
+        more = more.union(compared(split, "choice", "key", "mask", "sub"))
     more = more.select("cu", "cv")
     joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "j")
     of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
     return of("node").join(joined, F.col("cnode") == F.col("j"), "left").select("node", F.coalesce("component", "cnode").alias("component"))
 
 
-def _grouped(docs: DataFrame, width: int, distance: int, seed: int, bits: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, w, component_id) of every document."""
+def _linked(docs: DataFrame, width: int, distance: int, seed: int, bits: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's (doc_id, th, w, node), and (node, least_id, component) of the distinct fingerprints."""
     marked = written(fingerprints(docs, width, seed, bits, id_col, text_col).withColumn("node", F.get("w", F.lit(0)) if bits == 64 else F.xxhash64("w")), "fingerprints")
     nodes = written(marked.groupBy("node").agg(F.any_value("w").alias("w"), F.any_value("th").alias("th"), F.min("doc_id").alias("least_id")), "nodes")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     links = link_components(nodes.select("node", "w", "th"), distance, bits, texts=docs.select(F.xxhash64(text).alias("th"), text.alias("text")), width=width, similarity=similarity)
-    linked = written(nodes.select("node", "least_id").join(links, "node"), "linked")
-    ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(ids, "component").select("node", "component_id")
-    return marked.join(named, "node").select("doc_id", "w", "component_id")
+    return marked, written(nodes.select("node", "least_id").join(links, "node"), "linked")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, seed: int = 42, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex digits), component_id (least doc_id reachable).
 
     Null ids keep a row each; a component of null ids only has a null component_id. Documents without
-    words all have fingerprint zero and are linked like any others. Wide fingerprints (``bits`` over 64)
-    find candidates only: two texts are linked if their shingles have the ``similarity``, exactly.
+    words all have fingerprint zero and are linked like any others. Repeated rows repeat their row. Very
+    long texts are hashed in chunks. Wide fingerprints (``bits`` over 64) find candidates only: two texts
+    are linked if their shingles have the ``similarity``, exactly.
     """
     digits = F.array_join(F.transform("w", lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
-    return _grouped(docs, width, distance, seed, bits, similarity, id_col, text_col).select("doc_id", digits.alias("fingerprint"), "component_id")
+    marked, linked = _linked(docs, width, distance, seed, bits, similarity, id_col, text_col)
+    ids = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = linked.join(ids, "component").select("node", "component_id")
+    return marked.join(named, "node").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 5, distance: int = WIDE_DISTANCE, seed: int = 42, bits: int = WIDE, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """The documents whose id is the least of their component; all of ``docs``' columns.
+    """One document of each component, that of the least id; all of ``docs``' columns.
 
     By default documents are near-duplicates at a similarity of 0.8 of their five-word shingles.
-    Rows that repeat a kept id and its text stay as one; rows with a null id can't be told from each
-    other and all stay.
+    Of rows that share the least id the one with the least hash of its text stays; a row with a null id
+    stays only where its component has no id. Rows that repeat a kept id and text stay as one. Texts
+    without words are copies of each other.
     """
-    keep = _grouped(docs, width, distance, seed, bits, similarity, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs[id_col].cast("long") == keep["__keep"], "left_semi")
-    return kept.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    marked, linked = _linked(docs, width, distance, seed, bits, similarity, id_col, text_col)
+    rows = marked.join(linked.select("node", "component"), "node").groupBy("component", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = written(rows, "rows")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("best"))
+    told = rows.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    told = written(told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n", "stays"), "told")
+    n_gone, twice = told.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    gone = maybe_broadcast(told.filter("not stays").select("__id", "__th"), n_gone)
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (text == gone["__th"]), "left_anti")
+    return kept.withColumn("__th", text).dropDuplicates([id_col, "__th"]).select(*docs.columns) if twice else kept
