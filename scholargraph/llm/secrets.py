@@ -6,11 +6,15 @@ Candidates are long runs of key characters that hold letters and digits. Each ge
 - three tests of the hypothesis that its characters are independent and uniform over that alphabet:
   chi-squared, runs about the median, serial correlation; combined by Fisher's method,
 - an e-value against ordinary text: its likelihood as uniform characters over its likelihood by the
-  corpus's own character frequencies, counted over all documents. It grows with length, so short runs
-  need more evidence a character.
-
-Runs that the battery rejects are no secrets. Of the others, the e-BH procedure over the whole corpus
-keeps those that hold the false-discovery rate at the given level, under any dependence.
+  corpus's own character frequencies, counted over all documents. The alphabet is inferred from the run
+  itself, so the uniform likelihood is that of an even mixture of all alphabets, at the least. The e-value
+  grows with length, so short runs need more evidence a character.
+
+Runs that the battery rejects are no secrets: their e-value is zero. Of all candidates of the whole corpus,
+those included, the e-BH procedure keeps some. What holds: if the characters of an ordinary run are drawn
+independently by the corpus's frequencies, the false-discovery rate is at most the given level, however the
+runs depend on each other. Names and paths of real text are no such draws (their characters depend on
+each other); against those stands the battery alone, and the level is a guide only.
 """
 
 from __future__ import annotations
@@ -94,22 +98,29 @@ def battery(run: str) -> tuple[float, str]:
 
 
 def log_e(run: str, log_text: dict[str, float], name: str) -> float:
-    """Log of uniform likelihood over the text's likelihood."""
+    """Log of the uniform likelihood over the text's likelihood; the alphabet's share of an even mixture."""
     size = next((len(a) for n, a in _ALPHABETS if n == name), len(_WIDEST))
-    return sum(-math.log(size) - log_text[c] for c in run)
+    return sum(-math.log(size) - log_text[c] for c in run) - math.log(len(_ALPHABETS) + 1)
 
 
-def random_runs(text: str, taken: list[tuple[int, int, str]], log_text: dict[str, float], level: float) -> list[tuple[int, int, float]]:
-    """(start, end, log e-value) of candidates that overlap no fixed pattern and pass the battery."""
-    out = []
+def random_runs(text: str, taken: list[tuple[int, int, str]], log_text: dict[str, float], level: float) -> tuple[list[tuple[int, int, float]], int]:
+    """(start, end, log e-value) of candidates that overlap no fixed pattern and pass the battery; how many were tested."""
+    out, tested = [], 0
+    at = reach = 0  # fixed spans seen, and their furthest end
     for m in _RUN.finditer(text):
         run = m[0].rstrip("=")
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or any(s < m.end() and m.start() < e for s, e, _ in taken):
+        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+            continue
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach > m.start():
             continue
+        tested += 1
         p, name = battery(run)
         if p >= level:
             out.append((m.start(), m.end(), log_e(run, log_text, name)))
-    return out
+    return out, tested
 
 
 def character_logs(docs: DataFrame, text_col: str) -> dict[str, float]:
@@ -130,9 +141,9 @@ def character_logs(docs: DataFrame, text_col: str) -> dict[str, float]:
     return {c: math.log(count.get(c, 1) / total) for c in _WIDEST}
 
 
-def e_threshold(counts: dict[int, int], fdr: float) -> float:
-    """The least log e-value kept by e-BH, from counts of candidates by floor of log e-value."""
-    m = sum(counts.values())
+def e_threshold(counts: dict[int, int], fdr: float, tested: int) -> float:
+    """The least log e-value kept by e-BH over ``tested`` candidates, from counts by floor of log e-value; others have zero."""
+    m = max(tested, sum(counts.values()))
     kept, least = 0, math.inf
     for x in sorted(counts, reverse=True):
         kept += counts[x]
@@ -145,13 +156,14 @@ def scan(docs: DataFrame, fdr: float = 0.01, level: float = 0.001, id_col: str =
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points; kind ``random`` is the battery's. A null text is empty.
-    Null and repeated ids keep a row each.
+    Null and repeated ids keep a row each, repeated rows repeat it; other columns don't matter. A text is
+    read whole, in time linear in its length; candidates keep their numbers only.
     """
     logs = character_logs(docs, text_col)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,rank:int,text:string>>, more array<struct<start:int,rank:int,text:string,e:double>>"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start:int,rank:int,text:string>>, more array<struct<start:int,rank:int,text:string,e:double>>, tested long"
     span = [("start", pa.int32()), ("rank", pa.int32()), ("text", pa.string())]
-    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("e", pa.float64())]))]
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more"]
+    types = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("e", pa.float64())])), pa.int64()]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "more", "tested"]
 
     def run(batches):
         for batch in batches:
@@ -160,11 +172,12 @@ def scan(docs: DataFrame, fdr: float = 0.01, level: float = 0.001, id_col: str =
                 text = text.as_py() or ""
                 base = base_spans(text)
                 told = [f"{k}:{s}:{e}" for s, e, k in base]
-                more = random_runs(text, base, logs, level) if max(map(len, text.split()), default=0) >= 20 else []
+                more, tested = random_runs(text, base, logs, level) if max(map(len, text.split()), default=0) >= 20 else ([], 0)
                 row = (
                     doc, *(sum(k == x[2] for x in base) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(told).encode()).hexdigest(),
                     [{"start": s, "rank": _ORDER[k], "text": t} for (s, _, k), t in zip(base, told)],
                     [{"start": s, "rank": 3, "text": f"random:{s}:{e}", "e": v} for s, e, v in more],
+                    tested,
                 )
                 for col, v in zip(out, row):
                     col.append(v)
@@ -174,7 +187,7 @@ def scan(docs: DataFrame, fdr: float = 0.01, level: float = 0.001, id_col: str =
     found = written(plain.mapInArrow(run, schema), "spans")
     e = F.least(F.floor("e"), F.lit(1000))
     counts = {r[0]: r[1] for r in found.select(F.explode("more.e").alias("e")).groupBy(e.alias("e")).count().collect()}  # whole numbers up to 1000
-    least = e_threshold(counts, fdr)
+    least = e_threshold(counts, fdr, found.agg(F.sum("tested")).first()[0] or 0)
     kept = F.transform(F.filter("more", lambda x: x["e"] >= F.lit(least)), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["text"].alias("text")))
     spans = F.array_join(F.transform(F.sort_array(F.concat("base", kept)), lambda x: x["text"]), ",")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
