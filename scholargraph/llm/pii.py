@@ -1,20 +1,29 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over spans.
 
-The field scores whole candidate segments by features of the span (digit groups, separators, checks,
-edges, words before) for each type; characters outside entities are segments of their own with score
-zero. A dynamic programme over segments of bounded length picks boundaries and types together. Weights
-are learned by maximum likelihood on generated sentences, with a fixed seed. Text without digits and
-``@`` has no candidate, so the programme runs only on the stretches around them, each on its own: the
-plain words between stretches separate them exactly.
+The field scores whole candidate segments by features of the span (digit groups and their separators,
+checks, edges, numbers and cue words beside it) for each type; what lies between entities has score zero.
+A dynamic programme picks boundaries and types together. Weights are learned by maximum likelihood on
+generated sentences, with a fixed seed (``learn``), and kept in ``pii_weights.json``.
+
+Entities are bounded: eight groups of digits and 19 digits, or a mail address of some 64 characters a part.
+So candidates are made while the text is read once, those without a positive score are dropped at once
+(they can't be in the best segmentation), and the programme runs over each cluster of overlapping
+candidates. A cluster of over ``WINDOW`` candidates is decided in parts of that many. Memory does not grow
+with the text but by the spans found.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
+import heapq
+import json
 import random
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
+from importlib import resources
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +32,23 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(TYPES)}
-#: Most tokens of an entity.
-BOUND = 16
+#: Most groups and digits of a number; most characters of an entity; most candidates decided together.
+GROUPS, DIGITS, LONGEST, WINDOW = 8, 19, 200, 4_096
+#: Words before an entity that tell its type, or that a number is something else.
+CUES = {
+    "phone": "phone tel telephone call mobile cell fax contact whatsapp sms dial ring telefon handy anruf mobil appel appelez portable telefono llamar movil",
+    "card": "card visa mastercard amex credit debit payment karte kreditkarte carte tarjeta",
+    "email": "mail email contact write correo courriel",
+    "ip": "ip host server address ipv4 gateway",
+    "other": "order invoice isbn issn version page pages id serial case ticket item ref reference code bestellung article build lot patent sku",
+}
+_CUE = {w: k for k, v in CUES.items() for w in v.split()}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_CLUE = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[ ]+|.", re.DOTALL)
 
 
 def luhn(digits: str) -> bool:
@@ -72,177 +88,226 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "phone") for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     return sorted(out, key=lambda s: (s[0], _RANK[s[2]]))
 
-
-def stretches(text: str):
-    """(start, end) of runs of words that hold a digit or @, joined over at most two spaces."""
-    end = first = -1
-    for m in _CLUE.finditer(text):
-        i = m.start()
-        if i < end:
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = re.compile(r"[\x20().+/-]{1,3}\Z")
+_NEXT = re.compile(r"[\x20().+/-]{1,3}[0-9]")
+_WORD = re.compile(r"[a-z0-9]+")
+_RIGHT = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}")
+_SPELT = re.compile(r"\x20?[\[(](?:at|AT|At)[\])]\x20?")
+_SPELT_RIGHT = re.compile(r"[\w-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT|Dot)[\])]\x20?)[\w-]{1,63}){0,8}")
+#: (start, end, key): ``key`` holds all that a candidate's features depend on.
+Candidate = tuple[int, int, tuple]
+
+
+def _cue(text: str, start: int) -> str:
+    for w in reversed(_WORD.findall(text[max(0, start - 24) : start].lower())[-2:]):
+        if w in _CUE:
+            return _CUE[w]
+    return "none"
+
+
+def _edge(c: str, more: str) -> str:
+    return "word" if c and (c.isalnum() or c in more) else "free"
+
+
+def numbers(text: str) -> Iterator[Candidate]:
+    """Candidates made of digit groups, by end; a bracket or plus before the first group may belong to them."""
+    chain: list[tuple[int, int, str]] = []  # start, end of the last groups, and what stands before each
+    last = -1
+    for m in _GROUP.finditer(text):
+        a, b = m.span()
+        between = text[last:a] if 0 <= last and a - last <= 3 else ""
+        if not (between and _BETWEEN.match(between)):
+            chain.clear()
+            between = ""
+        chain.append((a, b, between))
+        if len(chain) > GROUPS + 1:
+            del chain[0]
+        last = b
+        n, seps, lens = 0, (), ()
+        right = None
+        for i in range(len(chain) - 1, max(-1, len(chain) - 1 - GROUPS), -1):
+            s, e, before = chain[i]
+            n += e - s
+            if n > DIGITS:
+                break
+            lens = (min(e - s, 7), *lens)
+            if n >= 7 or len(lens) == 4 and n >= 4 and seps == (".", ".", "."):
+                if right is None:
+                    after = text[b : b + 1]
+                    right = "on" if _NEXT.match(text, b) else "goes_on" if after in (".", ",", ":") and text[b + 1 : b + 2].isalnum() else _edge(after, "_-@/%°")
+                digits = _digits(text[s:b]) if 13 <= n else ""
+                check = "luhn" if digits and luhn(digits) else "no_luhn" if digits else "quad" if seps == (".", ".", ".") and all(map(_small, text[s:b].split("."))) else ""
+                first = text[s : s + 2]
+                zero = "00" if first == "00" else "0" if first[0] == "0" else "1" if lens[0] == 1 and first[0] == "1" else ""
+                sign = text[s - 1 : s] if s else ""
+                for lead in ("", sign, "+(") if sign == "(" and s > 1 and text[s - 2] == "+" else ("", sign) if sign in ("+", "(") else ("",):
+                    at = s - len(lead)
+                    listed = bool(before) and not (lead and before.strip(" ") == lead)
+                    c = text[at - 1 : at] if at else ""
+                    left = "list" if listed else _edge(c, "._-+@#/$€£=,:(" if not lead else "._-+@#/$=")
+                    yield at, b, ("number", n, lens, seps, lead, zero, left, right, check, "none" if listed and i else _cue(text, at))
+            seps = (before, *seps)
+
+
+def mails(text: str) -> Iterator[Candidate]:
+    """Candidates around an at sign, written or spelt, by end."""
+    return heapq.merge(_mails(text, re.compile("@"), _RIGHT, "sign"), _mails(text, _SPELT, _SPELT_RIGHT, "spelt"), key=lambda c: c[1])
+
+
+def _mails(text: str, sign: re.Pattern, tail: re.Pattern, how: str) -> Iterator[Candidate]:
+    for m in sign.finditer(text):
+        right = tail.match(text, m.end())
+        if not right:
             continue
-        start = i
-        while start > max(end, 0) and not text[start - 1].isspace():
+        start, least = m.start(), max(0, m.start() - 64)
+        while start > least and ((c := text[start - 1]).isalnum() or c in "._%+-"):
             start -= 1
-        stop = i + 1
-        while stop < len(text) and not text[stop].isspace():
-            stop += 1
-        if first >= 0 and start - end <= 2 and text[end:start].strip(" ") == "":
-            end = stop
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        if start == m.start():
             continue
-        if first >= 0:
-            yield first, end
-        first, end = start, stop
-    if first >= 0:
-        yield first, end
-
-
-def _span_features(text: str, start: int, end: int, before: tuple[str, ...]) -> list[str]:
-    s = text[start:end]
-    digits = _digits(s)
-    groups = re.findall(r"[0-9]+", s)
-    rest = set(re.sub(r"[0-9A-Za-z]+", "", s))
-    left, right = text[start - 1 : start], text[end : end + 1]
-    n = len(digits)
-    f = ["bias", f"n{min(n, 20)}", f"g{min(len(groups), 6)}", "last" + str(min(len(groups[-1]), 6) if groups else 0)]
-    f += [f"has{c}" for c in rest if c in "@.+()-_ /:"] + (["other"] if rest - set("@.+()-_ /:") else [])
-    f.append("at" + str(min(s.count("@"), 2)))
-    letters = any(c.isalpha() for c in s)
-    f.append("letters" if letters else "noletters")
-    f.append(f"edge{s[0] if not s[0].isalnum() else 'a'}{'d' if s[-1].isdigit() else 'a' if s[-1].isalpha() else 'x'}")
-    f.append("l_word" if left and (left.isalnum() or left in "._-+@#/") else "l_free")
-    f.append("r_word" if right and (right.isalnum() or right in "_-@/") else "r_free")
-    if right == "." and text[end + 1 : end + 2].isalnum():
-        f.append("r_goes_on")
-    if 13 <= n <= 19 and not letters:
-        f.append("luhn" if luhn(digits) else "no_luhn")
-    if len(groups) == 4 and s.count(".") == 3 and len(rest) == 1:
-        f.append("quad" if all(map(_small, groups)) else "bad_quad")
-    if re.fullmatch(r"[^@\s]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", s):
-        f.append("mail_shape")
-    shape = re.sub(r"[0-9]", "d", re.sub(r"[0-9]{5,}", "D", s))
-    if len(shape) <= 24 and not letters:
-        f.append("s:" + shape)
-    if s.count("(") != s.count(")"):
-        f.append("unbalanced")
-    return f + ["w:" + w for w in before]
-
-
-class Island:
-    """A stretch's candidate segments, each with its features as column numbers."""
-
-    def __init__(self, text: str, start: int, end: int, columns: dict[str, int], grow: bool):
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
-        self.tokens, self.segments, flat, sizes = tokens, [], [], []
-        head = text[max(0, start - 40) : start].lower().split()[-2:]
-        for a in range(len(tokens)):
-            if text[tokens[a][0]].isspace():
+        local, domain = text[start : m.start()], re.sub(r"\x20?[\[(](?i:dot)[\])]\x20?", ".", right[0]).rstrip("-_.")
+        end = m.end() + len(right[0].rstrip("-_."))
+        top = domain.rpartition(".")[2]
+        after = text[end : end + 1]
+        yield start, end, ("mail", how, min(domain.count("."), 3), min(len(top), 7) if top.isalpha() else 0, local.isdigit(), (local + domain).isascii(), _edge(text[start - 1 : start] if start else "", "@/:"), _edge(after, "_@/"), _cue(text, start))
+
+
+def features(key: tuple) -> list[str]:
+    """Names of a candidate's features."""
+    if key[0] == "mail":
+        _, how, dots, top, digits, ascii_only, left, right, cue = key
+        return ["mail", f"m_{how}", f"m_dots{dots}", f"m_top{top}", f"m_digits{digits}", f"m_ascii{ascii_only}", f"m_left_{left}", f"m_right_{right}", f"m_cue_{cue}"]
+    _, n, lens, seps, lead, zero, left, right, check, cue = key
+    f = ["number", f"n{n}", f"g{len(lens)}", f"first{lens[0]}", f"last{lens[-1]}", f"lead{lead}", f"zero{zero}", f"left_{left}", f"right_{right}", f"check_{check}", f"cue_{cue}"]
+    marks = {x.strip(" ") or x for x in seps}
+    f += [f"sep{x}" for x in sorted(marks)] or ["whole"]
+    f.append("even" if len(marks) <= 1 else "mixed")
+    if len(lens) <= 6 and n <= 16:
+        f.append("lens" + "-".join(map(str, lens)))
+    opened = lead.count("(") + sum(x.count("(") for x in seps)
+    f.append("closed" if opened == sum(x.count(")") for x in seps) else "unclosed")
+    if len(lens) >= 4 and set(lens[:-1]) == {4}:
+        f.append("fours")
+    return f
+
+
+class Field:
+    """Scores candidates by weights of their features; equal keys are scored once."""
+
+    def __init__(self, columns: dict[str, int], weights: np.ndarray):
+        self.columns, self.weights, self.known = columns, weights, {}
+
+    def best_type(self, key: tuple) -> tuple[float, int]:
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= 50_000:
+                self.known.clear()
+            scores = self.weights[[self.columns[f] for f in features(key) if f in self.columns]].sum(axis=0)
+            found = self.known[key] = (float(scores.max()), int(scores.argmax()))
+        return found
+
+    def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """The best segmentation's entities that overlap none of ``taken`` (by start)."""
+        out: list[tuple[int, int, str]] = []
+        cluster: list[tuple[int, int, float, int]] = []
+        starts = [x[0] for x in taken]
+        furthest = np.maximum.accumulate([x[1] for x in taken]).tolist() if taken else []
+        reach = 0
+        for start, end, key in heapq.merge(numbers(text), mails(text), key=lambda c: c[1]):
+            score, kind = self.best_type(key)
+            if score <= 0 or end - start > LONGEST:
+                continue
+            k = bisect_right(starts, end - 1) - 1
+            if k >= 0 and furthest[k] > start:
                 continue
-            clue = False
-            for b in range(a, min(a + BOUND, len(tokens))):
-                piece = text[tokens[b][0] : tokens[b][1]]
-                if piece[0].isspace():
-                    if len(piece) > 2:
-                        break
-                    continue
-                clue = clue or piece[0].isdigit() or piece[0] == "@"
-                if not clue or not (piece[-1].isalnum() or piece == ")"):
-                    continue
-                before = tuple(w.strip(":#.,=") for w in (text[max(start, tokens[a][0] - 40) : tokens[a][0]].lower().split() or head)[-2:])
-                names = _span_features(text, tokens[a][0], tokens[b][1], before)
-                ids = [columns.setdefault(x, len(columns)) for x in names] if grow else [columns[x] for x in names if x in columns]
-                self.segments.append((a, b + 1))
-                flat += ids
-                sizes.append(len(ids))
-        self.flat, self.ends = np.array(flat, np.int64), np.cumsum(sizes, dtype=np.int64)
-
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        """(segments, types)"""
-        if not len(self.ends):
-            return np.zeros((0, len(TYPES)))
-        sums = np.vstack([np.zeros(len(TYPES)), np.cumsum(weights[self.flat], axis=0)])
-        ends = self.ends
-        return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
-
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, str]]:
-        """The highest-scoring segmentation's entities, as places in the text."""
-        score = self.scores(weights)
-        top, kind = score.max(axis=1, initial=-np.inf), score.argmax(axis=1) if len(score) else []
-        n = len(self.tokens)
-        value, back = [0.0] * (n + 1), [None] * (n + 1)
-        by_end: dict[int, list[int]] = {}
-        for k, (_, b) in enumerate(self.segments):
-            if top[k] > 0:
-                by_end.setdefault(b, []).append(k)
-        for b in range(1, n + 1):
-            value[b] = value[b - 1]
-            for k in by_end.get(b, ()):
-                v = value[self.segments[k][0]] + float(top[k])
-                if v > value[b]:
-                    value[b], back[b] = v, k
-        out, b = [], n
-        while b:
-            k = back[b]
-            if k is None:
-                b -= 1
-            else:
-                a = self.segments[k][0]
-                out.append((self.tokens[a][0], self.tokens[b - 1][1], TYPES[int(kind[k])]))
-                b = a
-        return out[::-1]
-
-    def gradient(self, weights: np.ndarray, gold: set[tuple[int, int, int]]) -> np.ndarray:
-        """(segments, types): gold less expected, by the forward and backward sums over segmentations."""
-        score, n = self.scores(weights), len(self.tokens)
-        fore, rear = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        fore[0] = rear[n] = 0.0
-        whole = np.logaddexp.reduce(score, axis=1) if len(score) else []
-        by_end: dict[int, list[int]] = {}
-        by_start: dict[int, list[int]] = {}
-        for k, (a, b) in enumerate(self.segments):
-            by_end.setdefault(b, []).append(k)
-            by_start.setdefault(a, []).append(k)
-        for b in range(1, n + 1):
-            fore[b] = np.logaddexp.reduce([fore[b - 1], *(fore[self.segments[k][0]] + whole[k] for k in by_end.get(b, ()))])
-        for a in range(n - 1, -1, -1):
-            rear[a] = np.logaddexp.reduce([rear[a + 1], *(rear[self.segments[k][1]] + whole[k] for k in by_start.get(a, ()))])
-        out = np.zeros_like(score)
-        for k, (a, b) in enumerate(self.segments):
-            out[k] = -np.exp(np.minimum(0.0, fore[a] + score[k] + rear[b] - fore[n]))
-            for t in range(len(TYPES)):
-                out[k, t] += (self.tokens[a][0], self.tokens[b - 1][1], t) in gold
-        return out
+            if cluster and (end - LONGEST >= reach or len(cluster) >= WINDOW):
+                out += _chosen(cluster)
+                cluster.clear()
+            if start >= (out[-1][1] if out else 0):
+                cluster.append((start, end, score, kind))
+                reach = end
+        return out + _chosen(cluster)
+
+
+def _chosen(cluster: list[tuple[int, int, float, int]]) -> list[tuple[int, int, str]]:
+    """The sets of segments with the highest sum, none overlapping; ``cluster`` is by end."""
+    ends, value, back = [0], [0.0], [-1]
+    for k, (start, end, score, _) in enumerate(cluster):
+        before = bisect_right(ends, start) - 1
+        if value[before] + score > value[-1]:
+            ends.append(end)
+            value.append(value[before] + score)
+            back.append((k, before))
+    out, at = [], len(ends) - 1
+    while at > 0:
+        k, at = back[at]
+        out.append((cluster[k][0], cluster[k][1], TYPES[cluster[k][3]]))
+    return out[::-1]
+
+
+def expected(candidates: list[Candidate], score: np.ndarray) -> np.ndarray:
+    """(candidates, types): probabilities, by the forward and backward sums over all segmentations."""
+    points = sorted({x for c in candidates for x in c[:2]})
+    place = {p: i for i, p in enumerate(points)}
+    spans = [(place[s], place[e]) for s, e, _ in candidates]
+    whole = np.logaddexp.reduce(score, axis=1)
+    by_end, by_start = [[] for _ in points], [[] for _ in points]
+    for k, (a, b) in enumerate(spans):
+        by_end[b].append(k)
+        by_start[a].append(k)
+    fore, rear = np.zeros(len(points)), np.zeros(len(points))
+    for i in range(1, len(points)):
+        fore[i] = np.logaddexp.reduce([fore[i - 1], *(fore[spans[k][0]] + whole[k] for k in by_end[i])])
+    for i in range(len(points) - 2, -1, -1):
+        rear[i] = np.logaddexp.reduce([rear[i + 1], *(rear[spans[k][1]] + whole[k] for k in by_start[i])])
+    return np.array([np.exp(np.minimum(0.0, fore[a] + score[k] + rear[b] - fore[-1])) for k, (a, b) in enumerate(spans)])
 
 
 def sentence(rnd: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """A generated text and its entities; half of its numbers are none."""
+    """A generated text and its entities; over half of its numbers are none."""
     d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
     w = lambda a=2, b=9: "".join(rnd.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(rnd.randint(a, b)))
+    of = lambda kind: rnd.choice(CUES[kind].split())
 
-    def card() -> str:
-        n = rnd.choice((15, 16, 16, 16, 16, 19))
+    def card(good: bool) -> str:
+        n = rnd.choice((13, 15, 16, 16, 16, 16, 19))
         body = rnd.choice("3456") + d(n - 2)
-        digits = next(body + c for c in "0123456789" if luhn(body + c))
-        sep = rnd.choice(("", "", " ", "-", ".", " - "))
-        return sep.join(digits[k : k + 4] for k in range(0, n, 4))
-
-    def no_card() -> str:
-        while luhn(x := rnd.choice("123456789") + d(15)):
-            pass
-        return x
-
-    area, mid, line = str(rnd.randint(100, 999)), d(3), d(4)
-    phones = (f"({area}) {mid}-{line}", f"({area}){mid}-{line}", f"{area}-{mid}-{line}", f"{area}.{mid}.{line}", f"+1 ({area}) {mid}-{line}", f"+{rnd.randint(20, 99)} {d(3)} {d(7)}", f"+1-{area}-{mid}-{line}", f"1 ({area}) {mid}-{line}", f"00{rnd.randint(20, 99)} {d(3)} {d(7)}")
-    host = f"{w()}.{rnd.choice(('com', 'org', 'net', 'de', 'example.com'))}"
-    user = rnd.choice((w(), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}+{w(2, 4)}"))
-    mails = (f"{user}@{host}", f"{user}@{w()}.{host}")
+        digits = body + next(c for c in "0123456789" if luhn(body + c) == good)
+        if n == 15:
+            cut = (digits[:4], digits[4:10], digits[10:])
+        else:
+            cut = tuple(digits[k : k + 4] for k in range(0, n, 4))
+        return rnd.choice(("", "", " ", "-", ".", " - ")).join(cut)
+
+    area, mid, line = str(rnd.randint(200, 999)), d(3), d(4)
+    phones = (
+        f"({area}) {mid}-{line}", f"({area}){mid}-{line}", f"({area}) {mid} {line}", f"{area}-{mid}-{line}", f"{area}.{mid}.{line}", f"+1 ({area}) {mid}-{line}", f"+{rnd.randint(20, 99)} {d(3)} {d(7)}", f"+{rnd.randint(20, 99)} {d(2)} {d(4)} {d(4)}",
+        f"+1-{area}-{mid}-{line}", f"1 ({area}) {mid}-{line}", f"1-{area}-{mid}-{line}", f"00{rnd.randint(20, 99)} {d(3)} {d(7)}", f"0{d(2)}/{d(7)}", f"0{d(3)} {d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+{rnd.randint(20, 99)}{d(9)}",
+    )
+    top = rnd.choice(("com", "org", "net", "de", "fr", "info", "io"))
+    host = f"{w()}.{top}"
+    user = rnd.choice((w(), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}+{w(2, 4)}", f"{w()}ü{w()}"))
+    mails_ = (f"{user}@{host}", f"{user}@{w()}.{host}", f"{w()} (at) {host}", f"{w()}[at]{w()}[dot]{top}", f"{w()}@{w()}é{w()}.{top}")
     ips = (".".join(str(rnd.randint(0, 255)) for _ in range(4)),)
-    none = (d(rnd.randint(1, 6)), str(rnd.randint(1900, 2030)), f"{d(2)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(2)}:{d(2)}", no_card(), "".join(rnd.choice("0123456789abcdef") for _ in range(40)), f"{d(3)} {d(2)}", f"{rnd.randint(300, 999)}.{d(3)}.{d(3)}.{d(3)}", f"@{w()}", f"{w()}{d(3)}", f"{d(5)}-{d(5)}", f"v{d(1)}.{d(2)}.{d(2)}.{d(1)}.{d(1)}", f"{d(3)}%", f"#{d(4)}", f"{d(3)}/{d(3)}-{d(4)}/{d(2)}")
+    count = rnd.randint(3, 9)
+    size = rnd.randint(1, 9)
+    start = rnd.randint(10 ** (size - 1), 10**size)
+    none = (
+        d(rnd.randint(1, 6)), str(rnd.randint(1900, 2030)), f"{d(2)}.{d(2)}", f"{d(1)}.{d(1)}.{d(1)}", f"{d(4)}-{d(2)}-{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", f"${d(2)},{d(3)}.{d(2)}", f"{d(2)}:{d(2)}", card(False),
+        "".join(rnd.choice("0123456789abcdef") for _ in range(40)), f"{d(3)} {d(2)}", f"{rnd.randint(300, 999)}.{d(3)}.{d(3)}.{d(3)}", f"@{w()}", f"{w()}@{w()}", f"{w()}{d(rnd.randint(3, 12))}", f"{d(5)}-{d(5)}", f"v{d(1)}.{d(2)}.{d(2)}.{d(1)}.{d(1)}", f"{d(3)}%", f"#{d(rnd.randint(4, 10))}",
+        f"{d(3)}/{d(3)}-{d(4)}/{d(2)}", d(rnd.randint(7, 12)), d(rnd.randint(7, 12)), f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(8)}-{d(4)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)} {d(3)} {d(3)}", f"{d(2)} {d(3)} {d(3)}", f"0.{d(9)}", f"{d(3)}.{d(8)}", f"{of('other')} {d(rnd.randint(7, 16))}", f"{of('other')} {d(4)}-{d(4)}-{d(4)}",
+        " ".join(str(start + k) for k in range(count)), " ".join(d(size) for _ in range(count)), " ".join(d(rnd.randint(1, 7)) for _ in range(count)), "-".join(d(rnd.randint(2, 5)) for _ in range(count)), ".".join(d(rnd.randint(1, 4)) for _ in range(count)), "/".join(d(rnd.randint(1, 4)) for _ in range(count)), f"{d(4)}–{d(4)}", f"({d(4)}) {d(4)}", f"{d(3)}-{d(2)}-{d(4)}",
+    )
     out, spans = "", []
     for _ in range(rnd.randint(1, 4)):
+        kind = rnd.choice((*TYPES, "none", "none", "none", "none", "none"))
         out += " ".join(w() for _ in range(rnd.randint(0, 3)))
-        out += rnd.choice(("", " ")) if not out else rnd.choice((" ", " ", ". ", ", "))
-        kind = rnd.choice((*TYPES, "none", "none", "none", "none"))
-        pick = card() if kind == "card" else rnd.choice({"phone": phones, "email": mails, "ip": ips, "none": none}[kind])
+        out += rnd.choice(("", " ")) if not out else rnd.choice((" ", " ", ". ", ", ", "\n"))
+        if kind != "none" and rnd.random() < 0.4:
+            out += of(kind) + rnd.choice((" ", ": ", " "))
+        pick = card(True) if kind == "card" else rnd.choice({"phone": phones, "email": mails_, "ip": ips, "none": none}[kind])
         if kind != "none":
             spans.append((len(out), len(out) + len(pick), kind))
         out += pick + rnd.choice(("", "", "", ".", ",", " ."))
@@ -250,69 +315,76 @@ def sentence(rnd: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     return out, spans
 
 
-@lru_cache(maxsize=4)
-def learn(sentences: int = 400, rounds: int = 8, seed: int = 11, decay: float = 1e-4) -> tuple[dict[str, int], np.ndarray]:
-    """Feature columns and weights (columns, types), by stochastic gradient ascent on the likelihood."""
+def learn(sentences: int = 2_500, rounds: int = 8, seed: int = 11, decay: float = 1e-3) -> dict[str, list[float]]:
+    """Weights of each feature by type, by stochastic gradient ascent on the likelihood."""
     rnd = random.Random(seed)
     columns: dict[str, int] = {}
     data = []
     for _ in range(sentences):
         text, spans = sentence(rnd)
-        gold = {(s, e, _RANK[k]) for s, e, k in spans}
-        data += [(Island(text, a, b, columns, True), gold) for a, b in stretches(text)]
+        found = [*numbers(text), *mails(text)]
+        rows = [[columns.setdefault(f, len(columns)) for f in features(c[2])] for c in found]
+        gold = {(s, e): _RANK[k] for s, e, k in spans}
+        target = np.array([[gold.get(c[:2]) == t for t in range(len(TYPES))] for c in found], float)
+        if found:
+            data.append((found, rows, target))
     weights, power = np.zeros((len(columns), len(TYPES))), np.full((len(columns), len(TYPES)), 1e-2)
     for _ in range(rounds):
         rnd.shuffle(data)
-        for island, gold in data:
-            if not len(island.ends):
-                continue
-            step = np.repeat(island.gradient(weights, gold), np.diff(island.ends, prepend=0), axis=0)
-            at, where = np.unique(island.flat, return_inverse=True)
+        for found, rows, target in data:
+            flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            score = np.zeros((len(rows), len(TYPES)))
+            np.add.at(score, owner, weights[flat])
+            step = target - expected(found, score)
+            at, where = np.unique(flat, return_inverse=True)
             g = np.zeros((len(at), len(TYPES)))
-            np.add.at(g, where, step)
+            np.add.at(g, where, step[owner])
             g -= decay * weights[at]
             power[at] += g * g
             weights[at] += 0.3 * g / np.sqrt(power[at])
-    seen = np.abs(weights).max(axis=1) > 0.05
-    kept = {c: i for c, i in columns.items() if seen[i]}
-    return {c: k for k, c in enumerate(kept)}, weights[list(kept.values())]
+    return {c: [round(float(x), 3) for x in weights[i]] for c, i in columns.items() if np.abs(weights[i]).max() > 0.1}
+
 
+@lru_cache(maxsize=1)
+def shipped() -> tuple[dict[str, int], np.ndarray]:
+    """Columns and weights as ``learn`` gave them; ``python -m scholargraph.llm.pii`` writes them anew."""
+    kept = json.loads(resources.files("scholargraph.llm").joinpath("pii_weights.json").read_text())
+    return {c: i for i, c in enumerate(kept)}, np.array(list(kept.values()))
 
-def field_spans(text: str, columns: dict[str, int], weights: np.ndarray, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+
+def field_spans(text: str, field: Field, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The field's entities that overlap no fixed span."""
-    out = []
-    for a, b in stretches(text):
-        for s, e, k in Island(text, a, b, columns, False).best(weights):
-            if not any(x < e and s < y for x, y, _ in taken):
-                out.append((s, e, k))
-    return out
+    return field.spans(text, taken)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Spans are kind:start:end in code points, by start. A null text is empty. Null and repeated ids keep
-    a row each.
+    a row each, repeated rows repeat it; other columns don't matter. Texts are read whole in linear time,
+    very long ones too: what is kept of a text is its spans.
     """
-    columns, weights = learn()
+    columns, weights = shipped()
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     types = [pa.int64()] * 5 + [pa.string()] * 2
     told = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], _RANK[x[2]])))
 
     def run(batches):
-        empty = hashlib.sha256(b"").hexdigest()
+        field, empty = Field(columns, weights), hashlib.sha256(b"").hexdigest()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                row = (doc, 0, 0, 0, 0, empty, "")
-                if _CLUE.search(text):
-                    base = base_spans(text)
-                    more = field_spans(text, columns, weights, base)
-                    row = (doc, *(sum(k == x[2] for x in base) for k in TYPES), hashlib.sha256(told(base).encode()).hexdigest(), told(base + more))
+                base = base_spans(text)
+                more = field_spans(text, field, base)
+                row = (doc, *(sum(k == x[2] for x in base) for k in TYPES), hashlib.sha256(told(base).encode()).hexdigest() if base else empty, told(base + more))
                 for col, v in zip(out, row):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+
+
+if __name__ == "__main__":
+    (Path(__file__).parent / "pii_weights.json").write_text(json.dumps(learn(), indent=0, ensure_ascii=False) + "\n")
