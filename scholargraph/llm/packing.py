@@ -25,29 +25,43 @@ from pyspark.sql import functions as F
 from scholargraph.llm.tokenizing import words_of
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 
+#: Bytes of ids that a task hands on at once.
+_HELD = 32_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Token pieces of every document: its ids and the end id, cut only where longer than ``capacity``.
 
-    A null text is empty: one piece that holds the end id. Null ids and repeated rows are kept.
+    A null text is empty: one piece that holds the end id. Null ids and repeated rows are kept; other
+    columns don't matter. With ``keep_ids`` each piece has its token ids as ``ids``.
     """
     cut, tail = 4 * capacity, end_id.to_bytes(4, "little")
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids
 
     def run(batches):
         words = words_of(tokenizer)
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, held = [[] for _ in fields], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = words.ids(text.as_py() or "") + tail
                 for k, at in enumerate(range(0, len(ids), cut)):
                     part = ids[at : at + cut]
-                    for col, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for col, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4"))):
                         col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                held += keep_ids * len(ids)
+                if held > _HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields)], [n for n, _ in fields])
+                    out, held = [[] for _ in fields], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields)], [n for n, _ in fields])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * keep_ids)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids, n_pieces) of packed pieces that kept their ids: the training sequences, at most ``capacity`` ids each."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"), F.count("*").alias("n_pieces"))
 
 
 def _configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 300) -> list[tuple[float, np.ndarray]]:
@@ -234,6 +248,10 @@ def pack(parts: DataFrame, capacity: int, salts: int | None = None) -> DataFrame
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; and ids with ``keep_ids``.
+
+    Null texts are empty, null ids and repeated rows are kept, a very long text makes many pieces, an
+    empty table gives an empty one.
+    """
+    return pack(written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, keep_ids), "pieces"), capacity)

@@ -21,10 +21,17 @@ _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\t-\r 0-9{_LE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Characters of the longest pre-token that is kept, and bytes of an entry besides its own.
+LONGEST_KEPT, ENTRY_BYTES = 64, 200
+
+
 class Words:
-    """Splits texts into pre-tokens and encodes single pre-tokens, with a bounded memo of ids."""
+    """Splits texts into pre-tokens and encodes single pre-tokens, with a memo of ids bounded by bytes.
 
-    def __init__(self, path: str, most_kept: int = 500_000):
+    Long pre-tokens, as of scripts without spaces or of runs of letters, are seldom met again and not kept.
+    """
+
+    def __init__(self, path: str, most_bytes: int = 120_000_000):
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -34,7 +41,7 @@ class Words:
         self._split = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
         if PATTERN not in json.dumps(spec["pre_tokenizer"]).replace("\\\\", "\\"):
             raise ValueError(f"{path} splits words by another pattern")
-        self.most_kept, self._ids = most_kept, {}
+        self.most_bytes, self._bytes, self._ids = most_bytes, 0, {}
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text; a special string inside it is one pre-token of its own."""
@@ -48,13 +55,18 @@ class Words:
                 out += [w for w, _ in self._split.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))]
         return out
 
-    def learn(self, words) -> None:
-        """Encodes those of ``words`` that are new; the memo starts afresh when it is full."""
-        if len(self._ids) > self.most_kept:
-            self._ids.clear()
+    def learn(self, words) -> dict[str, bytes]:
+        """Ids of those of ``words`` that are not kept. Short ones are kept from now on; a full memo starts afresh."""
         new = [w for w in words if w not in self._ids]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            self._ids[w] = array("I", e.ids).tobytes()
+        made = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [])}
+        for w, ids in made.items():
+            if len(w) <= LONGEST_KEPT:
+                if self._bytes > self.most_bytes:
+                    self._ids.clear()
+                    self._bytes = 0
+                self._ids[w] = ids
+                self._bytes += ENTRY_BYTES + 4 * len(w) + len(ids)
+        return made
 
     def ids(self, text: str) -> bytes:
         """A text's ids as little-endian unsigned 32-bit numbers."""
@@ -62,8 +74,8 @@ class Words:
         try:
             return b"".join(map(self._ids.__getitem__, words))
         except KeyError:
-            self.learn(dict.fromkeys(words))
-            return b"".join(map(self._ids.__getitem__, words))
+            kept = {w: self._ids[w] for w in dict.fromkeys(words) if w in self._ids}
+            return b"".join(map((kept | self.learn(w for w in dict.fromkeys(words) if w not in kept)).__getitem__, words))
 
     def counts(self, words: list[str]) -> list[int]:
         """The number of ids of each of some distinct pre-tokens."""
