@@ -3,30 +3,39 @@
 The templates' words become one automaton of all their substrings. A text's words run through it once;
 at each word the automaton knows the longest match that ends there. Maximal matches of enough words are
 chained, in order of text and template with small gaps, and a template counts as found where a chain
-covers enough of it.
+covers enough of it. Whole licences are cut into paragraphs, each a template of its own, so that a licence
+without its first or last paragraph is found by the others.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Label and text of licence notices.
-TEMPLATES = (
+NOTICES = (
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
 #: Phrases of the base rule and their labels.
@@ -108,31 +117,69 @@ class Automaton:
             yield len(seq) - n, len(seq), state
 
 
+def whole_licences() -> tuple[tuple[str, str], ...]:
+    """(label, paragraph) of the licence texts kept beside this module, a file each."""
+    files = sorted(resources.files("scholargraph.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name)
+    return tuple((f.name.removesuffix(".txt"), p) for f in files for p in f.read_text().split("\n\n") if p.strip())
+
+
+TEMPLATES = NOTICES + whole_licences()
+#: template, first word, end, words covered by matches, their share of the template
+Span = tuple[int, int, int, int, float]
+
+
 class Scanner:
+    """Finds templates (label, text). A match has ``least`` words, a chain's gaps ``gap`` words at most, a found one the share ``cover``."""
+
     def __init__(self, templates=TEMPLATES, least: int = 3, gap: int = 8, cover: float = 0.75):
         self.labels, sequences = [label for label, _ in templates], [words(t) for _, t in templates]
         self.sizes, self.least, self.gap, self.cover = [len(s) for s in sequences], least, gap, cover
         self.automaton = Automaton(sequences)
 
-    def found(self, seq: list[bytes]) -> tuple[set[str], float]:
-        """Labels of templates that a chain covers, and the largest covered share of any template."""
-        chains: dict[int, tuple[int, int, int]] = {}  # by template: end in the text, end in it, words covered
-        labels, best = set(), 0.0
+    def chains(self, seq: list[bytes]) -> tuple[list[Span], float]:
+        """Every template's covered spans, those that overlap given once; the largest covered share of any.
+
+        The best chain that ends with a match takes one before it that ends at most ``gap`` words back, in
+        the text and in the template; what overlaps in either counts once. Matches come by their ends and
+        starts, so chains that ended too long ago are let go.
+        """
+        live: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # by template: end in the text, end in it, words covered, first word
+        found: dict[int, list[Span]] = defaultdict(list)
+        most = 0.0
         for start, end, state in self.automaton.matches(seq, self.least):
             size = end - start
+            added: dict[int, list] = defaultdict(list)
             for k, at in self.automaton.ends[state]:
-                chain = chains.get(k)
-                got = size
-                if chain and start - chain[0] <= self.gap and end > chain[0] and at > chain[1]:
-                    got = chain[2] + min(size, at - chain[1], end - chain[0])
-                elif chain and chain[2] > size and end - chain[0] <= self.gap:
-                    continue
-                chains[k] = (end, at, got)
+                live[k] = [c for c in live[k] if c[0] >= start - self.gap]
+                got, first = size, start
+                for c_end, c_at, c_got, c_first in live[k]:
+                    if at > c_at and end > c_end and at - size - c_at <= self.gap:
+                        sum_ = c_got + min(size, at - c_at, end - c_end)
+                        if sum_ > got:
+                            got, first = sum_, c_first
+                added[k].append((end, at, got, first))
                 share = min(1.0, got / self.sizes[k])
-                best = max(best, share)
+                most = max(most, share)
                 if share >= self.cover:
-                    labels.add(self.labels[k])
-        return labels, best
+                    span = (k, first, end, got, share)
+                    if found[k] and first < found[k][-1][2]:
+                        if share >= found[k][-1][4]:
+                            found[k][-1] = span
+                    else:
+                        found[k].append(span)
+            for k, chains in added.items():
+                live[k] += chains
+        return [s for spans in found.values() for s in spans], most
+
+    def found(self, seq: list[bytes]) -> tuple[list[Span], float]:
+        """The spans by place, without those that lie for the most part in a span of another label with more words covered."""
+        spans, most = self.chains(seq)
+        kept: list[Span] = []
+        for s in sorted(spans, key=lambda s: (-s[3], s)):
+            inside = lambda o: 2 * (min(s[2], o[2]) - max(s[1], o[1])) >= s[2] - s[1]  # noqa: E731, B023
+            if not any(o[3] > s[3] and self.labels[o[0]] != self.labels[s[0]] and inside(o) for o in kept):
+                kept.append(s)
+        return sorted(kept, key=lambda s: (s[1], s[2], s[0])), most
 
 
 def phrase_places(data: bytes, seq: list[bytes]) -> tuple[list[int], set[str]]:
@@ -153,13 +200,15 @@ _PHRASES = tuple((tuple(w.encode() for w in p), label) for p, label in PHRASES)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, template_spans.
 
-    A null text is empty: no words, null places, empty labels, score 0. Null and repeated ids keep a row
-    each. Time is linear in the text; a state's template places are as many as the templates have words.
+    ``template_spans`` lists what the chains cover as label:first word:end:share in hundredths, by place. A
+    null text is empty: no words, null places, empty labels, score 0. Null and repeated ids keep a row each,
+    repeated rows repeat it; other columns don't matter. Time is linear in the text; a state's template
+    places are as many as the templates have words.
     """
-    types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64()]
-    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.float64(), pa.string()]
+    names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "template_spans"]
 
     def run(batches):
         scanner = Scanner(templates, **how)
@@ -169,11 +218,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
                 data = (text.as_py() or "").encode().translate(_TABLE)
                 seq = data.split()
                 starts, base = phrase_places(data, seq)
-                more, score = scanner.found(seq)
-                row = (doc, len(seq), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score)
+                spans, score = scanner.found(seq)
+                more = {scanner.labels[s[0]] for s in spans}
+                told = ",".join(f"{scanner.labels[k]}:{first}:{end}:{int(100 * share)}" for k, first, end, _, share in spans)
+                row = (doc, len(seq), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score, told)
                 for col, v in zip(out, row):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return plain.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, template_spans string")
