@@ -11,10 +11,13 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.plans.cutpoints import written
+from scholargraph.plans.cutpoints import maybe_broadcast, written
+
+#: Places of boilerplate that may be sent to every executor; beyond it the texts are shuffled to meet them.
+DROP_PLACES = 300_000
 
 
 #: Sites that make a line boilerplate, by default. Ten words and more don't coincide by chance: in the given
@@ -28,16 +31,26 @@ def _words(n: int) -> str:
     return r"([^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (n - 1)
 
 
+def _row_key(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart, also where ids are null or repeat: the id, and a hash of the text."""
+    return [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row")]
+
+
 def line_places(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int, min_sites: int | None = None) -> DataFrame:
-    """(id, site, pos, k1, k2, need) of the lines that have ``min_words`` words; need is how many sites make it boilerplate."""
+    """(id, row, site, pos, k1, k2, need) of the lines that have ``min_words`` words; need is how many sites make it boilerplate."""
     need = F.when(F.col("line").rlike(_words(LONG_WORDS)), LONG_SITES).otherwise(SHORT_SITES) if min_sites is None else F.lit(min_sites)
-    lines = docs.select(F.col(id_col).alias("id"), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    return lines.filter(F.col("line").rlike(_words(min_words))).select("id", "site", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("second"), "line").alias("k2"), need.alias("need"))
+    lines = docs.select(*_row_key(id_col, text_col), F.col(site_col).alias("site"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    return lines.filter(F.col("line").rlike(_words(min_words))).select("id", "row", "site", "pos", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("second"), "line").alias("k2"), need.alias("need"))
+
+
+def _place() -> Column:
+    """A line's place; places without an id come last."""
+    return F.struct(F.col("id").isNull().alias("z"), "id", "row", "pos")
 
 
 def line_sketches(places: DataFrame, lg_k: int = 12) -> DataFrame:
     """(k1, k2, sketch, first, need): sketches of sites merge by ``hll_union_agg`` over tables made apart."""
-    return places.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "pos"))).alias("first"), F.min("need").alias("need"))
+    return places.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(_place()).alias("first"), F.min("need").alias("need"))
 
 
 def boilerplate_lines(places: DataFrame, margin: float) -> DataFrame:
@@ -45,7 +58,8 @@ def boilerplate_lines(places: DataFrame, margin: float) -> DataFrame:
     estimated = written(line_sketches(places).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").filter(F.col("sites") > F.col("need") * (1 - margin)), "spread")
     sure = F.col("sites") >= F.col("need") * (1 + margin)
     near = estimated.filter(~sure)
-    exact = places.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "site", "need").distinct().groupBy("k1", "k2").agg(F.count("site").alias("exact"), F.min("need").alias("need")).filter(F.col("exact") >= F.col("need"))
+    close = maybe_broadcast(near.select("k1", "k2"), near.count())
+    exact = places.join(close, ["k1", "k2"], "left_semi").select("k1", "k2", "site", "need").distinct().groupBy("k1", "k2").agg(F.count("site").alias("exact"), F.min("need").alias("need")).filter(F.col("exact") >= F.col("need"))
     return estimated.filter(sure).select("k1", "k2", "first").union(near.join(exact, ["k1", "k2"], "left_semi").select("k1", "k2", "first"))
 
 
@@ -53,16 +67,20 @@ def clean_lines(docs: DataFrame, min_sites: int | None = None, min_words: int =
     """``docs`` with boilerplate removed from the text, and n_lines and n_removed (long).
 
     A line of at least ``min_words`` words that at least ``min_sites`` distinct sites hold is
-    boilerplate (by default, 5 sites for lines of ten words and more, 10 for shorter ones); its place with the least (id, position) stays, all others go. Null sites count as no
-    site. Rows with a null id or text keep their text; rows that repeat an id lose the same places. A
-    text that loses all its lines is empty. Other columns pass through; ``__id`` and ``__drop`` are
-    taken.
+    boilerplate (by default, 5 sites for lines of ten words and more, 10 for shorter ones); its place with
+    the least (id, hash of the text, position) stays, those of null ids last, all others go. Null sites
+    count as no site. Rows are told apart by id and text: rows that repeat both lose the same places. A
+    null text stays null; a text that loses all its lines is empty. A very long text is one row of many
+    lines. Other columns pass through; ``__id``, ``__row`` and ``__drop`` are taken.
+
+    The texts are not shuffled unless there are over ``DROP_PLACES`` places to remove.
     """
     places = written(line_places(docs, id_col, text_col, site_col, min_words, min_sites), "lines")
-    found = boilerplate_lines(places, margin)
-    gone = places.join(found, ["k1", "k2"]).filter(F.col("id").isNotNull() & (F.struct("id", "pos") != F.col("first")))
-    drop = gone.groupBy("id").agg(F.collect_set("pos").alias("__drop")).withColumnRenamed("id", "__id")
-    joined = docs.join(drop, docs[id_col] == drop["__id"], "left")
+    found = written(boilerplate_lines(places, margin), "boilerplate")
+    gone = places.join(maybe_broadcast(found, found.count()), ["k1", "k2"]).filter(_place() != F.col("first"))
+    drop = written(gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drop")), "drop")
+    drop = maybe_broadcast(drop, drop.agg(F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0], DROP_PLACES)
+    joined = docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (F.xxhash64(docs[text_col]) == drop["__row"]), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
     cut = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))

@@ -112,7 +112,12 @@ WITH w AS (
   UNION ALL
   SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark WHERE text IS NOT NULL),
 s AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5),
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 5
+  UNION
+  SELECT side, id, array_to_string(w, ' ') FROM w WHERE side = 'b' AND len(w) BETWEEN 1 AND 4
+  UNION
+  SELECT side, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) FROM w
+    JOIN (SELECT DISTINCT len(w) AS k FROM w WHERE side = 'b' AND len(w) BETWEEN 1 AND 4) ON len(w) >= k WHERE side = 'd'),
 n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(n.n_shingles) AS n_shingles, count(*) / any_value(n.n_shingles) AS containment
 FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id = b.id
