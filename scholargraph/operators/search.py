@@ -10,6 +10,10 @@ from scholargraph.functions.normalize import normalize_crossref, normalize_opena
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 
 
+#: Terms that may be written into the plan.
+LISTED_TERMS = 1_000
+
+
 def terms(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -18,19 +22,27 @@ def terms(text: Column) -> Column:
 def search_keyword(docs: DataFrame, queries: DataFrame, per_source: int = 20, k1: float = 1.2, b: float = 0.75, key: str = "id", source: str = "source") -> DataFrame:
     """(query_id, source, id, score, rank): BM25 over ``docs`` (id, source, title, abstract) per source.
 
-    Only the terms of the queries are exploded and counted; document lengths are read in the same pass.
-    Each source is a corpus of its own, as each was ranked by itself. Queries (query_id, query) are few.
+    Only the terms of the queries are counted; document lengths are read in the same pass. Each source is
+    a corpus of its own, as each was ranked by itself. Null and empty texts and queries match nothing; a
+    repeated id is one document per (id, length); a null source is no corpus. Queries may be many.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    listed = [r[0] for r in wanted.select("term").distinct().collect()]  # the words of the stated queries
+    asked = written(wanted.select("term").distinct(), "asked")
+    n_asked = asked.count()
     text = F.concat_ws(" ", "title", "abstract")
     split = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), terms(text).alias("t"))
-    sized = split.select("id", "source", F.size("t").alias("len"), F.filter("t", lambda x: x.isin(listed)).alias("t"))
-    sized = written(sized, "terms")
-    stats = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = sized.select("id", "source", "len", F.explode("t").alias("term")).groupBy("id", "source", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("source", "term").agg(F.count("*").alias("df"))
-    joined = tf.join(df, ["source", "term"]).join(stats, "source").join(wanted, "term")
+    kept = F.col("t")
+    if n_asked <= LISTED_TERMS:  # other words needn't be written
+        listed = [r[0] for r in asked.collect()]
+        kept = F.filter("t", lambda x: x.isin(listed))
+    sized = written(split.select("id", "source", F.size("t").alias("len"), kept.alias("t")), "terms")
+    stats = written(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")), "stats")
+    each = sized.select("id", "source", "len", F.explode("t").alias("term")).join(maybe_broadcast(asked, n_asked), "term", "left_semi")
+    tf = written(each.groupBy("id", "source", "len", "term").agg(F.count("*").alias("tf")), "tf")
+    df = written(tf.groupBy("source", "term").agg(F.count("*").alias("df")), "df")
+    # few sources and terms: sent along if their count is small, so that no source or term is one task
+    known = tf.join(maybe_broadcast(df, df.count()), ["source", "term"]).join(maybe_broadcast(stats, stats.count()), "source")
+    joined = known.join(maybe_broadcast(wanted, wanted.count()), "term")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = joined.groupBy("query_id", "source", "id").agg(F.sum(part).alias("score"))
@@ -45,7 +57,11 @@ def _lookup(papers: DataFrame, queries: DataFrame, kind: str, key: Column, wante
 
 
 def search_doi(papers: DataFrame, queries: DataFrame, doi_mode: str = "normalized") -> DataFrame:
-    """Normalised papers of S2-style and CrossRef-style sources with the asked DOI."""
+    """(query_id, paper columns): papers of S2-style and CrossRef-style sources with the asked DOI.
+
+    Null DOIs and queries match nothing; repeated papers or queries repeat their rows; empty tables give an
+    empty one. ``doi_mode`` as in ``merge_dedup``.
+    """
     norm = ids.normalized_doi if doi_mode == "normalized" else lambda c: c
     return _lookup(papers.filter(F.col("source") != "openalex"), queries, "doi", norm(F.col("doi")), norm(F.trim(F.col("query"))))
 
@@ -57,13 +73,14 @@ def search_arxiv(papers: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def search_s2_id(papers: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, paper columns): S2-style papers with the asked id; nulls match nothing, repeats repeat."""
     return _lookup(papers.filter(F.col("source") == "semantic_scholar"), queries, "semantic_scholar", F.col("semantic_scholar_id"), F.trim(F.col("query")))
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
     """(query_id, query, query_type, error): blank queries are errors; an unknown type is a keyword search."""
     blank = ids.present(F.trim(F.col("query"))).isNull()
-    kind = F.when(F.col("query_type").isin("doi", "arxiv", "semantic_scholar"), F.col("query_type")).otherwise("keyword")
+    kind = F.when(F.col("query_type").isin("doi", "arxiv", "semantic_scholar"), F.col("query_type")).when(F.col("query_type") == "s2_id", "semantic_scholar").otherwise("keyword")
     return queries.select("query_id", "query", kind.alias("query_type"), F.when(blank, "query is required").alias("error"))
 
 

@@ -13,10 +13,21 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a new local one where it names none, as in tests."""
+    """The shared folder that the session names, or the context's checkpoint folder.
+
+    Where neither is set a local run gets a new temporary one, as in tests; on a cluster that is an error,
+    as every executor would write to a disk of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context = spark.sparkContext
+        of_context = context._jsc.sc().getCheckpointDir()
+        if of_context.isDefined():
+            found = of_context.get()
+        elif context.master.split("[")[0] == "local":
+            found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholargraph.functions import ids, normalize, style
@@ -27,9 +27,9 @@ def _whole_graph(spark: SparkSession, sf_dir: str, thin: bool = False) -> tuple[
 
 
 def _networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Networks of depth 2 with 150 nodes at most, of every 97th paper that can be looked up."""
+    """Networks of depth 2 with 150 nodes at most, of every paper that can be looked up."""
     papers = fx.papers(spark, sf_dir, resolved=True)
-    roots = papers.filter("key % 97 = 5").select(F.col("paper_id").alias("root_id"))
+    roots = papers.select(F.col("paper_id").alias("root_id"))
     return network.ego_network(papers, fx.citations(spark, sf_dir), roots, depth=2, max_nodes=150)
 
 
@@ -71,14 +71,41 @@ def ego_counts(spark, sf_dir):
     return network.network_counts(*_networks(spark, sf_dir))
 
 
+def _all_roots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Networks of depth 1 with 200 nodes at most, of all papers, also of those that can't be looked up."""
+    roots = fx.papers(spark, sf_dir).select(F.col("paper_id").alias("root_id"))
+    return network.ego_network(fx.papers(spark, sf_dir, resolved=True), fx.citations(spark, sf_dir), roots, depth=1, max_nodes=200)
+
+
 @query
 def network_warnings(spark, sf_dir):
-    return network.network_warning(_networks(spark, sf_dir)[0]).select("root_id", F.col("warning").isNotNull().alias("alone"))
+    return network.network_warning(_all_roots(spark, sf_dir)[0])
+
+
+@query
+def single_node_networks(spark, sf_dir):
+    """The networks of a single node: roots that nothing knows, and roots without neighbours."""
+    nodes, edges = _all_roots(spark, sf_dir)
+    lone = network.network_counts(nodes, edges).filter("node_count = 1").select("root_id", "edge_count")
+    return nodes.join(lone, "root_id").select("root_id", "id", "label", "title", "authors", "depth", "edge_count", F.round("page_rank_score", 6).alias("score"), F.round("size", 6).alias("size"), "color")
+
+
+@query
+def network_sink(spark, sf_dir):
+    """Result documents written as JSON and read again."""
+    from scholargraph.plans.cutpoints import shared_dir
+
+    path = f"{shared_dir(spark)}/networks-{spark.range(1).select(F.uuid()).first()[0]}"
+    stores.write_network(*_all_roots(spark, sf_dir), path)
+    made = spark.read.schema("root_id string, data string, cached boolean, warning string").json(path)
+    parts = F.from_json("data", "nodes array<struct<id:string,label:string>>, edges array<struct<from_id:string,to_id:string,type:string>>")
+    read = made.select("root_id", "cached", "warning", parts.alias("d"))
+    return read.select("root_id", "cached", "warning", F.size("d.nodes").alias("n_nodes"), F.size("d.edges").alias("n_edges"), F.array_join(F.col("d.nodes.id"), " ").alias("ids"))
 
 
 @query
 def ego_pagerank(spark, sf_dir):
-    """Ranks and components inside each network; no SQL: tests compare the parts with a plain model."""
+    """Ranks and components inside each network; what a network holds is connected by the way it is found."""
     nodes, edges = _networks(spark, sf_dir)
     ranked = graph.rank_nodes(nodes, graph.pagerank(nodes, edges))
     clusters = graph.connected_components(nodes, edges)
@@ -95,7 +122,7 @@ def induced_subgraph_year(spark, sf_dir):
 @query
 def neighbors_batch(spark, sf_dir):
     nodes, edges = _whole_graph(spark, sf_dir)
-    return graph.neighbors(edges, nodes.filter("node_seq % 10 = 3").select("root_id", "id")).select("id", "neighbor")
+    return graph.neighbors(edges, nodes.select("root_id", "id")).select("id", "neighbor")
 
 
 def _merged(df):
@@ -129,7 +156,7 @@ def normalize_sources(spark, sf_dir):
 
 @query
 def lookup_doi(spark, sf_dir):
-    asked = fx.papers(spark, sf_dir).filter("key % 9 = 0").select(F.col("key").alias("query_id"), F.concat(F.lit("https://doi.org/"), "doi").alias("query"), F.lit("doi").alias("query_type"))
+    asked = fx.papers(spark, sf_dir).select(F.col("key").alias("query_id"), F.concat(F.lit("https://doi.org/"), "doi").alias("query"), F.lit("doi").alias("query_type"))
     return search.search_doi(_sources(spark, sf_dir), asked).select("query_id", "source", "title")
 
 
@@ -138,13 +165,13 @@ def lookup_arxiv(spark, sf_dir):
     number = F.lpad((F.col("page_id") % 100000).cast("string"), 5, "0")
     pages = fx.table(spark, sf_dir, "pages")
     papers = pages.select(F.concat(F.lit("s2-"), F.col("page_id").cast("string")).alias("semantic_scholar_id"), F.concat(F.lit("1706."), number, F.when(F.col("page_id") % 2 == 0, "v2").otherwise("")).alias("arxiv_id"))
-    asked = pages.filter("page_id % 3 <> 2").select(F.col("page_id").alias("query_id"), F.concat(F.lit("arXiv:1706."), number).alias("query"), F.lit("arxiv").alias("query_type"))
+    asked = pages.select(F.col("page_id").alias("query_id"), F.concat(F.lit("arXiv:1706."), number).alias("query"), F.lit("arxiv").alias("query_type"))
     return search.search_arxiv(papers, asked).select("query_id", "semantic_scholar_id")
 
 
 @query
 def lookup_s2(spark, sf_dir):
-    asked = fx.papers(spark, sf_dir).filter("key % 10 = 0").select(F.col("key").alias("query_id"), F.concat(F.lit("s2-"), "paper_id").alias("query"), F.lit("semantic_scholar").alias("query_type"))
+    asked = fx.papers(spark, sf_dir).select(F.col("key").alias("query_id"), F.concat(F.lit("s2-"), "paper_id").alias("query"), F.lit("semantic_scholar").alias("query_type"))
     return search.search_s2_id(_sources(spark, sf_dir), asked).select("query_id", "title")
 
 
@@ -165,6 +192,77 @@ def lookup_paper(spark, sf_dir):
     return search.lookup_paper(_resolved(spark, sf_dir), papers, atoms).select("id", "paper_id", "found_in")
 
 
+def _arxiv_number() -> Column:
+    return F.concat(F.lit("1706."), F.lpad((F.col("page_id") % 100000).cast("string"), 5, "0"))
+
+
+def _resolved_arxiv(spark, sf_dir):
+    """Pages as works whose DOI is an arXiv DOI, asked for by their OpenAlex id."""
+    pages = fx.table(spark, sf_dir, "pages")
+    works = pages.select(F.concat(F.lit("https://openalex.org/W"), (F.col("page_id") + 900000).cast("string")).alias("id"), F.concat(F.lit("https://doi.org/10.48550/arxiv."), _arxiv_number()).alias("doi"))
+    return search.resolve_ids(pages.select(F.concat(F.lit("W"), (F.col("page_id") + 900000).cast("string")).alias("id")), works)
+
+
+@query
+def resolve_arxiv_ids(spark, sf_dir):
+    return _resolved_arxiv(spark, sf_dir)
+
+
+@query
+def lookup_paper_arxiv(spark, sf_dir):
+    """arXiv ids found among the papers, for every third page, or else among the Atom entries."""
+    pages = fx.table(spark, sf_dir, "pages")
+    stored = F.when(F.col("page_id") % 3 == 0, F.concat(_arxiv_number(), F.lit("v2")))
+    papers = pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("paper_id"), F.lit(None).cast("string").alias("doi"), stored.alias("arxiv_id"), F.col("url").alias("title"))
+    atoms = normalize.normalize_arxiv(records.read_arxiv_atom(pages.select(_arxiv_number().alias("arxiv_id"), F.col("html").alias("xml"))), AS_OF_YEAR)
+    return search.lookup_paper(_resolved_arxiv(spark, sf_dir), papers, atoms)
+
+
+def _write_json(spark, df, name):
+    from scholargraph.plans.cutpoints import shared_dir
+
+    path = f"{shared_dir(spark)}/{name}-{spark.range(1).select(F.uuid()).first()[0]}"
+    df.write.json(path)
+    return path
+
+
+@query
+def read_json_sources(spark, sf_dir):
+    """The three dumps written as JSON lines, read by their readers and normalised."""
+    s2 = records.read_s2_papers(spark, _write_json(spark, fx.s2_papers(spark, sf_dir), "s2"))
+    works = records.read_openalex_works(spark, _write_json(spark, fx.openalex_works(spark, sf_dir), "openalex"))
+    crossref = records.read_crossref_works(spark, _write_json(spark, fx.crossref_works(spark, sf_dir).select(F.struct("*").alias("message")), "crossref"))
+    papers = normalize.normalize_s2(s2).unionByName(normalize.normalize_openalex(works)).unionByName(normalize.normalize_crossref(crossref))
+    return papers.select("source", "position", "doi", "title", "abstract", F.coalesce("publication_year", F.lit(0)).alias("publication_year"), "citation_count", "authors", "venue", "semantic_scholar_id", "openalex_id")
+
+
+@query
+def read_contexts(spark, sf_dir):
+    """Citation contexts written as JSON lines and read by their reader."""
+    c = fx.citations(spark, sf_dir)
+    year = F.when(F.col("citing") % 2 == 0, (F.col("citing") % 50 + 1970).cast("int"))
+    lines = c.select("cited_paper_id", "contexts", F.struct(F.col("citing_paper_id").alias("paperId"), F.col("citing_title").alias("title"), year.alias("year")).alias("citingPaper"), F.when(F.col("is_influential"), True).alias("isInfluential"), F.col("cite_position").alias("position"))
+    read = records.read_citation_contexts(spark, _write_json(spark, lines, "contexts"))
+    return read.withColumn("contexts", F.array_join("contexts", "; ")).withColumn("citing_year", F.coalesce("citing_year", F.lit(0)))
+
+
+@query
+def search_dispatch(spark, sf_dir):
+    """Every paper asked for by its words, its DOI, its S2 id and by an unknown type; blank queries are errors."""
+    p = fx.papers(spark, sf_dir)
+    ask = lambda place, query, kind: p.select((F.col("key") * 10 + place).alias("query_id"), query.alias("query"), F.lit(kind).alias("query_type"))
+    queries = ask(0, F.col("paper_id"), "keyword").union(ask(1, F.concat(F.lit("https://doi.org/"), "doi"), "doi")).union(ask(2, F.concat(F.lit("s2-"), "paper_id"), "s2_id")).union(ask(3, F.concat_ws(" ", F.lit("No."), "paper_id"), "odd")).union(ask(4, F.lit("  "), "keyword"))
+    found = search.search(queries, fx.s2_papers(spark, sf_dir), fx.openalex_works(spark, sf_dir), fx.crossref_works(spark, sf_dir))
+    return search.top_results(found, 50, ["query_id"]).select("query_id", "source", "title", "citation_count")
+
+
+@query
+def coalesced_years(spark, sf_dir):
+    k = F.col("key")
+    year = F.when(k % 4 == 0, 0).when(k % 4 == 1, (k % 50 + 1970).cast("int"))
+    return fx.papers(spark, sf_dir).select("paper_id", F.coalesce(normalize.coalesce_year(year, F.col("publication_year")), F.lit(0)).alias("year"))
+
+
 @query
 def keyword_bm25(spark, sf_dir):
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit("").alias("title"), F.col("text").alias("abstract"))
@@ -209,7 +307,7 @@ def id_classify(spark, sf_dir):
     s = k.cast("string")
     shapes = [F.concat(F.lit("10.1234/part."), s), F.concat(F.lit("https://doi.org/10.48550/arxiv.1706."), number), F.concat(F.lit("arXiv:1706."), number), F.concat(F.lit("arxiv:cs/"), s), F.concat(F.lit("W"), s), F.concat(F.lit("https://doi.org/10.1038/nature"), s), F.md5(s)]
     made = fx.table(spark, sf_dir, "part").select(F.element_at(F.array(*shapes), (k % 7 + 1).cast("int")).alias("id"))
-    return made.select("id", ids.classify_paper_id(F.col("id"))["kind"].alias("kind"))
+    return made.select("id", ids.classify_paper_id(F.col("id")).alias("c")).select("id", "c.kind", "c.value", "c.error")
 
 
 @query
@@ -300,14 +398,18 @@ def recommend_cocite(spark, sf_dir):
 def paper_details(spark, sf_dir):
     s2 = fx.s2_papers(spark, sf_dir)
     named = fx.citations(spark, sf_dir).withColumns({c: F.concat(F.lit("s2-"), c) for c in ("citing_paper_id", "cited_paper_id")})
-    asked = s2.filter("position % 7 = 0").select(F.col("paperId").alias("id"))
+    asked = s2.select(F.col("paperId").alias("id"))
     made = details.paper_details(asked, s2, fx.openalex_works(spark, sf_dir), named, AS_OF_YEAR)
-    return made.select("id", "title", F.coalesce(F.size("citation_contexts"), F.lit(0)).alias("n_contexts")).withColumn("n_contexts", F.greatest("n_contexts", F.lit(0)))
+    told = lambda c, *of: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[o].cast("string") for o in of])), "; "), F.lit(""))
+    return made.select(
+        "id", "title", told("citation_contexts", "rank", "citing_paper_id", "context", "is_influential").alias("contexts"), told("recommendations", "rank", "recommended_id", "score").alias("recommended"),
+        F.col("metrics.estimated_h_index").alias("h"), F.col("metrics.citations_per_year").alias("per_year"),
+    )
 
 
 @query
 def authors_hindex(spark, sf_dir):
-    return tables.build_authors(fx.paper_authors(spark, sf_dir))
+    return tables.build_authors(fx.paper_authors(spark, sf_dir)).withColumn("affiliations", F.array_join("affiliations", "; "))
 
 
 @query
@@ -326,8 +428,9 @@ def citations_table(spark, sf_dir):
 def papers_table(spark, sf_dir):
     nodes, edges = _whole_graph(spark, sf_dir)
     papers = fx.papers(spark, sf_dir)
-    made = tables.build_papers(papers, graph.pagerank(nodes, edges), graph.connected_components(nodes, edges))
-    return made.select("paper_id", F.round(F.col("page_rank_score").cast("double"), 6).alias("page_rank_score"))
+    now = F.lit("2026-01-01 12:00:00").cast("timestamp")
+    made = tables.build_papers(papers, graph.pagerank(nodes, edges), graph.connected_components(nodes, edges), now)
+    return made.select("paper_id", "title", F.round(F.col("page_rank_score").cast("double"), 6).alias("page_rank_score"), "cluster_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
 @query
@@ -358,7 +461,7 @@ def cache_lookup(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
     expires = F.col("ts") + F.make_interval(hours=F.lit(24))
     cache = events.select(ids.network_query_hash(F.col("user_id").cast("string"), 1, 200).alias("query_hash"), F.col("event_id").cast("string").alias("root_paper_id"), F.col("ts").alias("generated_at"), expires.alias("expires_at"), F.to_date(expires).alias("expires_date"))
-    asked = events.filter("user_id % 2 = 0").select(ids.network_query_hash(F.col("user_id").cast("string"), 1, 200).alias("query_hash"))
+    asked = events.select(ids.network_query_hash(F.col("user_id").cast("string"), 1, 200).alias("query_hash"))
     now = F.lit(events.agg(F.max("ts")).first()[0])
     return stores.read_network_cache(cache, asked, now).select("query_hash", F.col("root_paper_id").cast("long").alias("root_paper_id"))
 

@@ -14,13 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
-    """(citing, cited, n, priorities): within an order each part cites the next lower one."""
+    """(citing, cited, n): within an order each part cites the next lower one. ``thin``: pairs of several orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    if thin:
-        lines = lines.filter("l_orderkey % 160 = 0")
     lower = F.lag("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey"))
     cited = lines.distinct().withColumn("cited", lower).filter("cited is not null")
-    return cited.groupBy(F.col("l_partkey").alias("citing"), "cited").agg(F.count("*").alias("n"))
+    found = cited.groupBy(F.col("l_partkey").alias("citing"), "cited").agg(F.count("*").alias("n"))
+    return found.filter("n > 1") if thin else found
 
 
 def citations(spark: SparkSession, sf_dir: str, thin: bool = False) -> DataFrame:
@@ -56,9 +55,9 @@ def papers(spark: SparkSession, sf_dir: str, resolved: bool = False) -> DataFram
 def paper_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, paper_id, citation_count, authors): distinct suppliers of each part, by key."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key"), "l_suppkey").distinct()
-    named = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    listed = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("a"))
-    people = F.transform("a", lambda x: F.struct(x["s_suppkey"].cast("string").alias("id"), x["s_name"].alias("name")))
+    named = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("s_address")), F.col("l_suppkey") == F.col("s_suppkey"))
+    listed = named.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name", "s_address"))).alias("a"))
+    people = F.transform("a", lambda x: F.struct(x["s_suppkey"].cast("string").alias("id"), x["s_name"].alias("name"), F.array(x["s_address"]).alias("affiliations")))
     return papers(spark, sf_dir).select("key", "paper_id", "citation_count").join(listed, "key").select("key", "paper_id", "citation_count", people.alias("authors"))
 
 

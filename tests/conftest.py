@@ -43,7 +43,7 @@ def duck():
 def rows(df):
     """Rows of a pandas frame with columns by name, values comparable across engines, sorted."""
     def plain(v):
-        if v is None or v != v or str(v) == "<NA>":
+        if v is None or str(v) == "<NA>" or v != v:
             return None
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return bool(v)
