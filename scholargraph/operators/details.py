@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from scholargraph.functions import ids
 from scholargraph.functions.normalize import reconstruct_abstract
 from scholargraph.functions.style import citations_per_year, estimated_h_index
+from scholargraph.plans.cutpoints import written
+from scholargraph.plans.ordering import dense_numbers
 
 
 def merge_details(s2: DataFrame, openalex: DataFrame, most: int = 20) -> DataFrame:
     """One row per S2-style record, with what its OpenAlex-style work adds.
 
     Joined by the record's DOI, without resolver and case; of several works with a DOI the first counts.
+    Records without a DOI or a work have null there; repeated records stay repeated; null lists are empty.
     """
     doi = ids.extract_doi(F.col("url"))
     paper = s2.select(
@@ -51,25 +54,36 @@ def influential_citations(citations: DataFrame) -> DataFrame:
 
 
 def _met(lists: DataFrame, part_rows: int) -> DataFrame:
-    """(p, q, n): how many lists (via, p) hold both; a long list is dealt to parts that each meet the whole list."""
+    """(p, q, n): how many lists (via, p) hold both, p < q; a long list is dealt to parts that each meet the whole list."""
     sizes = lists.groupBy("via").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
     dealt = lists.join(sizes, "via")
     left = dealt.select("via", "p", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
     right = dealt.select("via", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right, ["via", "part"]).filter("p <> q").groupBy("p", "q").agg(F.count("*").alias("n"))
+    return left.join(right, ["via", "part"]).filter("p < q").groupBy("p", "q").agg(F.count("*").alias("n"))
 
 
 def recommend(citations: DataFrame, limit: int = 10, part_rows: int = 1_000) -> DataFrame:
     """(paper_id, recommended_id, score, rank): papers cited together with it, and papers that cite alike.
 
-    The score counts all common citing papers and common references.
+    The score counts all common citing papers and common references; ties go by id. Rows with a null end
+    count for nothing, a pair of papers counts once however often it is repeated, a paper isn't its own
+    recommendation; an empty table gives an empty one.
+
+    Papers are numbered in the order of their ids, so each pair is met once, as two numbers, and mirrored
+    after it is counted.
     """
-    co = citations.select(F.col("citing_paper_id").alias("via"), F.col("cited_paper_id").alias("p"))
-    coupled = citations.select(F.col("cited_paper_id").alias("via"), F.col("citing_paper_id").alias("p"))
-    pairs = [_met(x, part_rows) for x in (co, coupled)]
-    scored = pairs[0].union(pairs[1]).groupBy("p", "q").agg(F.sum("n").alias("score"))
+    links = written(citations.select("citing_paper_id", "cited_paper_id").na.drop().distinct(), "links")
+    both = links.select(F.explode(F.array("citing_paper_id", "cited_paper_id")).alias("id")).distinct()
+    numbers = written(dense_numbers(both, ["id"], "k"), "numbers")
+    ends = [numbers.select(F.col("id").alias(c), F.col("k").alias(x)) for c, x in (("citing_paper_id", "u"), ("cited_paper_id", "v"))]
+    known = links.join(ends[0], "citing_paper_id").join(ends[1], "cited_paper_id").select("u", "v")
+    lists = written(known.select(F.explode(F.array(F.struct((2 * F.col("u")).alias("via"), F.col("v").alias("p")), F.struct((2 * F.col("v") + 1).alias("via"), F.col("u").alias("p")))).alias("x")).select("x.*"), "lists")
+    met = _met(lists, part_rows)
+    mirrored = met.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("x"), F.col("n").alias("score")).select("x.*", "score")
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "q"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select(F.col("p").alias("paper_id"), F.col("q").alias("recommended_id"), "score", "rank")
+    best = mirrored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    named = [numbers.select(F.col("k").alias(x), F.col("id").alias(c)) for x, c in (("p", "paper_id"), ("q", "recommended_id"))]
+    return best.join(named[0], "p").join(named[1], "q").select("paper_id", "recommended_id", "score", "rank")
 
 
 def paper_metrics(details: DataFrame, as_of_year: int) -> DataFrame:
@@ -78,7 +92,11 @@ def paper_metrics(details: DataFrame, as_of_year: int) -> DataFrame:
 
 
 def paper_details(asked: DataFrame, s2: DataFrame, openalex: DataFrame, citations: DataFrame, as_of_year: int) -> DataFrame:
-    """One nested row per asked paper (id): details, contexts, recommendations, metrics."""
+    """One nested row per asked paper (id) that has a record: details, contexts, recommendations, metrics.
+
+    Ids asked twice or null count once or not at all; parts that a paper lacks are null; an empty table of
+    records gives an empty one.
+    """
     wanted = asked.select("id").distinct()
     details = merge_details(s2, openalex).join(wanted, "id", "left_semi")
     about = citations.join(wanted.withColumnRenamed("id", "cited_paper_id"), "cited_paper_id", "left_semi")

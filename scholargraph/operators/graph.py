@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholargraph.functions.style import rank_node_size
 from scholargraph.operators.components import components
-from scholargraph.plans.cutpoints import written
+from scholargraph.plans.cutpoints import maybe_broadcast, written
 from scholargraph.plans.ordering import dense_numbers
 
 
@@ -16,24 +16,35 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 
     A node's out-degree counts all its edges, also those to targets that are no nodes and parallel ones
     of another type; what flows to such targets is lost, and rank without a way out is not handed round.
-    Edges stay cached by source, in its order: a round sorts and shuffles only the summed contributions.
+    A node with a null id gets the share of all; edges with a null end count for nothing but out-degrees.
+
+    Nodes are numbered; edges stay cached by source, in its order. A node's rank is what flows in plus a
+    constant, which its edges carry, so a round is one join of the edges with the inflow before and one
+    shuffle of summed contributions.
     """
-    keys = ["root_id", "id"]
     n = nodes.groupBy("root_id").agg(F.count("*").alias("n"))
-    base = nodes.select(*keys).join(n, "root_id").select(*keys, "n").repartition(*keys).sortWithinPartitions(*keys).persist()
-    out = edges.groupBy("root_id", "from_id").agg(F.count("*").alias("out"))
-    kept = edges.join(base.select("root_id", F.col("id").alias("to_id")), ["root_id", "to_id"], "left_semi")
-    by_pair = kept.groupBy("root_id", "from_id", "to_id").agg(F.count("*").alias("times")).join(out, ["root_id", "from_id"])
-    flows = by_pair.select("root_id", F.col("from_id").alias("id"), "to_id", (F.lit(damping) * F.col("times") / F.col("out")).alias("share")).repartition(*keys).sortWithinPartitions(*keys).persist()
-    ranks = base.select(*keys, (F.lit(1.0) / F.col("n")).alias("score"))
+    own = nodes.select("root_id", "id").join(maybe_broadcast(n, n.count()), "root_id")  # one row per network: no task of its own if they are few
+    own = written(own.withColumn("v", F.monotonically_increasing_id()), "numbered")
+    src, dst = own.select("root_id", F.col("id").alias("from_id"), F.col("v").alias("src"), "n"), own.select("root_id", F.col("id").alias("to_id"), F.col("v").alias("dst"))
+    ends = written(edges.select("root_id", "from_id", "to_id").join(src, ["root_id", "from_id"]).join(dst, ["root_id", "to_id"], "left").select("src", "dst", "n"), "ends")
+    out = ends.groupBy("src").agg(F.count("*").alias("out"))
+    by_pair = ends.filter("dst is not null").groupBy("src", "dst", "n").agg(F.count("*").alias("times")).join(out, "src")
+    share = F.lit(damping) * F.col("times") / F.col("out")
+    flows = by_pair.select("src", "dst", share.alias("share"), ((1 - F.lit(damping)) / F.col("n")).alias("floor"), (1 / F.col("n")).alias("start")).repartition("src").sortWithinPartitions("src").persist()
+    inflow = None
     for i in range(iterations):
-        sent = ranks.join(flows, keys).groupBy("root_id", F.col("to_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        ranks = base.join(sent, keys, "left").select(*keys, ((1 - F.lit(damping)) / F.col("n") + F.coalesce("got", F.lit(0.0))).alias("score"))
+        if inflow is None:
+            sent = flows.select("dst", (F.col("share") * F.col("start")).alias("x"))
+        else:
+            rank = F.col("floor") + F.coalesce("got", F.lit(0.0))
+            sent = flows.join(inflow.withColumnRenamed("dst", "src"), "src", "left").select("dst", (F.col("share") * rank).alias("x"))
+        inflow = sent.groupBy("dst").agg(F.sum("x").alias("got"))
         if (i + 1) % cut_every == 0 or i + 1 == iterations:
-            ranks = written(ranks, "ranks")
-    base.unpersist()
+            inflow = written(inflow, "inflow")
     flows.unpersist()
-    return ranks
+    if inflow is None:
+        return own.select("root_id", "id", (1 / F.col("n")).alias("score"))
+    return own.join(inflow, own["v"] == inflow["dst"], "left").select("root_id", "id", ((1 - F.lit(damping)) / F.col("n") + F.coalesce("got", F.lit(0.0))).alias("score"))
 
 
 def rank_nodes(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -55,7 +66,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labelled = written(own.join(found, own["n"] == found["node"], "left").select("root_id", "id", F.coalesce("component", "n").alias("c")), "labelled")
     numbers = dense_numbers(labelled.select("root_id", "c").distinct(), ["c"], "k")
     first = numbers.groupBy("root_id").agg(F.min("k").alias("k0"))
-    return labelled.join(numbers.join(first, "root_id").select("c", (F.col("k") - F.col("k0")).alias("cluster_id")), "c").select("root_id", "id", "cluster_id")
+    return labelled.join(numbers.join(maybe_broadcast(first, first.count()), "root_id").select("c", (F.col("k") - F.col("k0")).alias("cluster_id")), "c").select("root_id", "id", "cluster_id")
 
 
 def induced_subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
