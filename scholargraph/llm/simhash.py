@@ -47,8 +47,8 @@ from scholargraph.plans.cutpoints import maybe_broadcast, written
 #: Shingle hashes turned to bits at once.
 _CHUNK = 4_080
 #: Bits for a similarity of 0.8 of shingles, in blocks of so many, and a distance that hardly any such pair
-#: exceeds: 242.4 is the mean at 0.8, 14.3 the standard deviation.
-WIDE, BLOCK, WIDE_DISTANCE = 1_600, 20, 300
+#: exceeds: 242.4 is the mean at 0.8, 14.3 the standard deviation; 280 is exceeded in 0.4 % of the cases.
+WIDE, BLOCK, WIDE_DISTANCE = 1_600, 20, 280
 #: The same for the first two words, 128 bits, that go along with each key: mean 19.4, deviation 4.1.
 HEAD_DISTANCE = 36
 
@@ -211,9 +211,13 @@ def _apart(a: str, b: str, bits: int) -> Column:
     return reduce(add, [F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(bits // 64)])
 
 
+def _bits_apart(a: Column, b: Column, bits: int) -> Column:
+    """Differing bits of two heads: the whole of a 64-bit fingerprint, two words of a wide one."""
+    return reduce(add, [F.bit_count(a[x].bitwiseXOR(b[x])) for x in ("a" if bits == 64 else "ab")])
+
+
 def _heads_apart(bits: int) -> Column:
-    """Differing bits of ``hu`` and ``hv``: the whole of a 64-bit fingerprint, two words of a wide one."""
-    return reduce(add, [F.bit_count(F.col(f"hu.{x}").bitwiseXOR(F.col(f"hv.{x}"))) for x in ("a" if bits == 64 else "ab")])
+    return _bits_apart(F.col("hu"), F.col("hv"), bits)
 
 
 def _free_masks(distance: int, blocks: int) -> list[tuple[int, int]]:
@@ -252,50 +256,69 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
         near = pairs.join(wide[0], "u").join(wide[1], "v").filter(_apart("wu", "wv", bits) <= distance).select(*pairs.columns)
         return _similar(near, nodes, texts, width, similarity)
 
-    def verified(pairs: DataFrame, best: int = 4) -> DataFrame:
-        """(u, v) of (u, v, hu, hv), those that are close indeed; of wide ones each u's likeliest only."""
-        close = pairs.filter((F.col("u") != F.col("v")) & (_heads_apart(bits) <= head_distance))
-        if bits == 64:
-            return close.select("u", "v")
-        few = close.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct(_heads_apart(bits).alias("d"), "v"))), 1, best).alias("s"))  # two a key at most
-        return close_indeed(few.select("u", F.explode("s.v").alias("v")))
+    def likeliest(pairs: DataFrame, best: int = 4) -> DataFrame:
+        """(u, v): of each u's near ones (u, v, d) those with the least d."""
+        few = pairs.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "v"))), 1, best).alias("s"))  # two a key at most
+        return few.select("u", F.explode("s.v").alias("v"))
 
-    shared = written(keyed.groupBy("choice", "key").agg(F.min(F.struct("node", "head")).alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = written(keyed.groupBy("choice", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     members = written(keyed.join(shared, ["choice", "key"]), "members")
-    star = members.select(F.col("node").alias("u"), F.col("least.node").alias("v"), F.col("head").alias("hu"), F.col("least.head").alias("hv"))
     part = F.when(F.col("n") > part_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / part_rows)))
     order = Window.partitionBy("choice", "key", part).orderBy("node")  # a large bucket is dealt to parts
-    chain = members.withColumn("before", F.lag(F.struct("node", "head")).over(order)).filter("before is not null").select(F.col("node").alias("u"), F.col("before.node").alias("v"), F.col("head").alias("hu"), F.col("before.head").alias("hv"))
-    first = written(components(verified(star.union(chain))), "first")
-    # second pass: only buckets that hold several components
-    known = written(members.join(first.withColumnRenamed("node", "f"), members["node"] == F.col("f"), "left").select("choice", "key", "n", "head", "node", F.coalesce("component", "node").alias("comp")), "known")
+    each = F.struct("node", "head")
+    met = members.select("node", "head", "n", F.lag(each).over(order).alias("before"), F.first(each).over(order).alias("lowest")).filter("before is not null")
+    # pairs that met by chance are dropped before they are listed
+    close = lambda v: (v["node"] != F.col("node")) & (_bits_apart(F.col("head"), v["head"], bits) <= head_distance)
+    pairs = met.select("node", "head", "n", F.explode(F.array_distinct(F.filter(F.array("before", "lowest"), close))).alias("v"))
+    pairs = pairs.select(F.col("node").alias("u"), F.col("v.node").alias("v"), F.col("head").alias("hu"), F.col("v.head").alias("hv"), "n")
+    # the least of a large bucket joins its parts
+    large = members.filter(F.col("n") > part_rows)
+    heads = nodes.select(F.col("node").alias("v"), F.struct(*[F.get("w", F.lit(i)).alias(x) for i, x in enumerate("a" if bits == 64 else "ab")]).alias("hv"))
+    leasts = shared.filter(F.col("n") > part_rows).select("choice", "key", F.col("least").alias("v")).join(heads, "v")
+    across = large.join(leasts, ["choice", "key"]).select(F.col("node").alias("u"), "v", F.col("head").alias("hu"), "hv", "n")
+    near = pairs.union(across).filter((F.col("u") != F.col("v")) & (_heads_apart(bits) <= head_distance)).select("u", "v", _heads_apart(bits).alias("d"), "n")
+    near = near if bits == 64 else written(near, "near")
+    first = written(components(near.select("u", "v") if bits == 64 else close_indeed(likeliest(near))), "first")
+    of = lambda a: [first.withColumnRenamed("node", "f").withColumnRenamed("component", "c"), F.col(a) == F.col("f"), "left"]
+    # second pass: only buckets of several components; of two members the first pass has seen the pair
+    known = written(members.filter("n > 2").join(*of("node")).select("choice", "key", "n", "head", "node", F.coalesce("c", "node").alias("comp")), "known")
     groups = known.groupBy("choice", "key", "comp").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("choice", "key").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("choice", "key", F.col("most.comp").alias("major"), F.col("most.size").alias("most"))
-    open_ = written(known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")), "open")
-    own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}")]
+    open_ = known.join(mixed, ["choice", "key"]).withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
+    if bits > 64:  # similarities just under 0.8 are told apart by the whole fingerprint only
+        open_ = open_.join(nodes.select("node", "w"), "node")
+    open_ = written(open_, "open")
+    whole = ["w"] if bits > 64 else []
+    own = lambda a: [F.col("node").alias(a), F.col("comp").alias(f"c{a}"), F.col("head").alias(f"h{a}"), *[F.col(w).alias(f"{w}{a}") for w in whole]]
     major = (F.col("comp") == F.col("major")).alias("main")
     # a pair outside the largest component is seen once
-    near = (F.col("cu") != F.col("cv")) & (F.col("main") | (F.col("u") < F.col("v"))) & (_heads_apart(bits) <= head_distance)
+    apart = (F.col("cu") != F.col("cv")) & (F.col("main") | (F.col("u") < F.col("v"))) & (_heads_apart(bits) <= head_distance)
+    if bits > 64:
+        apart = apart & (_apart("wu", "wv", bits) <= distance)
 
     def compared(rows: DataFrame, *by: str) -> DataFrame:
         """Near pairs of different components among the rows that agree on ``by``."""
-        return rows.filter("comp <> major").select(*by, *own("u")).join(rows.select(*by, *own("v"), major), list(by)).filter(near).select("u", "v", "cu", "cv")
+        return rows.filter("comp <> major").select(*by, *own("u")).join(rows.select(*by, *own("v"), major), list(by)).filter(apart).select("u", "v", "cu", "cv")
 
     crowded = (F.col("n") - F.col("most")) > (2 * comb(2 * distance, distance) if bits == 64 else 1 << 62)
     few = open_.filter(~crowded)
-    left = few.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
-    right = few.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"), major)
-    more = left.join(right, ["choice", "key", "p"]).filter(near).select("u", "v", "cu", "cv")
+    salted = few.filter("parts > 1")  # every part of the others meets the whole bucket
+    left = salted.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
+    right = salted.withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("choice", "key", "p", *own("v"), major)
+    more = compared(few.filter("parts = 1"), "choice", "key").union(left.join(right, ["choice", "key", "p"]).filter(apart).select("u", "v", "cu", "cv"))
     if bits > 64:
-        more = close_indeed(more.distinct())
+        two = near.filter("n = 2").select("u", "v").distinct()
+        for x in "uv":
+            two = two.join(*of(x)).withColumn(f"c{x}", F.coalesce("c", x)).drop("f", "c")
+        more = close_indeed(more.union(two.filter("cu <> cv").select("u", "v", "cu", "cv")).distinct())
     elif not open_.filter(crowded).isEmpty():
         masks = spark.createDataFrame(_free_masks(distance, blocks), "choice short, mask long")  # as many rows as keys and choices, 28,000 at most
         split = open_.filter(crowded).join(F.broadcast(masks), "choice").withColumn("sub", F.col("head.a").bitwiseAND(F.col("mask")))
         more = more.union(compared(split, "choice", "key", "mask", "sub"))
     more = more.select("cu", "cv")
     joined = components(more.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnRenamed("node", "j")
-    of = lambda a: nodes.select("node").join(first.withColumnRenamed("node", "f"), F.col("node") == F.col("f"), "left").select(F.col("node").alias(a), F.coalesce("component", "node").alias(f"c{a}"))
-    return of("node").join(joined, F.col("cnode") == F.col("j"), "left").select("node", F.coalesce("component", "cnode").alias("component"))
+    placed = nodes.select("node").join(*of("node")).select("node", F.coalesce("c", "node").alias("comp"))
+    return placed.join(joined, F.col("comp") == F.col("j"), "left").select("node", F.coalesce("component", "comp").alias("component"))
 
 
 def _linked(docs: DataFrame, width: int, distance: int, seed: int, bits: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

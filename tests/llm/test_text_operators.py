@@ -381,7 +381,7 @@ def test_wide_keys_meet_at_the_threshold():
         near = np.unpackbits((a ^ b).view(np.uint8), axis=1).sum(axis=1) <= WIDE_DISTANCE
         head = np.unpackbits((a[:, :2] ^ b[:, :2]).view(np.uint8), axis=1).sum(axis=1) <= HEAD_DISTANCE
         met = (block_keys(a) == block_keys(b)).any(axis=1)
-        assert block_keys(a).shape == (400, 80) and (met & near & head).mean() >= least and (near & head).mean() > 0.997
+        assert block_keys(a).shape == (400, 80) and (met & near & head).mean() >= least and (near & head).mean() > 0.985
     other = np.roll(b, 1, axis=0)
     assert (block_keys(a) == block_keys(other)).any(axis=1).mean() < 0.01  # 80 keys of 20 bits
     # the pigeonhole guarantee: 79 differing bits leave one of 80 blocks alone

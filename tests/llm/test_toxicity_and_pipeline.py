@@ -123,3 +123,71 @@ def test_pipeline_runs_as_registered(spark):
     import __spark_entry__ as e
 
     assert e.queries()["pipeline"](spark, DATA).count() > 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd):  # noqa: F811
+    """Nulls in every column, empty and very long texts, repeats and clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in p.STAGES[:-1]:
+            docs = stage(spark, docs, DATA).cache()
+            assert docs.columns == odd.columns, name
+            left = docs.count()
+            assert left == n if name == "line_dedup" else left <= n, name
+            n = left
+        packed = p.STAGES[-1][1](spark, docs, DATA)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    kept = {r.text for r in p.simhash_dedup(spark, odd, DATA).select("text").collect()}
+    assert {"same text here now", "a", "null lang"} <= kept and len(kept) == odd.select("text").distinct().count() - 2  # null, empty and blank texts are one
+
+
+def features_brute(text, lexicon, near=5, window=50):
+    """The features by their definitions, with plain loops."""
+    import math
+    import re
+
+    from scholargraph.llm.toxicity import MARK, READ_AS, SECOND_PERSON, STEMS
+
+    listed = lambda w: w in lexicon or any(len(w) > n and MARK + w[:n] in lexicon for n in STEMS)
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    n, chars = max(1, len(words)), max(1, len(text))
+    hits, you = [i for i, w in enumerate(words) if listed(w)], [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    close = sum(any(abs(i - j) <= near for j in you) for i in hits)
+    thick = max((sum(i <= j < i + window for j in hits) for i in hits), default=0)
+    upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    masked = [w.lower().translate(READ_AS) for w in re.findall(r"(?<![A-Za-z])[A-Za-z]+(?:[0-9@$!*._-][A-Za-z]+)+", text)]
+    of = lambda signs: sum(c in signs for c in text) / chars
+    return [
+        math.log1p(len(words)), len(hits) / n, math.log1p(len(hits)), len({words[i] for i in hits}), thick, close / n, len(you) / n,
+        upper / max(1, upper + lower), len(re.findall(r"\b[A-Z]{3,}\b", text)) / n, of("!"), of(",.:;?"), of("#$%&*<>|"), of("0123456789"),
+        len(masked) / n, sum(map(listed, masked)), len(re.findall(r"([A-Za-z])\1{3}", text)) / n,
+    ]
+
+
+def test_features_against_brute_force(spark):
+    from scholargraph.llm.toxicity import Listed, text_features, with_features
+
+    rnd = random.Random(26)
+    parts = ["you", "Your", "grumph", "gr4mph", "g.r.u.m.p.h", "snarling", "SNARL", "word", "Ünïq", "12", "ok!!!", "x", "aaaaargh", ",", "#$", "\n", "a_b", "du", "plain"]
+    lexicon = frozenset(["grumph", "^snar", "gramph"])
+    made = [" ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 150))) for _ in range(300)] + ["", "x" * 3000]
+    for t in made:
+        assert [round(x, 9) for x in text_features(t, Listed(lexicon))] == [round(x, 9) for x in features_brute(t, lexicon)], t
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(-1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.features for r in with_features(df, lexicon).collect()}
+    assert got[-1] == features_brute("", lexicon) and all([round(x, 9) for x in got[i]] == [round(x, 9) for x in features_brute(t, lexicon)] for i, t in enumerate(made))
+
+
+def test_held_out_rows_of_the_given_table(spark):
+    """Trained on the labelled rows of the other folds only, at scale 0.01."""
+    from scholargraph.llm.toxicity import scored
+
+    top = DATA.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{top}/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    got = [(r.score, truth[r.doc_id]) for r in scored(spark.read.parquet(f"{top}/documents.parquet"), labels).collect() if r.held_out and r.doc_id in truth]
+    bad, good = [s for s, t in got if t], [s for s, t in got if not t]
+    auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
+    assert auc > 0.93 and sum((s >= 0.5) == t for s, t in got) / len(got) > 0.95, (auc, len(bad), len(good))
