@@ -103,7 +103,7 @@ def _unrolled_ego_pagerank(rounds: int = 20) -> str:
     for i in range(1, rounds + 1):
         more[f"er{i}"] = f"SELECT v.root, v.id, 0.15 * v.u + coalesce(g.x, 0) AS s FROM ev v LEFT JOIN (SELECT e.root, e.d, sum(r.s * e.share) AS x FROM ef e JOIN er{i - 1} r ON r.root = e.root AND r.id = e.s GROUP BY 1, 2) g ON g.root = v.root AND g.d = v.id"
     _PARTS.update(more)
-    return _with(f"SELECT CAST(root AS VARCHAR) AS root_id, CAST(id AS VARCHAR) AS id, round(s, 8) AS score, round(greatest(15, s * 1000), 5) AS size, CAST(0 AS BIGINT) AS cluster_id FROM er{rounds}")
+    return _with(f"SELECT CAST(root AS VARCHAR) AS root_id, CAST(id AS VARCHAR) AS id, round(s + 3.14159265e-10, 8) AS score, round(greatest(15, s * 1000), 5) AS size, CAST(0 AS BIGINT) AS cluster_id FROM er{rounds}")
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
