@@ -195,7 +195,8 @@ def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, s
     def run(batches):
         for batch in batches:
             keep, last, a = [], None, frozenset()
-            for tu, tv in zip(batch.column("tu").to_pylist(), batch.column("tv").to_pylist()):
+            for tu, tv in zip(batch.column("tu"), batch.column("tv")):
+                tu, tv = tu.as_py(), tv.as_py()
                 if tv != last:  # rows of a v follow one another
                     last, a = tv, shingles(tv, width)
                 b = shingles(tu, width)
