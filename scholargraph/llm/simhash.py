@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from scholargraph.operators.components import components
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 
+#: Comparisons within a bucket of 64-bit fingerprints beyond which it is split by further bits.
+CROWDED = 400_000_000
 #: Shingle hashes turned to bits at once.
 _CHUNK = 4_080
 #: Bits for a similarity of 0.8 of shingles, in blocks of so many, and a distance that hardly any such pair
@@ -262,7 +264,11 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
         few = pairs.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "v"))), 1, best).alias("s"))  # two a key at most
         return few.select("u", F.explode("s.v").alias("v"))
 
-    shared = written(keyed.groupBy("choice", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # two that met by chance part here: the heads' bits, added without carry, are those in which they differ
+    parts = "a" if bits == 64 else "ab"
+    counted = keyed.groupBy("choice", "key").agg(F.min("node").alias("least"), F.count("*").alias("n"), *[F.bit_xor(f"head.{x}").alias(x) for x in parts])
+    differing = reduce(add, [F.bit_count(x) for x in parts])
+    shared = written(counted.filter((F.col("n") > 2) | (F.col("n") == 2) & (differing <= head_distance)).drop(*parts), "buckets")
     members = written(keyed.join(shared, ["choice", "key"]), "members")
     part = F.when(F.col("n") > part_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / part_rows)))
     order = Window.partitionBy("choice", "key", part).orderBy("node")  # a large bucket is dealt to parts
@@ -301,7 +307,8 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
         """Near pairs of different components among the rows that agree on ``by``."""
         return rows.filter("comp <> major").select(*by, *own("u")).join(rows.select(*by, *own("v"), major), list(by)).filter(apart).select("u", "v", "cu", "cv")
 
-    crowded = (F.col("n") - F.col("most")) > (2 * comb(2 * distance, distance) if bits == 64 else 1 << 62)
+    # splitting makes comb(2 d, d) rows of each member, so it is for buckets that would cost far more comparisons
+    crowded = ((F.col("n") - F.col("most")) * F.col("n") > CROWDED) if bits == 64 else F.lit(False)
     few = open_.filter(~crowded)
     salted = few.filter("parts > 1")  # every part of the others meets the whole bucket
     left = salted.filter("comp <> major").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("choice", "key", "p", *own("u"))
