@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -75,6 +76,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), width=4, distance=4, seed=42)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.ranking import search
+
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 20)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.negatives import hard_negatives
+
+    id = F.col("vec_id")
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), id % 50 == 0, positives=5, negatives=3, low=50, high=95, noisy=id % 7 == 0)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scholargraph.llm.additive import scored
+
+    return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +108,9 @@ QUERIES = {
         op8_secret_scan,
         op9_simhash,
         op10_decontamination,
+        op11_ranked_search,
+        op12_hard_negatives,
+        op13_quality_classifier,
     )
 }
 
@@ -124,4 +147,18 @@ FROM s d JOIN s b ON d.s = b.s AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id
 GROUP BY d.id, b.id HAVING count(*) / any_value(n.n_shingles) >= 0.8
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5_SQL, "op10_decontamination": _OP10_SQL}
+_TERMS = r"""list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+_OP11_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT count(*) AS big, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+t AS MATERIALIZED (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, g GROUP BY 1),
+p AS MATERIALIZED (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * n * big) // l AS BIGINT)))) AS part FROM t JOIN f USING (term), g),
+s AS (SELECT item_id, r, doc_id, sum(times * part) AS score FROM p JOIN q USING (term) GROUP BY 1, 2, 3)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS k FROM s WHERE score > 0) WHERE k <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": _OP5_SQL, "op10_decontamination": _OP10_SQL, "op11_ranked_search": _OP11_SQL}
