@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions import ids
 from scholargraph.functions.normalize import reconstruct_abstract
 from scholargraph.functions.style import citations_per_year, estimated_h_index
-from scholargraph.plans.cutpoints import written
+from scholargraph.plans.cutpoints import maybe_broadcast, written
 from scholargraph.plans.ordering import dense_numbers
 
 
@@ -53,55 +53,149 @@ def influential_citations(citations: DataFrame) -> DataFrame:
     return citations.groupBy(F.col("cited_paper_id").alias("paper_id")).agg(F.count("*").alias("n_citations"), F.count_if("is_influential").alias("n_influential"))
 
 
-def _met(lists: DataFrame, part_rows: int) -> DataFrame:
-    """(p, q, n): how many lists (via, p) hold both, p < q; a long list is dealt to parts that each meet the whole list."""
-    sizes = lists.groupBy("via").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
-    dealt = lists.join(sizes, "via")
-    left = dealt.select("via", "p", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int").alias("part"))
-    right = dealt.select("via", F.col("p").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return left.join(right, ["via", "part"]).filter("p < q").groupBy("p", "q").agg(F.count("*").alias("n"))
+#: Members beyond which a list is heavy: its pairs aren't counted one by one.
+HEAVY = 500
 
 
-def recommend(citations: DataFrame, limit: int = 10, part_rows: int = 1_000) -> DataFrame:
+def _members(citations: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(lists, numbers): every list (via, p) of papers cited together or citing alike, and (id, k, own) of its papers.
+
+    Papers are numbered in the order of their ids. ``asked`` (id) leaves only the lists that hold an asked
+    paper, whole; own tells the asked ones.
+    """
+    links = citations.select("citing_paper_id", "cited_paper_id").na.drop()
+    ends = ["citing_paper_id", "cited_paper_id"]
+    shape = [(ends[0], ends[1], "r"), (ends[1], ends[0], "c")]  # the list of a citing paper's references, of a cited one's citing papers
+    if asked is None:
+        flat = [links.select(F.lit(kind).alias("kind"), F.col(of).alias("via"), F.col(p).alias("id")) for of, p, kind in shape]
+        wanted = None
+    else:
+        wanted = written(asked.select("id").na.drop().distinct(), "asked")
+        n = wanted.count()
+        flat = []
+        for of, p, kind in shape:
+            held = written(links.join(maybe_broadcast(wanted.withColumnRenamed("id", p), n), p, "left_semi").select(of).distinct(), "held")
+            flat.append(links.join(maybe_broadcast(held, held.count()), of, "left_semi").select(F.lit(kind).alias("kind"), F.col(of).alias("via"), F.col(p).alias("id")))
+    flat = written(flat[0].union(flat[1]).distinct(), "lists")
+    numbers = dense_numbers(flat.select("id").distinct(), ["id"], "k")
+    own = numbers.withColumn("own", F.lit(True)) if wanted is None else numbers.join(maybe_broadcast(wanted.withColumn("own", F.lit(True)), n), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    numbers = written(own, "numbers")
+    keys = flat.select("kind", "via").distinct().withColumn("v", F.monotonically_increasing_id())
+    lists = flat.join(numbers, "id").join(written(keys, "keys"), ["kind", "via"])
+    return written(lists.select(F.col("v").alias("via"), F.col("k").alias("p"), "own"), "members"), numbers
+
+
+def _met(light: DataFrame, all_own: bool) -> DataFrame:
+    """(p, q, score): how many of the lists hold both, for asked p; lists are short."""
+    if not all_own:
+        return light.filter("own").select("via", "p").join(light.select("via", F.col("p").alias("q")), "via").filter("p <> q").groupBy("p", "q").agg(F.count("*").alias("score"))
+    pairs = light.select("via", "p").join(light.select("via", F.col("p").alias("q")), "via").filter("p < q").groupBy("p", "q").agg(F.count("*").alias("score"))
+    both = F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))  # each pair is met once and mirrored when counted
+    return pairs.select(both.alias("x"), "score").select("x.*", "score")
+
+
+def _first_of(df: DataFrame, by: str, order: list, most: int) -> DataFrame:
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__r") <= most).drop("__r")
+
+
+def _with_heavy(lists: DataFrame, sizes: DataFrame, counted: DataFrame, limit: int, part_rows: int) -> DataFrame:
+    """(p, q, score) that hold the first ``limit`` of every asked p, from light counts and heavy lists.
+
+    What a heavy list adds is bounded by the number of heavy lists that a paper is in, h. A pair with a light
+    count can reach p's ``limit``-th only if its count and the smaller h do; only then are its papers' heavy
+    lists compared. A pair met in heavy lists alone matters only if h reaches p's ``limit``-th light count, t:
+
+    - one common list: the least ids of each list are enough, as its members all count the same or more;
+    - t or more (at least two) common lists: papers of the same heavy lists are one class. A class looks for
+      others in its shortest lists only, all but t - 1 of them, as a class without one of these has under t.
+      Of every class found the least ids are enough.
+    """
+    more = limit + 1  # a paper may meet itself
+    heavy = written(lists.join(maybe_broadcast(sizes, sizes.count()), "via").select("via", "p", "own", "n"), "heavy")
+    shortest = F.transform(F.sort_array(F.collect_list(F.struct("n", "via"))), lambda x: x["via"])
+    held = written(heavy.groupBy("p", "own").agg(shortest.alias("vias")).withColumn("h", F.size("vias")), "held")
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score")))).filter(F.col("r") == limit)
+    tenth = written(ranked.select("p", F.col("score").alias("t")), "tenth")
+    h = [held.select(F.col("p").alias(x), F.col("h").alias(f"h{x}"), F.col("vias").alias(f"vias{x}")) for x in "pq"]
+    near = counted.join(tenth, "p", "left").withColumn("t", F.coalesce("t", F.lit(0))).join(h[0].drop("viasp"), "p", "left").join(h[1].drop("viasq"), "q", "left")
+    near = written(near.filter(F.col("score") + F.least(F.coalesce("hp", F.lit(0)), F.coalesce("hq", F.lit(0))) >= F.col("t")), "near")
+    known = near.filter("hp is null or hq is null").select("p", "q", "score")
+    looked = near.filter("hp is not null and hq is not null").select("p", "q", "score").join(h[0], "p").join(h[1], "q")
+    looked = looked.select("p", "q", (F.col("score") + F.size(F.array_intersect("viasp", "viasq"))).alias("score"))
+    # met in heavy lists alone
+    asking = held.filter("own").join(tenth, "p", "left").select("p", "vias", F.greatest(F.coalesce("t", F.lit(0)), F.lit(1)).alias("t"), "h").filter("h >= t")
+    marked = held.select("p", "vias").join(asking.select("p", "t"), "p", "left")
+    classes = written(marked.groupBy("vias").agg(F.min("t").alias("t")).withColumn("cls", F.monotonically_increasing_id()).withColumn("h", F.size("vias")), "classes")
+    of = written(marked.join(classes.select("vias", "cls"), "vias").select("p", "cls", F.col("t").isNotNull().alias("asks")), "of")
+    firsts = _first_of(of.select("cls", F.col("p").alias("q")), "cls", ["q"], more)
+    least = _first_of(heavy.select("via", F.col("p").alias("q")), "via", ["q"], more)
+    once = classes.filter("t = 1").select("cls", F.explode("vias").alias("via")).join(least, "via").select("cls", "q", F.lit(1).alias("score"))
+    t2 = F.greatest("t", F.lit(2))
+    probing = classes.filter(F.col("t").isNotNull() & (F.col("h") >= t2)).select("cls", F.explode(F.slice("vias", F.lit(1), F.col("h") - t2 + 1)).alias("via"))
+    indexed = classes.filter("h >= 2").select(F.col("cls").alias("other"), F.explode("vias").alias("via"))
+    parts = indexed.groupBy("via").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    left = probing.join(parts, "via").select("via", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+    right = indexed.join(parts, "via").select("via", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = left.join(right, ["via", "part"]).select("cls", "other").distinct()
+    sets = [classes.select(F.col("cls").alias(x), F.col("vias").alias(f"s{x}"), t2.alias(f"t{x}")) for x in ("cls", "other")]
+    common = pairs.join(sets[0], "cls").join(sets[1], "other").withColumn("score", F.size(F.array_intersect("scls", "sother"))).filter("score >= tcls")
+    several = common.select("cls", "other", "score").join(firsts.withColumnRenamed("cls", "other"), "other").select("cls", "q", "score")
+    # of what a class finds, its first by score and id
+    found = once.union(several).groupBy("cls", "q").agg(F.max("score").alias("score"))
+    found = written(_first_of(found, "cls", [F.desc("score"), "q"], more), "found")
+    alone = of.filter("asks").join(maybe_broadcast(found, found.count()), "cls").filter("p <> q").select("p", "q", F.col("score").cast("long").alias("score"))
+    return known.union(looked).union(alone).groupBy("p", "q").agg(F.max("score").alias("score"))
+
+
+def recommend(citations: DataFrame, limit: int = 10, asked: DataFrame | None = None, heavy: int = HEAVY, part_rows: int = 1_000) -> DataFrame:
     """(paper_id, recommended_id, score, rank): papers cited together with it, and papers that cite alike.
 
     The score counts all common citing papers and common references; ties go by id. Rows with a null end
     count for nothing, a pair of papers counts once however often it is repeated, a paper isn't its own
-    recommendation; an empty table gives an empty one.
+    recommendation; an empty table gives an empty one. ``asked`` (id): only these papers, from the lists
+    that hold them. Null or unknown ids have no row.
 
-    Papers are numbered in the order of their ids, so each pair is met once, as two numbers, and mirrored
-    after it is counted.
+    Pairs are counted in lists of up to ``heavy`` papers. What longer lists add is bounded and looked up only
+    where it can change the first ``limit``; the result is the same for any ``heavy``.
     """
-    links = written(citations.select("citing_paper_id", "cited_paper_id").na.drop().distinct(), "links")
-    both = links.select(F.explode(F.array("citing_paper_id", "cited_paper_id")).alias("id")).distinct()
-    numbers = written(dense_numbers(both, ["id"], "k"), "numbers")
-    ends = [numbers.select(F.col("id").alias(c), F.col("k").alias(x)) for c, x in (("citing_paper_id", "u"), ("cited_paper_id", "v"))]
-    known = links.join(ends[0], "citing_paper_id").join(ends[1], "cited_paper_id").select("u", "v")
-    lists = written(known.select(F.explode(F.array(F.struct((2 * F.col("u")).alias("via"), F.col("v").alias("p")), F.struct((2 * F.col("v") + 1).alias("via"), F.col("u").alias("p")))).alias("x")).select("x.*"), "lists")
-    met = _met(lists, part_rows)
-    mirrored = met.select(F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))).alias("x"), F.col("n").alias("score")).select("x.*", "score")
+    lists, numbers = _members(citations, asked)
+    sizes = written(lists.groupBy("via").agg(F.count("*").alias("n")).filter(F.col("n") > heavy), "heavy")
+    n_heavy = sizes.count()
+    light = lists.join(maybe_broadcast(sizes, n_heavy), "via", "left_anti") if n_heavy else lists
+    scores = _met(light, asked is None or lists.filter("not own").isEmpty())
+    if n_heavy:
+        scores = _with_heavy(lists, sizes, written(scores, "counted"), limit, part_rows)
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "q"))
-    best = mirrored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    best = scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
     named = [numbers.select(F.col("k").alias(x), F.col("id").alias(c)) for x, c in (("p", "paper_id"), ("q", "recommended_id"))]
     return best.join(named[0], "p").join(named[1], "q").select("paper_id", "recommended_id", "score", "rank")
 
 
 def paper_metrics(details: DataFrame, as_of_year: int) -> DataFrame:
     """(id, estimated_h_index, citations_per_year, altmetric_score); the last is always 0."""
-    return details.select("id", estimated_h_index(F.size("authors")).alias("estimated_h_index"), citations_per_year(F.col("citation_count"), F.col("year"), as_of_year).alias("citations_per_year"), F.lit(0).alias("altmetric_score"))
+    return details.select("id", *_metrics(as_of_year))
+
+
+def _metrics(as_of_year: int) -> list[Column]:
+    return [estimated_h_index(F.size("authors")).alias("estimated_h_index"), citations_per_year(F.col("citation_count"), F.col("year"), as_of_year).alias("citations_per_year"), F.lit(0).alias("altmetric_score")]
 
 
 def paper_details(asked: DataFrame, s2: DataFrame, openalex: DataFrame, citations: DataFrame, as_of_year: int) -> DataFrame:
     """One nested row per asked paper (id) that has a record: details, contexts, recommendations, metrics.
 
     Ids asked twice or null count once or not at all; parts that a paper lacks are null; an empty table of
-    records gives an empty one.
+    records gives an empty one. What is asked for comes first: only its records, works, citing records and
+    the lists that hold it are joined further.
     """
-    wanted = asked.select("id").distinct()
-    details = merge_details(s2, openalex).join(wanted, "id", "left_semi")
-    about = citations.join(wanted.withColumnRenamed("id", "cited_paper_id"), "cited_paper_id", "left_semi")
+    wanted = written(asked.select("id").na.drop().distinct(), "wanted")
+    few = lambda c: maybe_broadcast(wanted.withColumnRenamed("id", c), n)
+    n = wanted.count()
+    records = written(s2.join(few("paperId"), "paperId", "left_semi"), "records")
+    dois = records.select(ids.normalized_doi(ids.extract_doi(F.col("url"))).alias("__doi")).na.drop().distinct()
+    works = openalex.join(maybe_broadcast(dois, n), ids.normalized_doi(F.col("doi")) == F.col("__doi"), "left_semi")
+    details = merge_details(records, works)
+    about = citations.join(few("cited_paper_id"), "cited_paper_id", "left_semi")
     listed = lambda df, *cols: df.groupBy(F.col("paper_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias("list"))
     contexts = listed(citation_contexts(about), "citing_paper_id", "context", "is_influential").withColumnRenamed("list", "citation_contexts")
-    alike = listed(recommend(citations).join(wanted.withColumnRenamed("id", "paper_id"), "paper_id", "left_semi"), "recommended_id", "score").withColumnRenamed("list", "recommendations")
-    metrics = paper_metrics(details, as_of_year).select("id", F.struct("estimated_h_index", "citations_per_year", "altmetric_score").alias("metrics"))
-    return details.join(contexts, "id", "left").join(alike, "id", "left").join(metrics, "id", "left")
+    alike = listed(recommend(citations, asked=wanted), "recommended_id", "score").withColumnRenamed("list", "recommendations")
+    return details.join(contexts, "id", "left").join(alike, "id", "left").withColumn("metrics", F.struct(*_metrics(as_of_year)))
