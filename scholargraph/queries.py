@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholargraph.functions import ids, normalize, style
-from scholargraph.operators import details, filters, graph, network, search, tables
+from scholargraph.operators import details, filters, graph, keyword_index, network, search, tables
 from scholargraph.sources import fixtures as fx
 from scholargraph.sources import records, stores
 
@@ -267,9 +267,14 @@ def coalesced_years(spark, sf_dir):
 
 @query
 def keyword_bm25(spark, sf_dir):
+    """Ranked by an index that is written once and read for the asked terms."""
+    from scholargraph.plans.cutpoints import shared_dir
+
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.lit("").alias("title"), F.col("text").alias("abstract"))
     queries = spark.createDataFrame([(1, "The license"), (2, "und der"), (3, "version: Apache")], "query_id int, query string")
-    return search.search_keyword(docs, queries).select("query_id", "source", "id", F.round("score", 6).alias("score"))
+    path = f"{shared_dir(spark)}/index-{spark.range(1).select(F.uuid()).first()[0]}"
+    keyword_index.build(docs, path)
+    return keyword_index.search(spark, path, queries).select("query_id", "source", "id", F.round("score", 6).alias("score"))
 
 
 @query
