@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,16 +13,78 @@ from scholargraph.plans.cutpoints import maybe_broadcast, written
 from scholargraph.plans.ordering import dense_numbers
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, cut_every: int = 5) -> DataFrame:
+#: Edges of a block of sources beyond which it is cut into parts; contributions that a task adds up at once.
+BLOCK_EDGES, HELD = 1_000_000, 4_000_000
+
+
+def _edge_blocks(flows: DataFrame, bits: int, most: int) -> DataFrame:
+    """(b, dst, pos, share, base): the edges (src, dst, share, base) of 2**bits sources as arrays, by target. base is the share of 1/n.
+
+    A block with more than ``most`` edges, as a hub's, is several rows.
+    """
+    at = flows.select(F.shiftright("src", bits).alias("b"), "dst", F.col("src").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("pos"), "share", "base")
+    large = written(at.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1"), "large")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0)
+    dealt = at.join(maybe_broadcast(large, large.count()), "b", "left").withColumn("part", part)
+    packed = dealt.groupBy("b", "part").agg(F.sort_array(F.collect_list(F.struct("dst", "pos", "share", "base"))).alias("e"))
+    return written(packed.select("b", *[F.col(f"e.{c}").alias(c) for c in ("dst", "pos", "share", "base")]), "blocks")
+
+
+def _sent(blocks: DataFrame, inflow: DataFrame | None, bits: int, floor: float) -> DataFrame:
+    """(b, got): for each block of targets the lists (pos, x) of what flows in.
+
+    A task adds up what its blocks send to the same target. Without ``inflow`` all nodes have their first rank.
+    """
+    none = "array<struct<pos:array<int>,x:array<double>>>"
+    first_round = inflow is None
+    both = blocks.withColumn("got", F.lit(None).cast(none)) if first_round else blocks.join(inflow, "b", "left")
+
+    def run(batches):
+        held, n = [], 0
+
+        def told():
+            dst, x = (np.concatenate(v) for v in zip(*held))
+            order = np.argsort(dst, kind="stable")
+            dst, x = dst[order], x[order]
+            first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+            dst, x = dst[first], np.add.reduceat(x, first)
+            at = np.flatnonzero(np.r_[True, dst[1:] >> bits != dst[:-1] >> bits])
+            ends = pa.array(np.r_[at, len(dst)].astype(np.int32))
+            pos = pa.ListArray.from_arrays(ends, pa.array((dst & ((1 << bits) - 1)).astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(dst[at] >> bits), pos, pa.ListArray.from_arrays(ends, pa.array(x))], ["b", "pos", "x"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dst, pos, share, base = (batch.column(c)[i].values.to_numpy() for c in ("dst", "pos", "share", "base"))
+                if first_round:
+                    x = base
+                else:
+                    rank, got = np.zeros(1 << bits), batch.column("got")[i]
+                    for r in got.values if got.is_valid else ():
+                        rank[r["pos"].values.to_numpy()] += r["x"].values.to_numpy()
+                    x = share * rank[pos] + floor * base
+                held.append((dst, x))
+                n += len(dst)
+                if n > HELD:
+                    yield told()
+                    held, n = [], 0
+        if n:
+            yield told()
+
+    made = both.select("dst", "pos", "share", "base", "got").mapInArrow(run, "b long, pos array<int>, x array<double>")
+    return made.groupBy("b").agg(F.collect_list(F.struct("pos", "x")).alias("got"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, cut_every: int = 5, bits: int = 13) -> DataFrame:
     """(root_id, id, score) after ``iterations`` rounds from 1/n.
 
     A node's out-degree counts all its edges, also those to targets that are no nodes and parallel ones
     of another type; what flows to such targets is lost, and rank without a way out is not handed round.
     A node with a null id gets the share of all; edges with a null end count for nothing but out-degrees.
 
-    Nodes are numbered; edges stay cached by source, in its order. A node's rank is what flows in plus a
-    constant, which its edges carry, so a round is one join of the edges with the inflow before and one
-    shuffle of summed contributions.
+    Nodes are numbered, and the edges of 2**bits sources are one row of arrays, which stay where they are. A
+    node's rank is what flows in plus a constant, which its edges carry; so a round sends sums by target,
+    packed by block, and has one exchange, of these.
     """
     n = nodes.groupBy("root_id").agg(F.count("*").alias("n"))
     own = nodes.select("root_id", "id").join(maybe_broadcast(n, n.count()), "root_id")  # one row per network: no task of its own if they are few
@@ -30,21 +94,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out = ends.groupBy("src").agg(F.count("*").alias("out"))
     by_pair = ends.filter("dst is not null").groupBy("src", "dst", "n").agg(F.count("*").alias("times")).join(out, "src")
     share = F.lit(damping) * F.col("times") / F.col("out")
-    flows = by_pair.select("src", "dst", share.alias("share"), ((1 - F.lit(damping)) / F.col("n")).alias("floor"), (1 / F.col("n")).alias("start")).repartition("src").sortWithinPartitions("src").persist()
+    packed = _edge_blocks(by_pair.select("src", "dst", share.alias("share"), (share / F.col("n")).alias("base")), bits, BLOCK_EDGES)
+    blocks = packed.repartition("b").persist()
     inflow = None
     for i in range(iterations):
-        if inflow is None:
-            sent = flows.select("dst", (F.col("share") * F.col("start")).alias("x"))
-        else:
-            rank = F.col("floor") + F.coalesce("got", F.lit(0.0))
-            sent = flows.join(inflow.withColumnRenamed("dst", "src"), "src", "left").select("dst", (F.col("share") * rank).alias("x"))
-        inflow = sent.groupBy("dst").agg(F.sum("x").alias("got"))
+        inflow = _sent(blocks, inflow, bits, 1 - damping)
         if (i + 1) % cut_every == 0 or i + 1 == iterations:
             inflow = written(inflow, "inflow")
-    flows.unpersist()
+    blocks.unpersist()
     if inflow is None:
         return own.select("root_id", "id", (1 / F.col("n")).alias("score"))
-    return own.join(inflow, own["v"] == inflow["dst"], "left").select("root_id", "id", ((1 - F.lit(damping)) / F.col("n") + F.coalesce("got", F.lit(0.0))).alias("score"))
+    each = inflow.select("b", F.explode("got").alias("g")).select("b", F.explode(F.arrays_zip("g.pos", "g.x")).alias("z"))
+    got = each.groupBy((F.shiftleft("b", bits) + F.col("z.pos")).alias("dst")).agg(F.sum("z.x").alias("got"))
+    return own.join(got, own["v"] == got["dst"], "left").select("root_id", "id", ((1 - F.lit(damping)) / F.col("n") + F.coalesce("got", F.lit(0.0))).alias("score"))
 
 
 def rank_nodes(nodes: DataFrame, ranks: DataFrame) -> DataFrame:

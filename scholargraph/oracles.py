@@ -171,6 +171,11 @@ ORACLES = {
     "contexts_top": _with("SELECT CAST(cited AS VARCHAR) AS paper_id, CAST(citing AS VARCHAR) AS citing_paper_id, cite_position AS rank, 'cited ' || n || ' times' AS context, is_influential FROM cit WHERE cite_position <= 20"),
     "influential_count": _with("SELECT CAST(cited AS VARCHAR) AS paper_id, count(*) AS n_citations, count(*) FILTER (WHERE is_influential) AS n_influential FROM cit GROUP BY 1"),
     "recommend_cocite": _with("SELECT CAST(p AS VARCHAR) AS paper_id, CAST(q AS VARCHAR) AS recommended_id, score, k AS rank FROM recommended"),
+    "recommend_embedding": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL)
+        SELECT paper_id, recommended_id, round(score, 6) AS score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(score, 9) DESC, recommended_id) AS k
+        FROM (SELECT a.id AS paper_id, b.id AS recommended_id, list_cosine_similarity(a.e, b.e) AS score FROM v a JOIN v b ON a.id <> b.id)) WHERE k <= 10""",
+    "details_few": _with("""SELECT 's2-' || a.paper_id AS id, a.title, CAST(least(20, coalesce(x.c, 0)) AS INTEGER) AS n_contexts, CAST(r.k AS INTEGER) AS rank, 's2-' || r.q AS recommended_id, r.score
+        FROM (SELECT * FROM papers WHERE key % 2 = 0 ORDER BY citation_count DESC, key LIMIT 100) a JOIN recommended r ON r.p = a.key LEFT JOIN (SELECT cited, count(*) AS c FROM cit GROUP BY 1) x ON x.cited = a.key"""),
     "paper_details": _with("""SELECT 's2-' || paper_id AS id, title, coalesce(x.contexts, '') AS contexts, coalesce(r.recommended, '') AS recommended, m.estimated_h_index AS h, m.citations_per_year AS per_year FROM papers
         LEFT JOIN (SELECT cited, string_agg(cite_position || ' s2-' || citing || ' cited ' || n || ' times ' || is_influential, '; ' ORDER BY cite_position) AS contexts FROM cit WHERE cite_position <= 20 GROUP BY 1) x ON x.cited = key
         LEFT JOIN (SELECT p, string_agg(k || ' s2-' || q || ' ' || score, '; ' ORDER BY k) AS recommended FROM recommended GROUP BY 1) r ON r.p = key

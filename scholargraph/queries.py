@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholargraph.functions import ids, normalize, style
-from scholargraph.operators import details, filters, graph, keyword_index, network, search, tables
+from scholargraph.operators import details, filters, graph, keyword_index, network, search, similar, tables
 from scholargraph.sources import fixtures as fx
 from scholargraph.sources import records, stores
 
@@ -401,6 +401,23 @@ def recommend_cocite(spark, sf_dir):
     return details.recommend(fx.citations(spark, sf_dir))
 
 
+@query
+def recommend_embedding(spark, sf_dir):
+    """The ten nearest of every row by embedding, exactly."""
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return similar.nearest(rows).withColumn("score", F.round("score", 6))
+
+
+@query
+def details_few(spark, sf_dir):
+    """Details of the hundred most cited papers: only the lists that hold them are expanded."""
+    s2 = fx.s2_papers(spark, sf_dir)
+    named = fx.citations(spark, sf_dir).withColumns({c: F.concat(F.lit("s2-"), c) for c in ("citing_paper_id", "cited_paper_id")})
+    asked = s2.orderBy(F.desc("citationCount"), "position").limit(100).select(F.col("paperId").alias("id"))
+    made = details.paper_details(asked, s2, fx.openalex_works(spark, sf_dir), named, AS_OF_YEAR)
+    return made.select("id", "title", F.coalesce(F.size("citation_contexts"), F.lit(0)).alias("n_contexts"), F.explode("recommendations").alias("r")).select("id", "title", "n_contexts", "r.rank", "r.recommended_id", "r.score")
+
+
 @query
 def paper_details(spark, sf_dir):
     s2 = fx.s2_papers(spark, sf_dir)
