@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholargraph.llm.columns import named, numbered, place
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 
 #: Places of boilerplate that may be sent to every executor; beyond it the texts are shuffled to meet them.
@@ -75,24 +76,28 @@ def clean_lines(docs: DataFrame, min_sites: int | None = None, min_words: int =
 
     The texts are not shuffled unless there are over ``DROP_PLACES`` places to remove.
     """
-    places = written(line_places(docs, id_col, text_col, site_col, min_words, min_sites), "lines")
+    out = _cut_lines(docs, min_sites, min_words, margin, id_col, text_col, site_col)
+    kept = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")}
+    return out.select(*[(F.col("__cut") if c == text_col else v).alias(c) for c, v in kept.items()], F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
+def _cut_lines(docs: DataFrame, min_sites: int | None, min_words: int, margin: float, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """The rows of ``docs`` with numbered names, ``__cut`` (the text that is left), ``__n_lines`` and ``__n_removed``."""
+    id_, text, site = (place(docs, c) for c in (id_col, text_col, site_col))
+    docs = numbered(docs)
+    places = written(line_places(docs, id_, text, site, min_words, min_sites), "lines")
     found = written(boilerplate_lines(places, margin), "boilerplate")
     gone = places.join(maybe_broadcast(found, found.count()), ["k1", "k2"]).filter(_place() != F.col("first"))
     drop = written(gone.groupBy(F.col("id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__drop")), "drop")
     drop = maybe_broadcast(drop, drop.agg(F.coalesce(F.sum(F.size("__drop")), F.lit(0))).first()[0], DROP_PLACES)
-    joined = docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (F.xxhash64(docs[text_col]) == drop["__row"]), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    joined = docs.join(drop, docs[id_].eqNullSafe(drop["__id"]) & (F.xxhash64(docs[text]) == drop["__row"]), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__drop")
-    cut = F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
-    with_lines = joined.withColumn("__lines", lines)
-    out = with_lines.withColumn("__cut", cut)
-    keep = [F.col("__cut").alias(text_col) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    return out.select(*keep, n_lines.alias("n_lines"), F.coalesce(F.size(F.col("__drop")).cast("long"), F.lit(0)).alias("n_removed"))
-
-
-def remove_boilerplate(docs: DataFrame, **how) -> DataFrame:
-    """The columns of ``docs`` only, also where they are named n_lines or n_removed."""
-    away = {c: f"__own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
-    out = clean_lines(docs.withColumnsRenamed(away), **how).drop("n_lines", "n_removed")
-    return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+    cut = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
+    with_lines = joined.withColumn("__lines", F.split(F.col(text), "\n", -1))
+    return with_lines.select(*docs.columns, cut.alias("__cut"), n_lines.alias("__n_lines"), F.coalesce(F.size(F.col("__drop")).cast("long"), F.lit(0)).alias("__n_removed"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int | None = None, min_words: int = 3, margin: float = 0.1, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """The columns of ``docs`` only, whatever their names, with the text that ``clean_lines`` leaves."""
+    return _cut_lines(docs, min_sites, min_words, margin, id_col, text_col, site_col).select(*named(docs, {text_col: F.col("__cut")}))

@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholargraph.llm.columns import named, numbered, place
 from scholargraph.operators.components import components
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 
@@ -368,7 +369,9 @@ def deduplicate(docs: DataFrame, width: int = 5, distance: int = WIDE_DISTANCE,
     told = rows.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
     told = written(told.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "n", "stays"), "told")
     n_gone, twice = told.agg(F.count_if(~F.col("stays")), F.count_if(F.col("stays") & (F.col("n") > 1))).first()
-    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    back, id_, of = named(docs), place(docs, id_col), place(docs, text_col)
+    rows = numbered(docs)
+    text = F.xxhash64(F.coalesce(F.col(of).cast("string"), F.lit("")))
     gone = maybe_broadcast(told.filter("not stays").select("__id", "__th"), n_gone)
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["__id"]) & (text == gone["__th"]), "left_anti")
-    return kept.withColumn("__th", text).dropDuplicates([id_col, "__th"]).select(*docs.columns) if twice else kept
+    kept = rows.join(gone, rows[id_].cast("long").eqNullSafe(gone["__id"]) & (text == gone["__th"]), "left_anti")
+    return (kept.withColumn("__th", text).dropDuplicates([id_, "__th"]) if twice else kept).select(*back)

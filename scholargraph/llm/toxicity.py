@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholargraph.llm.columns import named, numbered, place
 from scholargraph.plans.cutpoints import written
 
 #: Most labelled rows that a model is fitted on: those with the least hash of their id.
@@ -112,12 +113,14 @@ class Toxicity:
 
     def score(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
         """``docs`` with a calibrated score, 0 to 1, as ``name``; all rows, in any state, get one."""
+        kept = docs.drop(name)
+        back = named(kept)
         if self.trees is None:
-            return docs.withColumn(name, F.lit(self.rate))
-        made = with_features(docs, self.lexicon, text_col, "__features").withColumn("__vector", array_to_vector("__features"))
+            return kept.select("*", F.lit(self.rate).alias(name))
+        made = with_features(numbered(kept), self.lexicon, place(kept, text_col), "__features").withColumn("__vector", array_to_vector("__features"))
         raw = self.trees.transform(made).withColumn("__raw", vector_to_array("__probability")[1])
         out = self.calibration.transform(raw)
-        return out.select(*[c for c in docs.columns if c != name], F.least(F.greatest("__score", F.lit(0.0)), F.lit(1.0)).alias(name))
+        return out.select(*back, F.least(F.greatest("__score", F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def learn_lexicon(labelled: DataFrame, least_share: float = 0.03, least_odds: float = 8.0, most: int = 300) -> frozenset[str]:
@@ -140,11 +143,11 @@ def learn_lexicon(labelled: DataFrame, least_share: float = 0.03, least_odds: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", trees: int = 20, depth: int = 3) -> Toxicity:
-    """Fits on labelled rows whose fold is not 0. Null ids, labels and unmatched labels take no part."""
+    """Fits on labelled rows whose fold is not 0. Null ids, labels and unmatched labels take no part; of an id's texts the least does."""
     usable = labels.filter(F.col(label_col).isNotNull() & (fold(id_col) != 0)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y"))
     taken = usable.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = plain.join(F.broadcast(taken), plain["doc_id"] == F.col("__id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
+    sample = plain.join(F.broadcast(taken), plain["doc_id"] == F.col("__id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     sample = written(sample.withColumn("fold", fold("doc_id")), "sample")
     learn = sample.filter("fold <> 1")
     size = {(r[0], r[1]): r[2] for r in sample.groupBy(F.col("fold") == 1, "y").count().collect()}  # four rows at most
@@ -170,5 +173,5 @@ def scored(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 
 def keep_clean(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with its columns."""
-    return model.score(docs, text_col, "__toxicity").filter(F.col("__toxicity") < 0.5).select(*docs.columns)
+    """The rows of ``docs`` that score under 0.5, with its columns, whatever their names."""
+    return model.score(numbered(docs), place(docs, text_col), "score").filter("score < 0.5").select(*named(docs))
