@@ -9,6 +9,7 @@ without its first or last paragraph is found by the others.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from importlib import resources
 
@@ -117,13 +118,19 @@ class Automaton:
             yield len(seq) - n, len(seq), state
 
 
-def whole_licences() -> tuple[tuple[str, str], ...]:
-    """(label, paragraph) of the licence texts kept beside this module, a file each."""
+def whole_licences(least: int = 12) -> tuple[tuple[str, str], ...]:
+    """(label, paragraph) of the licence texts kept beside this module, files named label.txt or label_version.txt.
+
+    Headings and other paragraphs under ``least`` words tell no licence from another and are left out.
+    """
     files = sorted(resources.files("scholargraph.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name)
-    return tuple((f.name.removesuffix(".txt"), p) for f in files for p in f.read_text().split("\n\n") if p.strip())
+    texts = [(f.name.removesuffix(".txt").split("_")[0], p) for f in files for p in re.split(r"\n[ \t]*\n", f.read_text())]
+    return tuple((label, p) for label, p in texts if len(words(p)) >= least)
 
 
 TEMPLATES = NOTICES + whole_licences()
+#: Words of a stretch under which kept spans are found by place.
+_STRETCH = 16
 #: template, first word, end, words covered by matches, their share of the template
 Span = tuple[int, int, int, int, float]
 
@@ -171,14 +178,32 @@ class Scanner:
                 live[k] += chains
         return [s for spans in found.values() for s in spans], most
 
+    def stretch(self, spans: list[Span]) -> dict[str, int]:
+        """How many words of the text the spans of each label stretch over; a word counts once."""
+        total: dict[str, int] = defaultdict(int)
+        last: dict[str, int] = defaultdict(int)
+        for k, first, end, _, _ in sorted(spans, key=lambda s: s[1:3]):
+            label = self.labels[k]
+            total[label] += max(0, end - max(first, last[label]))
+            last[label] = max(last[label], end)
+        return total
+
     def found(self, seq: list[bytes]) -> tuple[list[Span], float]:
-        """The spans by place, without those that lie for the most part in a span of another label with more words covered."""
+        """The spans by place, without those that lie for the most part in a span of another label with more words covered.
+
+        Of equal ones, as paragraphs that several licences share, that of the label with more words in the text stays. What holds the most part of a span holds its middle, so each span meets only those kept there.
+        """
         spans, most = self.chains(seq)
         kept: list[Span] = []
-        for s in sorted(spans, key=lambda s: (-s[3], s)):
+        over: dict[int, list[Span]] = defaultdict(list)  # by stretches of _STRETCH words
+        total = self.stretch(spans)
+        rank = lambda s: (s[3], total[self.labels[s[0]]])
+        for s in sorted(spans, key=lambda s: (-s[3], -total[self.labels[s[0]]], s)):
             inside = lambda o: 2 * (min(s[2], o[2]) - max(s[1], o[1])) >= s[2] - s[1]  # noqa: E731, B023
-            if not any(o[3] > s[3] and self.labels[o[0]] != self.labels[s[0]] and inside(o) for o in kept):
+            if not any(rank(o) > rank(s) and self.labels[o[0]] != self.labels[s[0]] and inside(o) for o in over[(s[1] + s[2]) // 2 // _STRETCH]):
                 kept.append(s)
+                for k in range(s[1] // _STRETCH, s[2] // _STRETCH + 1):
+                    over[k].append(s)
         return sorted(kept, key=lambda s: (s[1], s[2], s[0])), most
 
 
