@@ -4,7 +4,8 @@
    a table (word, times, n).
 2. Per-document frequencies are joined with that table and summed. The most frequent pre-tokens, a
    bounded part of the table, are joined where the text is read; each document's other pre-tokens are
-   joined by a shuffle. Those are rare, so no key of that join is hot.
+   joined by a shuffle. All that stand in many documents are among the first, however long they are, as
+   the bound is one of bytes; so no key of that join is hot.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from scholargraph.llm.tokenizing import words_of
 from scholargraph.plans.cutpoints import written
 
-#: Pre-tokens sent to every executor at most, and their longest.
-KNOWN, KNOWN_CHARS = 300_000, 40
+#: Pre-tokens sent to every executor at most, and their bytes together.
+KNOWN, KNOWN_BYTES = 300_000, 24_000_000
 
 
 def pre_tokens(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
@@ -49,25 +50,27 @@ def pieces_of(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.mapInArrow(run, "word string, times long, n int")
 
 
-def most_frequent(pieces: DataFrame, known: int) -> dict[str, int]:
-    """word: n of at most ``known`` words, those whose frequency is above a bound."""
-    short = pieces.filter(F.length("word") <= KNOWN_CHARS)
+def most_frequent(pieces: DataFrame, known: int, most_bytes: int = KNOWN_BYTES) -> dict[str, int]:
+    """word: n of at most ``known`` words of ``most_bytes`` together, those whose frequency is above a bound."""
     step = F.floor(8 * F.log2("times"))
-    total, least = 0, None
-    for r in sorted(short.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
-        total += r["count"]
-        if total > known:
+    total = size = 0
+    least = None
+    steps = pieces.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("bytes"))
+    for r in sorted(steps.collect(), reverse=True):  # some hundred rows
+        total, size = total + r["n"], size + r["bytes"]
+        if total > known or size > most_bytes:
             break
         least = r["step"]
     if least is None:
         return {}
-    return {r[0]: r[1] for r in short.filter(step >= least).select("word", "n").collect()}  # at most `known` rows
+    return {r[0]: r[1] for r in pieces.filter(step >= least).select("word", "n").collect()}  # at most `known` rows
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, known: int = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
-    A null text is empty: no bytes, no tokens. Null and repeated ids keep a row each.
+    A null text is empty: no bytes, no tokens. Null and repeated ids keep a row each. A very long text is
+    split whole; other columns don't matter. An empty table gives an empty one.
     """
     pieces = written(pieces_of(pre_tokens(docs, tokenizer, text_col), tokenizer), "pieces")
     table = most_frequent(pieces, known)
