@@ -315,10 +315,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     part; of rows with the same id one, with the least label and vector, does. Empty tables give an empty one.
     """
     one = rows.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"), is_anchor.alias("a"), (F.lit(False) if noisy is None else noisy).alias("noisy"))
-    made = written(prepared(one, noisy=F.col("noisy")).dropDuplicates(["vec_id", "label", "c"]), "rows")
+    made = written(prepared(one, noisy=F.col("noisy")), "rows")
     flags = one.filter("a").select("vec_id").distinct()
-    twice = made.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if not twice.isEmpty():
+    if not made.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # else the vectors stay where they are
         made = written(made.groupBy("vec_id").agg(F.min(F.struct("label", "c", "codes", "aligned", "rest")).alias("x")).select("vec_id", "x.*"), "rows")
     anchors = written(made.select("vec_id", "label", "c").join(flags, "vec_id", "left_semi").withColumn("block", F.xxhash64("vec_id")), "anchors")
     n_anchors = anchors.count()
