@@ -216,7 +216,7 @@ class Found:
 
     def __init__(self, questions: int, n: int):
         self.n, self.q, self.score, self.id = n, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.least = np.full(questions, -np.inf)  # of the n-th best; anything goes until there are n
+        self.least = np.full(questions, np.iinfo(np.int64).min)  # of the n-th best; anything goes until there are n
 
     def add(self, *new: np.ndarray) -> None:
         """Questions, scores and ids, any order; nothing, if there are none."""
@@ -278,8 +278,9 @@ def _negatives(rows: DataFrame, block: tuple, coder_args: tuple, n: int, low: in
         id, label, c, owner, score = shared.value
         anchors = Anchors(id, label, c, coder)
         found = Found(len(owner), n)
-        # 100 s between low p and high p, as whole numbers
-        floor, top = -((-low * score) // 100), (high * score) // 100
+        # 100 s between low p and high p, as whole numbers; p = 100 a + b keeps products small
+        a, b = score // 100, score % 100
+        floor, top = low * a - (-low * b) // 100, high * a + (high * b) // 100
         start = np.searchsorted(owner, np.arange(len(id)))
         times = np.bincount(owner, minlength=len(id))
         asking = np.flatnonzero(times)
