@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholargraph.functions.style import rank_node_size
-from scholargraph.operators.components import components
+from scholargraph.operators.components import contracted_components
 from scholargraph.plans.cutpoints import maybe_broadcast, written
 from scholargraph.plans.ordering import dense_numbers
 
@@ -124,7 +124,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own = written(dense_numbers(nodes.select("root_id", "id", "node_seq"), ["root_id", "node_seq"], "n"), "numbered")
     ends = [own.select("root_id", F.col("id").alias(a), F.col("n").alias(b)) for a, b in (("from_id", "u"), ("to_id", "v"))]
     links = edges.select("root_id", "from_id", "to_id").join(ends[0], ["root_id", "from_id"]).join(ends[1], ["root_id", "to_id"]).select("u", "v")
-    found = components(links)
+    found = contracted_components(links)
     labelled = written(own.join(found, own["n"] == found["node"], "left").select("root_id", "id", F.coalesce("component", "n").alias("c")), "labelled")
     numbers = dense_numbers(labelled.select("root_id", "c").distinct(), ["c"], "k")
     first = numbers.groupBy("root_id").agg(F.min("k").alias("k0"))
