@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions.ids import present
@@ -79,3 +79,27 @@ def facet_venues(papers: DataFrame, limit: int | None = 10) -> DataFrame:
 def year_bounds(papers: DataFrame, as_of_year: int) -> DataFrame:
     y = F.nullif(F.col("publication_year"), F.lit(0))
     return papers.agg(F.coalesce(F.min(y), F.lit(1990)).alias("lo"), F.coalesce(F.max(y), F.lit(as_of_year)).alias("hi"))
+
+
+def facets(papers: DataFrame, as_of_year: int, limit: int = 10) -> DataFrame:
+    """(facet, rank, value) of all facets by one scan: year (falling), field and venue (rising, the first ``limit``), bounds (lo, hi).
+
+    Each paper gives its values once; grouping sets by facet and value, and by facet alone, make the lists
+    and the bounds of years in one aggregation. Missing, empty and zero values are none; without years the
+    bounds are 1990 and ``as_of_year``. An empty table has these bounds only.
+    """
+    year = F.col("publication_year")
+    one = lambda facet, value, number=F.lit(None).cast("int"): F.struct(F.lit(facet).alias("facet"), value.alias("value"), number.alias("number"))
+    fields = F.transform(F.array_distinct(F.coalesce("fields_of_study", F.array().cast("array<string>"))), lambda f: one("field", f))
+    given = F.filter(F.concat(F.array(one("year", year.cast("string"), year.cast("int")), one("venue", venue_or_journal())), fields), lambda x: x["value"].isNotNull() & (x["value"] != "") & ((x["facet"] != "year") | (x["number"] != 0)))
+    each = papers.select(F.explode(given).alias("x")).select("x.*")
+    sets = each.groupingSets([["facet", "value"], ["facet"]], "facet", "value").agg(F.grouping("value").alias("whole"), F.min("number").alias("lo"), F.max("number").alias("hi"))
+    rank = F.row_number().over(Window.partitionBy("facet", "whole").orderBy(F.desc("lo"), "value"))  # years by number, others by value
+    ranked = sets.withColumn("rank", rank).filter((F.col("facet") == "year") | (F.col("rank") <= limit))
+    bounds = F.when((F.col("whole") == 1) & (F.col("facet") == "year"), F.array(F.struct(F.lit("bounds").alias("facet"), F.lit(1).alias("rank"), F.col("lo").cast("string").alias("value")), F.struct(F.lit("bounds").alias("facet"), F.lit(2).alias("rank"), F.col("hi").cast("string").alias("value"))))
+    rows = F.when(F.col("whole") == 1, F.coalesce(bounds, F.array().cast("array<struct<facet:string,rank:int,value:string>>"))).otherwise(F.array(F.struct("facet", "rank", "value")))
+    listed = ranked.select(F.explode(rows).alias("x")).select("x.*")
+    # default bounds give way to found ones
+    spark = papers.sparkSession
+    default = spark.createDataFrame([("bounds", 1, "1990"), ("bounds", 2, str(as_of_year))], "facet string, rank int, value string")
+    return listed.withColumn("z", F.lit(0)).union(default.withColumn("z", F.lit(1))).groupBy("facet", "rank").agg(F.min_by("value", "z").alias("value"))

@@ -37,21 +37,29 @@ _PARTS = {
 }
 
 
-def _level(at: int, refs: int, cites: int, cap: int) -> None:
-    """Table expressions of one level of the search: candidates, those handled, new nodes, all nodes so far."""
-    before = "n0" if at == 0 else f"all{at}"
-    _PARTS[f"cand{at + 1}"] = f"""SELECT f.root, f.seq AS place, f.id AS paper, a.kind, a.position, a.target, a.state, a.state <> 'none' AND v.id IS NULL AS addable
-        FROM n{at} f JOIN near a ON a.id = f.id AND a.position <= CASE WHEN a.kind = 0 THEN {refs} ELSE {cites} END
-        LEFT JOIN {before} v ON v.root = f.root AND v.id = a.target WHERE f.state = 'full'"""
-    _PARTS[f"new{at + 1}"] = f"SELECT *, CASE WHEN addable AND row_number() OVER (PARTITION BY root, target, addable ORDER BY place, kind, position) = 1 THEN 1 ELSE 0 END AS is_new FROM cand{at + 1}"
-    _PARTS[f"kept{at + 1}"] = f"""SELECT * FROM (SELECT c.*, s.size + coalesce(sum(is_new) OVER (PARTITION BY c.root ORDER BY place, kind, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-        FROM new{at + 1} c JOIN (SELECT root, count(*) AS size FROM {before} GROUP BY 1) s ON s.root = c.root) WHERE before < {cap}"""
-    _PARTS[f"n{at + 1}"] = f"SELECT root, target AS id, {at + 1} AS depth, before AS seq, state, kind FROM kept{at + 1} WHERE is_new = 1"
-    _PARTS[f"all{at + 1}"] = f"SELECT * FROM {before} UNION ALL SELECT * FROM n{at + 1}"
+def _level(at: int, refs: int, cites: int, cap: int, own: str = "", near: str = "near") -> None:
+    """Table expressions of one level of the search: candidates, those handled, new nodes, all nodes so far. ``own`` tells searches apart."""
+    before = "n0" if at == 0 else f"all{own}{at}"
+    start = "n0" if at == 0 else f"n{own}{at}"
+    _PARTS[f"cand{own}{at + 1}"] = f"""SELECT f.root, f.seq AS place, f.id AS paper, a.kind, a.position, a.target, a.state, a.state <> 'none' AND v.id IS NULL AS addable
+        FROM {start} f JOIN {near} a ON a.id = f.id AND a.position <= CASE WHEN a.kind = 0 THEN {refs} ELSE {cites} END
+        LEFT JOIN {before} v ON v.root = f.root AND v.id = a.target WHERE f.state = 'full' AND (f.depth <= 2 OR f.kind = 0)"""
+    _PARTS[f"new{own}{at + 1}"] = f"SELECT *, CASE WHEN addable AND row_number() OVER (PARTITION BY root, target, addable ORDER BY place, kind, position) = 1 THEN 1 ELSE 0 END AS is_new FROM cand{own}{at + 1}"
+    _PARTS[f"kept{own}{at + 1}"] = f"""SELECT * FROM (SELECT c.*, s.size + coalesce(sum(is_new) OVER (PARTITION BY c.root ORDER BY place, kind, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM new{own}{at + 1} c JOIN (SELECT root, count(*) AS size FROM {before} GROUP BY 1) s ON s.root = c.root) WHERE before < {cap}"""
+    _PARTS[f"n{own}{at + 1}"] = f"SELECT root, target AS id, {at + 1} AS depth, before AS seq, state, kind FROM kept{own}{at + 1} WHERE is_new = 1"
+    _PARTS[f"all{own}{at + 1}"] = f"SELECT * FROM {before} UNION ALL SELECT * FROM n{own}{at + 1}"
 
 
 _level(0, 20, 15, 150)
 _level(1, 15, 8, 150)
+for _at, _limits in enumerate(((20, 15), (15, 8), (10, 3))):
+    _level(_at, *_limits, 200, "_ui")
+_PARTS["adj_thin"] = """SELECT citing AS id, 0 AS kind, ref_position AS position, cited AS target, cited_title AS title FROM cit WHERE n > 1 AND ref_position <= 20
+    UNION ALL SELECT cited, 1, cite_position, citing, citing_title FROM cit WHERE n > 1 AND cite_position <= 15"""
+_PARTS["near_thin"] = "SELECT *, CASE WHEN target % 13 <> 7 THEN 'full' WHEN title IS NOT NULL THEN 'basic' ELSE 'none' END AS state FROM adj_thin"
+for _at, _limits in enumerate(((20, 15), (15, 8), (10, 3), (5, 0))):
+    _level(_at, *_limits, 150, "_thin", "near_thin")
 # networks of depth 1 with 200 nodes: at most 36, so that no cap bites
 _PARTS["n_first"] = "SELECT root, id, 'full' AS state, NULL AS title, 0 AS depth FROM n0 UNION ALL SELECT root, target, min(state), min(title), 1 FROM (SELECT f.root, a.target, a.state, a.title FROM n0 f JOIN near a ON a.id = f.id WHERE a.state <> 'none' AND a.target <> f.root) GROUP BY 1, 2"
 _PARTS["e_first"] = "SELECT DISTINCT f.root, CASE WHEN a.kind = 0 THEN f.id ELSE a.target END AS f, CASE WHEN a.kind = 0 THEN a.target ELSE f.id END AS t, a.kind FROM n0 f JOIN near a ON a.id = f.id"
@@ -120,6 +128,10 @@ ORACLES = {
         FROM all2 a JOIN papers p ON p.key = a.id"""),
     "ego_pagerank": _unrolled_ego_pagerank(),
     "ego_network_edges": _with("SELECT CAST(root AS VARCHAR) AS root_id, CAST(f AS VARCHAR) AS from_id, CAST(t AS VARCHAR) AS to_id, type, 1 AS weight FROM ego_edges"),
+    "ego_network_ui": _with("""SELECT CAST(root AS VARCHAR) AS root_id, CAST(id AS VARCHAR) AS id, depth, CAST(seq AS BIGINT) AS node_seq, state = 'basic' AS basic,
+        CASE WHEN depth = 0 THEN '#ff6b35' WHEN state = 'basic' THEN '#94a3b8' WHEN depth = 1 THEN '#059669' WHEN depth = 2 THEN '#7c3aed' ELSE '#dc2626' END AS color FROM all_ui3"""),
+    "ego_network_narrow": _with("""SELECT DISTINCT CAST(root AS VARCHAR) AS root_id, CAST(CASE WHEN kind = 0 THEN paper ELSE target END AS VARCHAR) AS from_id, CAST(CASE WHEN kind = 0 THEN target ELSE paper END AS VARCHAR) AS to_id,
+        CASE WHEN kind = 0 THEN 'reference' ELSE 'citation' END AS type, 1 AS weight FROM (SELECT * FROM kept_thin1 UNION ALL SELECT * FROM kept_thin2 UNION ALL SELECT * FROM kept_thin3 UNION ALL SELECT * FROM kept_thin4)"""),
     "ego_depth_distribution": _with("SELECT CAST(root AS VARCHAR) AS root_id, CAST(depth AS VARCHAR) AS depth, count(*) AS n FROM all2 GROUP BY 1, 2"),
     "ego_counts": _with("SELECT CAST(n.root AS VARCHAR) AS root_id, n.c AS node_count, coalesce(e.c, 0) AS edge_count FROM (SELECT root, count(*) AS c FROM all2 GROUP BY 1) n LEFT JOIN (SELECT root, count(*) AS c FROM ego_edges GROUP BY 1) e ON e.root = n.root"),
     "induced_subgraph_year": _with("""SELECT CAST(citing AS VARCHAR) AS from_id, CAST(cited AS VARCHAR) AS to_id FROM pairs JOIN papers a ON a.key = citing JOIN papers b ON b.key = cited
@@ -149,6 +161,10 @@ ORACLES = {
     "facet_years": _with("SELECT DISTINCT publication_year FROM papers WHERE publication_year IS NOT NULL"),
     "facet_fields": _with("SELECT DISTINCT field FROM (SELECT unnest(fields) AS field FROM papers) ORDER BY field LIMIT 10"),
     "facet_venues": _with("SELECT DISTINCT venue FROM papers ORDER BY venue LIMIT 10"),
+    "facets_all": _with("""SELECT 'year' AS facet, CAST(row_number() OVER (ORDER BY y DESC) AS INTEGER) AS rank, CAST(y AS VARCHAR) AS value FROM (SELECT DISTINCT publication_year AS y FROM papers WHERE publication_year IS NOT NULL)
+        UNION ALL SELECT * FROM (SELECT 'field', CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS r, f FROM (SELECT DISTINCT unnest(fields) AS f FROM papers)) WHERE r <= 10
+        UNION ALL SELECT * FROM (SELECT 'venue', CAST(row_number() OVER (ORDER BY venue) AS INTEGER) AS r, venue FROM (SELECT DISTINCT venue FROM papers)) WHERE r <= 10
+        UNION ALL SELECT 'bounds', 1, CAST(min(publication_year) AS VARCHAR) FROM papers UNION ALL SELECT 'bounds', 2, CAST(max(publication_year) AS VARCHAR) FROM papers"""),
     "year_bounds": _with("SELECT min(publication_year) AS lo, max(publication_year) AS hi FROM papers"),
     "id_classify": r"""SELECT id, CASE WHEN contains(id, 'doi.org') AND contains(id, 'arxiv') THEN CASE WHEN regexp_matches(id, '(?i)arxiv\.\d{4}\.\d{4,5}') THEN 'arxiv' END WHEN starts_with(id, '10.') THEN 'doi'
           WHEN contains(lower(id), 'arxiv') OR regexp_full_match(id, '\d{4}\.\d{4,5}(?:v\d+)?') THEN CASE WHEN regexp_full_match(regexp_replace(id, '(?i)^arxiv:?', ''), '\d{4}\.\d{4,5}(?:v\d+)?') THEN 'arxiv' END
@@ -187,7 +203,12 @@ ORACLES = {
     "papers_table": _unrolled_papers(),
     "doi_duplicates": _with("SELECT lower(own_doi) AS doi, count(*) AS n FROM sources WHERE own_doi IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "title_missing": "SELECT page_id FROM pages WHERE page_id % 4 = 0",
-    "cache_keys": _with("SELECT left(sha256(CAST(root AS VARCHAR) || '_2_150'), 16) AS query_hash, CAST(n.root AS VARCHAR) AS root_paper_id, n.c AS node_count, coalesce(e.c, 0) AS edge_count FROM (SELECT root, count(*) AS c FROM all2 GROUP BY 1) n LEFT JOIN (SELECT root, count(*) AS c FROM ego_edges GROUP BY 1) e USING (root)"),
+    "cache_keys": _with("""SELECT left(sha256(CAST(n.root AS VARCHAR) || '_2_150'), 16) AS query_hash, CAST(n.root AS VARCHAR) AS root_paper_id, CAST(n.c AS INTEGER) AS node_count, CAST(coalesce(e.c, 0) AS INTEGER) AS edge_count, md5(n.told) AS nodes_md5, md5(coalesce(e.told, '')) AS edges_md5
+        FROM (SELECT root, count(*) AS c, string_agg(a.id || ' ' || depth || ' ' || CASE WHEN a.state = 'basic' THEN 'paper ' || a.id ELSE p.title END, '; ' ORDER BY seq) AS told FROM all2 a JOIN papers p ON p.key = a.id GROUP BY 1) n
+        LEFT JOIN (SELECT root, count(*) AS c, string_agg(f || ' ' || t || ' ' || type, '; ' ORDER BY CAST(f AS VARCHAR), CAST(t AS VARCHAR), type) AS told FROM ego_edges GROUP BY 1) e ON e.root = n.root"""),
+    "cache_upkeep": """WITH c AS (SELECT user_id, event_id AS root, ts FROM events UNION ALL SELECT user_id, event_id + 1, ts + INTERVAL 1 HOUR FROM events WHERE event_id % 2 = 0)
+        SELECT left(sha256(user_id || '_1_200'), 16) AS query_hash, CAST(root AS VARCHAR) AS root_paper_id, strftime(ts + INTERVAL 24 HOURS, '%Y-%m-%d') AS expires_date
+        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(root AS VARCHAR)) AS r FROM c WHERE ts + INTERVAL 24 HOURS > (SELECT max(ts) FROM events)) WHERE r = 1""",
     "cache_lookup": """SELECT left(sha256(user_id || '_1_200'), 16) AS query_hash, event_id AS root_paper_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS r FROM events
         WHERE ts + INTERVAL 24 HOURS > (SELECT max(ts) FROM events)) WHERE r = 1""",
     "search_log": "SELECT event_type AS query_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, count(*) AS n, CAST(sum(CAST(value AS INTEGER)) AS BIGINT) AS execution_time_ms FROM (SELECT event_type, ts, trunc(value) AS value FROM events) GROUP BY 1, 2",

@@ -63,6 +63,23 @@ def ego_network_edges(spark, sf_dir):
     return _networks(spark, sf_dir)[1]
 
 
+@query
+def ego_network_ui(spark, sf_dir):
+    """Networks of depth 3 with 200 nodes at most, as the user interface asks for them, of every paper that can be looked up."""
+    papers = fx.papers(spark, sf_dir, resolved=True)
+    nodes, _ = network.ego_network(papers, fx.citations(spark, sf_dir), papers.select(F.col("paper_id").alias("root_id")), depth=3, max_nodes=200)
+    return nodes.select("root_id", "id", "depth", "node_seq", "basic", "color")
+
+
+@query
+def ego_network_narrow(spark, sf_dir):
+    """Edges of depth 4 around every paper with few neighbours: the narrow limits of the third and fourth level are reached."""
+    papers = fx.papers(spark, sf_dir, resolved=True)
+    near = fx.citations(spark, sf_dir).filter("n > 1")
+    roots = papers.select(F.col("paper_id").alias("root_id"))
+    return network.ego_network(papers, near, roots, depth=4, max_nodes=150)[1]
+
+
 @query
 def ego_depth_distribution(spark, sf_dir):
     return network.depth_distribution(_networks(spark, sf_dir)[0])
@@ -303,6 +320,12 @@ def facet_venues(spark, sf_dir):
     return filters.facet_venues(fx.papers(spark, sf_dir))
 
 
+@query
+def facets_all(spark, sf_dir):
+    """All facets by one scan."""
+    return filters.facets(fx.papers(spark, sf_dir), AS_OF_YEAR)
+
+
 @query
 def year_bounds(spark, sf_dir):
     return filters.year_bounds(fx.papers(spark, sf_dir), AS_OF_YEAR)
@@ -476,7 +499,34 @@ def cache_keys(spark, sf_dir):
     now = F.lit("2026-01-01 12:00:00").cast("timestamp")
     path = f"{shared_dir(spark)}/cache-{spark.range(1).select(F.uuid()).first()[0]}"
     stores.write_network_cache(stores.cache_rows(stores.network_documents(*_networks(spark, sf_dir)), 2, 150, now), path)
-    return spark.read.parquet(path).select("query_hash", "root_paper_id", "node_count", "edge_count")
+    held = spark.read.parquet(path).withColumn("d", F.from_json("network_data", "nodes array<struct<id:string,depth:int,label:string>>, edges array<struct<from_id:string,to_id:string,type:string>>"))
+    told = F.array_join(F.transform("d.edges", lambda e: F.concat_ws(" ", e["from_id"], e["to_id"], e["type"])), "; ")
+    nodes = F.array_join(F.transform("d.nodes", lambda n: F.concat_ws(" ", n["id"], n["depth"].cast("string"), n["label"])), "; ")
+    return held.select("query_hash", "root_paper_id", "node_count", "edge_count", F.md5(nodes).alias("nodes_md5"), F.md5(told).alias("edges_md5"))
+
+
+@query
+def cache_upkeep(spark, sf_dir):
+    """Events as cache rows, written in two batches, the second twice as if tried again; compacted at the last event's time and read whole."""
+    from scholargraph.plans.cutpoints import shared_dir
+
+    events = fx.table(spark, sf_dir, "events")
+    path = f"{shared_dir(spark)}/upkeep-{spark.range(1).select(F.uuid()).first()[0]}"
+
+    def rows(of, later):
+        at = F.col("ts") + F.make_interval(hours=F.lit(later))
+        expires = at + F.make_interval(hours=F.lit(24))
+        return of.select(
+            ids.network_query_hash(F.col("user_id").cast("string"), 1, 200).alias("query_hash"), (F.col("event_id") + later).cast("string").alias("root_paper_id"), F.lit("{}").alias("network_data"),
+            F.lit(1).alias("node_count"), F.lit(0).alias("edge_count"), at.alias("generated_at"), expires.alias("expires_at"), F.to_date(expires).alias("expires_date"),
+        )
+
+    stores.write_network_cache(rows(events, 0), path, "first")
+    for _ in range(2):
+        stores.write_network_cache(rows(events.filter("event_id % 2 = 0"), 1), path, "second")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    stores.compact_network_cache(spark, path, now)
+    return spark.read.parquet(path).select("query_hash", "root_paper_id", F.date_format("expires_date", "yyyy-MM-dd").alias("expires_date"))
 
 
 @query
