@@ -7,9 +7,9 @@ generated sentences, with a fixed seed (``learn``), and kept in ``pii_weights.js
 
 Entities are bounded: eight groups of digits and 19 digits, or a mail address of some 64 characters a part.
 So candidates are made while the text is read once, those without a positive score are dropped at once
-(they can't be in the best segmentation), and the programme runs over each cluster of overlapping
-candidates. A cluster of over ``WINDOW`` candidates is decided in parts of that many. Memory does not grow
-with the text but by the spans found.
+(they can't be in the best segmentation), and the programme runs along with the reading. Every ``WINDOW``
+candidates it decides what all segmentations that can still win have in common, which changes no result,
+so memory does not grow with the text but by the spans found.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "ip", "card", "phone")
 _RANK = {k: i for i, k in enumerate(TYPES)}
-#: Most groups and digits of a number; most characters of an entity; most candidates decided together.
+#: Most groups and digits of a number; most characters of an entity; candidates after which what is certain is decided.
 GROUPS, DIGITS, LONGEST, WINDOW = 8, 19, 200, 4_096
 #: Words before an entity that tell its type, or that a number is something else.
 CUES = {
@@ -165,7 +165,7 @@ def _mails(text: str, sign: re.Pattern, tail: re.Pattern, how: str) -> Iterator[
             start -= 1
         while start < m.start() and not text[start].isalnum():
             start += 1
-        if start == m.start():
+        if start == m.start() or start == least and start and ((c := text[start - 1]).isalnum() or c in "._%+-"):  # a longer local part is none, it isn't cut
             continue
         local, domain = text[start : m.start()], re.sub(r"\x20?[\[(](?i:dot)[\])]\x20?", ".", right[0]).rstrip("-_.")
         end = m.end() + len(right[0].rstrip("-_."))
@@ -211,10 +211,9 @@ class Field:
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         """The best segmentation's entities that overlap none of ``taken`` (by start)."""
         out: list[tuple[int, int, str]] = []
-        cluster: list[tuple[int, int, float, int]] = []
+        best = Segments()
         starts = [x[0] for x in taken]
         furthest = np.maximum.accumulate([x[1] for x in taken]).tolist() if taken else []
-        reach = 0
         for start, end, key in heapq.merge(numbers(text), mails(text), key=lambda c: c[1]):
             score, kind = self.best_type(key)
             if score <= 0 or end - start > LONGEST:
@@ -222,29 +221,59 @@ class Field:
             k = bisect_right(starts, end - 1) - 1
             if k >= 0 and furthest[k] > start:
                 continue
-            if cluster and (end - LONGEST >= reach or len(cluster) >= WINDOW):
-                out += _chosen(cluster)
-                cluster.clear()
-            if start >= (out[-1][1] if out else 0):
-                cluster.append((start, end, score, kind))
-                reach = end
-        return out + _chosen(cluster)
+            if len(best.ends) > best.patience:
+                out += best.settled(end - LONGEST)
+            best.add(start, end, score, kind)
+        return out + best.settled(len(text))
+
+
+class Segments:
+    """The best segmentation so far up to each end, of candidates that come by end.
+
+    What all segmentations that can still be followed have in common is decided as the text goes by, so
+    few states are kept; the result is that of one decision over the whole text.
+    """
+
+    def __init__(self, patience: int | None = None):
+        self.ends, self.value, self.back = [0], [0.0], [(-1, None)]
+        self.least = self.patience = patience or WINDOW
+
+    def add(self, start: int, end: int, score: float, kind: int) -> None:
+        before = bisect_right(self.ends, start) - 1
+        if before >= 0 and self.value[before] + score > self.value[-1]:
+            self.back.append((before, (start, end, TYPES[kind])))
+            self.ends.append(end)
+            self.value.append(self.value[before] + score)
+
+    def settled(self, start: int) -> list[tuple[int, int, str]]:
+        """The entities that are certain if all later candidates start at ``start`` or after it."""
+        live = range(max(0, bisect_right(self.ends, start) - 1), len(self.ends))
+        heads, kept = [-x for x in live], set(live)
+        heapq.heapify(heads)
+        while len(heads) > 1:  # back from the latest until all ways are one
+            x = self.back[-heapq.heappop(heads)][0]
+            if x not in kept:
+                kept.add(x)
+                heapq.heappush(heads, -x)
+        at = -heads[0]
+        out, x = [], at
+        while self.back[x][1] is not None:
+            out.append(self.back[x][1])
+            x = self.back[x][0]
+        order = sorted(k for k in kept if k >= at)
+        place = {k: i for i, k in enumerate(order)}
+        self.back = [(-1, None), *((place[self.back[k][0]], self.back[k][1]) for k in order[1:])]
+        self.ends, self.value = [self.ends[k] for k in order], [self.value[k] for k in order]
+        self.patience = max(self.least, 2 * len(order))
+        return out[::-1]
 
 
 def _chosen(cluster: list[tuple[int, int, float, int]]) -> list[tuple[int, int, str]]:
-    """The sets of segments with the highest sum, none overlapping; ``cluster`` is by end."""
-    ends, value, back = [0], [0.0], [-1]
-    for k, (start, end, score, _) in enumerate(cluster):
-        before = bisect_right(ends, start) - 1
-        if value[before] + score > value[-1]:
-            ends.append(end)
-            value.append(value[before] + score)
-            back.append((k, before))
-    out, at = [], len(ends) - 1
-    while at > 0:
-        k, at = back[at]
-        out.append((cluster[k][0], cluster[k][1], TYPES[cluster[k][3]]))
-    return out[::-1]
+    """The set of segments with the highest sum, none overlapping; ``cluster`` is by end."""
+    best = Segments()
+    for c in cluster:
+        best.add(*c)
+    return best.settled(max((c[1] for c in cluster), default=0))
 
 
 def expected(candidates: list[Candidate], score: np.ndarray) -> np.ndarray:
