@@ -42,14 +42,18 @@ def merge_details(s2: DataFrame, openalex: DataFrame, most: int = 20) -> DataFra
 
 
 def citation_contexts(citations: DataFrame, limit: int = 20) -> DataFrame:
-    """(paper_id, citing_paper_id, rank, context, is_influential): the first citing records of each paper."""
+    """(paper_id, citing_paper_id, rank, context, is_influential): the first citing records of each paper.
+
+    Records without contexts have a null context; those without a position are in no list; null cited ids
+    are one paper. An empty table gives an empty one.
+    """
     rank = F.row_number().over(Window.partitionBy("cited_paper_id").orderBy("cite_position", "citing_paper_id"))
     short = citations.filter(F.col("cite_position") <= limit)  # positions start at 1, so no more can be among the first
     return short.withColumn("rank", rank).filter(F.col("rank") <= limit).select(F.col("cited_paper_id").alias("paper_id"), "citing_paper_id", "rank", F.get("contexts", F.lit(0)).alias("context"), "is_influential")
 
 
 def influential_citations(citations: DataFrame) -> DataFrame:
-    """(paper_id, n_citations, n_influential)"""
+    """(paper_id, n_citations, n_influential); a null flag is not influential, null cited ids are one paper."""
     return citations.groupBy(F.col("cited_paper_id").alias("paper_id")).agg(F.count("*").alias("n_citations"), F.count_if("is_influential").alias("n_influential"))
 
 

@@ -24,30 +24,31 @@ def search_keyword(docs: DataFrame, queries: DataFrame, per_source: int = 20, k1
 
     Only the terms of the queries are counted; document lengths are read in the same pass. Each source is
     a corpus of its own, as each was ranked by itself. Null and empty texts and queries match nothing; a
-    repeated id is one document per (id, length); a null source is no corpus. Queries may be many.
+    repeated id is one document per text, and rows that repeat both add up; a null source is no corpus. Queries may
+    be many. For a corpus that is asked again and again see ``keyword_index``.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     asked = written(wanted.select("term").distinct(), "asked")
     n_asked = asked.count()
     text = F.concat_ws(" ", "title", "abstract")
-    split = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), terms(text).alias("t"))
+    split = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.xxhash64(text).alias("h"), terms(text).alias("t"))
     kept = F.col("t")
     if n_asked <= LISTED_TERMS:  # other words needn't be written
         listed = [r[0] for r in asked.collect()]
         kept = F.filter("t", lambda x: x.isin(listed))
-    sized = written(split.select("id", "source", F.size("t").alias("len"), kept.alias("t")), "terms")
+    sized = written(split.select("id", "source", "h", F.size("t").alias("len"), kept.alias("t")), "terms")
     stats = written(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")), "stats")
-    each = sized.select("id", "source", "len", F.explode("t").alias("term")).join(maybe_broadcast(asked, n_asked), "term", "left_semi")
-    tf = written(each.groupBy("id", "source", "len", "term").agg(F.count("*").alias("tf")), "tf")
+    each = sized.select("id", "source", "h", "len", F.explode("t").alias("term")).join(maybe_broadcast(asked, n_asked), "term", "left_semi")
+    tf = written(each.groupBy("id", "source", "h", "len", "term").agg(F.count("*").alias("tf")), "tf")
     df = written(tf.groupBy("source", "term").agg(F.count("*").alias("df")), "df")
     # few sources and terms: sent along if their count is small, so that no source or term is one task
     known = tf.join(maybe_broadcast(df, df.count()), ["source", "term"]).join(maybe_broadcast(stats, stats.count()), "source")
     joined = known.join(maybe_broadcast(wanted, wanted.count()), "term")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = joined.groupBy("query_id", "source", "id").agg(F.sum(part).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc(F.round("score", 9)), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= per_source)
+    scored = joined.groupBy("query_id", "source", "id", "h").agg(F.sum(part).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy(F.desc(F.round("score", 9)), "id", "h"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= per_source).drop("h")
 
 
 def _lookup(papers: DataFrame, queries: DataFrame, kind: str, key: Column, wanted: Column) -> DataFrame:
@@ -97,15 +98,21 @@ def search(queries: DataFrame, s2: DataFrame, openalex: DataFrame, crossref: Dat
     return merge_dedup(found.unionByName(best.withColumn("position", F.col("__rank")).drop("__id", "__rank")), doi_mode, ["query_id"])
 
 
+def merge_key(doi_mode: str = "raw") -> Column:
+    """What papers are merged by: DOI, else the source's id, else the title; null if a paper has none."""
+    own = F.when(F.col("source") == "semantic_scholar", F.col("semantic_scholar_id")).when(F.col("source") == "openalex", F.col("openalex_id"))
+    doi = F.col("doi") if doi_mode == "raw" else ids.normalized_doi(F.col("doi"))
+    return F.coalesce(ids.present(doi), ids.present(own), ids.present(F.col("title")))
+
+
 def merge_dedup(papers: DataFrame, doi_mode: str = "raw", by: list[str] | None = None) -> DataFrame:
     """The first paper of each key, by source and position; papers without a key go.
 
     Key: DOI, else the source's id, else the title. ``doi_mode`` raw keeps the sources' own spellings
-    of DOIs, normalized compares them without resolver and case.
+    of DOIs, normalized compares them without resolver and case. Empty strings are as null; of papers with
+    the same key, source and position any one stays; an empty table gives an empty one.
     """
-    own = F.when(F.col("source") == "semantic_scholar", F.col("semantic_scholar_id")).when(F.col("source") == "openalex", F.col("openalex_id"))
-    doi = F.col("doi") if doi_mode == "raw" else ids.normalized_doi(F.col("doi"))
-    keyed = papers.withColumn("__key", F.coalesce(ids.present(doi), ids.present(own), ids.present(F.col("title")))).filter("__key is not null")
+    keyed = papers.withColumn("__key", merge_key(doi_mode)).filter("__key is not null")
     first = F.row_number().over(Window.partitionBy(*(by or []), "__key").orderBy("source_rank", "position"))
     return keyed.withColumn("__r", first).filter("__r = 1").drop("__r", "__key")
 
@@ -129,7 +136,11 @@ def search_stats(papers: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def resolve_ids(asked: DataFrame, works: DataFrame) -> DataFrame:
-    """``asked`` (id) with kind and value; OpenAlex ids become the DOI or arXiv id of their work."""
+    """``asked`` (id) with kind and value; OpenAlex ids become the DOI or arXiv id of their work.
+
+    Ids without a work stay as they are; a null id has null kind and value; repeated ids repeat their rows;
+    of several DOIs of a work the least counts. Empty tables give an empty one, or ids without works.
+    """
     parsed = asked.withColumn("c", ids.classify_paper_id(F.col("id"))).withColumn("work", F.when(F.col("c.kind") == "openalex", ids.openalex_work_id(F.trim("id"))))
     known = works.select(ids.openalex_work_id(F.col("id")).alias("work"), ids.strip_doi_resolver(F.col("doi")).alias("work_doi")).filter("work is not null and work_doi <> ''")
     known = known.groupBy("work").agg(F.min("work_doi").alias("work_doi"))
@@ -142,7 +153,8 @@ def resolve_ids(asked: DataFrame, works: DataFrame) -> DataFrame:
 def lookup_paper(resolved: DataFrame, papers: DataFrame, arxiv_papers: DataFrame) -> DataFrame:
     """``resolved`` (id, kind, value) with paper_id, title and where it was found; null if nowhere.
 
-    ``papers`` (paper_id, doi, arxiv_id, title) first, then, for arXiv ids, ``arxiv_papers``.
+    ``papers`` (paper_id, doi, arxiv_id, title) first, then, for arXiv ids, ``arxiv_papers``. Of several papers
+    with a key the one of the least id counts. Null values are missing; repeated questions repeat their rows.
     """
     keys = papers.select(F.explode(F.array(F.struct(F.lit("doi").alias("kind"), F.lower("doi").alias("k")), F.struct(F.lit("arxiv").alias("kind"), ids.strip_arxiv_version(F.col("arxiv_id")).alias("k")), F.struct(F.lit("s2").alias("kind"), F.col("paper_id").alias("k")))).alias("x"), "paper_id", "title").select("x.kind", "x.k", "paper_id", "title").filter("k is not null")
     keys = keys.groupBy("kind", "k").agg(F.min_by("title", "paper_id").alias("title"), F.min("paper_id").alias("paper_id"))

@@ -139,6 +139,7 @@ ORACLES = {
     "neighbors_batch": _with("""SELECT CAST(id AS VARCHAR) AS id, CAST(neighbor AS VARCHAR) AS neighbor FROM (SELECT citing AS id, cited AS neighbor FROM pairs UNION ALL SELECT cited, citing FROM pairs UNION ALL SELECT p_partkey, p_partkey FROM part)"""),
     "merge_dedup_raw": _with("SELECT source, doi, title, coalesce(publication_year, 0) AS publication_year, citation_count, authors, venue FROM merged_raw"),
     "merge_dedup_normalized": _with("SELECT source, doi, title, coalesce(publication_year, 0) AS publication_year, citation_count, authors, venue FROM merged_norm"),
+    "merge_upsert": _with("SELECT source, doi, title, coalesce(publication_year, 0) AS publication_year, citation_count, authors, venue FROM merged_norm"),
     "search_stats": _with("SELECT count(*) FILTER (WHERE source = 'semantic_scholar') AS semantic_scholar_count, count(*) FILTER (WHERE source = 'openalex') AS openalex_count, count(*) FILTER (WHERE source = 'crossref') AS crossref_count FROM sources"),
     "search_top50": _with("SELECT source, title, citation_count FROM merged_raw ORDER BY citation_count DESC, source_rank, position LIMIT 50"),
     "normalize_sources": _with("SELECT source, position, coalesce(doi, '') AS doi, title, authors, citation_count FROM sources"),
@@ -177,6 +178,10 @@ ORACLES = {
     "preferred_id": _with("SELECT paper_id, coalesce(CASE WHEN key % 2 = 0 THEN 's2-' || paper_id END, doi, CASE WHEN key % 5 = 0 THEN 'W' || key END, paper_id) AS network_id, coalesce(CASE WHEN key % 2 = 0 THEN 's2-' || paper_id END, CASE WHEN key % 5 = 0 THEN 'W' || key END, paper_id) AS details_id FROM papers"),
     "abstract_roundtrip": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> ''), ' ') AS abstract FROM documents WHERE text IS NOT NULL",
     "atom_extract": r"SELECT page_id, trim(regexp_extract(html, '<title>(.+?)</title>', 1, 's'), E' \t\n\x0b\f\r') AS title, 'https://arxiv.org/abs/' || page_id AS url FROM pages",
+    "atom_fields": """SELECT 'ARXIV:2101.' || n || CASE WHEN k % 2 = 0 THEN 'v3' ELSE '' END AS paper_id, 'Paper ' || k || chr(10) || 'of ' || p_name AS title, CASE WHEN k % 5 = 0 THEN '' ELSE 'about ' || p_name || ' and more' END AS abstract,
+        CAST(CASE WHEN k % 7 = 0 THEN 2026 ELSE 1990 + k % 35 END AS INTEGER) AS publication_year, 0 AS citation_count, CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN 'Author ' || (k % 97) ELSE 'Author ' || (k % 97) || ', Author ' || ((k + 1) % 97) END AS authors,
+        'arXiv preprint' AS venue, 'https://arxiv.org/abs/2101.' || n AS url, 'https://arxiv.org/pdf/2101.' || n || '.pdf' AS pdf_url, 'Computer Science' AS fields, 'arXiv' AS journal, 'preprint' AS types
+        FROM (SELECT p_partkey AS k, p_name, lpad(CAST(p_partkey % 100000 AS VARCHAR), 5, '0') AS n FROM part)""",
     "author_labels": "SELECT doc_id, CASE WHEN n = 0 THEN '未知作者' WHEN n > 3 THEN 'a0, a1, a2 等' ELSE array_to_string(list_transform(range(0, n), lambda i: 'a' || i), ', ') END AS label FROM (SELECT doc_id, doc_id % 6 AS n FROM documents)",
     "node_style": _with("SELECT paper_id, round(greatest(15, log10(citation_count + 1) * 12), 6) AS size, round(greatest(15, 1.0 / (key + 1) * 1000), 6) AS rank_size, CASE key % 5 WHEN 0 THEN '#ff6b35' WHEN 1 THEN '#059669' WHEN 2 THEN '#7c3aed' WHEN 3 THEN '#dc2626' ELSE '#6b7280' END AS color, CASE WHEN key % 5 = 0 THEN '#ff6b35' ELSE ['#1e3a8a', '#dc2626', '#059669', '#7c3aed', '#ea580c', '#0891b2', '#be185d'][key % 7 + 1] END AS cluster_color FROM papers"),
     "layout_xy": _with("""SELECT CAST(root AS VARCHAR) AS root_id, CAST(id AS VARCHAR) AS id, round(400 + cos(i / n * 2 * pi()) * away, 6) AS x, round(300 + sin(i / n * 2 * pi()) * away, 6) AS y FROM (
@@ -184,6 +189,14 @@ ORACLES = {
     "paper_metrics": _with("SELECT * FROM metrics"),
     "merge_details": _with("""SELECT 's2-' || paper_id AS id, title, CASE WHEN key % 4 = 0 OR key % 3 = 0 THEN abstract END AS abstract, venue AS journal, doi, CASE WHEN key % 3 = 0 THEN 'https://openalex.org/W' || (key + 100000) END AS openalex_id,
         key % 12 = 0 AS is_open_access, CASE WHEN key % 3 = 0 THEN len(fields) ELSE 0 END AS n_concepts FROM papers WHERE key % 2 = 0"""),
+    "merge_details_full": _with("""SELECT 's2-' || paper_id AS id, CASE WHEN key % 8 = 0 THEN 'Journal ' || (key % 5) ELSE venue END AS journal, CASE WHEN key % 10 = 0 THEN 'Venue ' || (key % 3) ELSE '' END AS publication_venue,
+        CASE WHEN key % 4 = 0 THEN 'JournalArticle; Type ' || (key % 3) ELSE '' END AS publication_types, CASE WHEN key % 3 <> 1 AND publication_year IS NOT NULL THEN publication_year || '-01-15' ELSE '' END AS publication_date, citation_count,
+        CAST(CASE WHEN key % 4 = 2 THEN key % 17 ELSE 0 END AS INTEGER) AS influential_citation_count, CAST(coalesce(r.c, 0) AS INTEGER) AS reference_count, CASE WHEN key % 6 = 0 THEN 'https://example.org/pdf/' || key ELSE '' END AS pdf_url,
+        coalesce(r.told, '') AS refs, coalesce(x.told, '') AS cites, CASE WHEN key % 6 = 0 THEN 'https://oa.example.org/' || key ELSE '' END AS oa_url, CASE WHEN key % 9 = 0 THEN CAST(key % 7 * 100 AS VARCHAR) ELSE '' END AS apc_paid,
+        CASE WHEN key % 12 = 0 THEN 'SDG 3; SDG ' || (key % 17) ELSE '' END AS sdgs, CASE WHEN key % 3 = 0 THEN array_to_string(list_transform(range(1, len(fields) + 1), lambda i: 'C' || (i - 1) || '|' || fields[i] || '|' || (i - 1) || '|0.5'), '; ') ELSE '' END AS concepts,
+        CASE WHEN key % 6 <> 0 THEN array_to_string(list_transform(range(0, key % 5 + 1), lambda i: i || '|Author ' || i), '; ') ELSE '' END AS authors
+        FROM papers LEFT JOIN (SELECT citing, count(*) AS c, string_agg(concat_ws('|', 's2-' || cited, cited_title, CASE WHEN cited % 3 <> 0 THEN 1975 + cited % 50 END, n), '; ' ORDER BY ref_position) FILTER (WHERE ref_position <= 20) AS told FROM cit GROUP BY 1) r ON r.citing = key
+        LEFT JOIN (SELECT cited, string_agg(concat_ws('|', 's2-' || citing, citing_title, CASE WHEN citing % 3 <> 0 THEN 1975 + citing % 50 END, n), '; ' ORDER BY cite_position) FILTER (WHERE cite_position <= 20) AS told FROM cit GROUP BY 1) x ON x.cited = key WHERE key % 2 = 0"""),
     "contexts_top": _with("SELECT CAST(cited AS VARCHAR) AS paper_id, CAST(citing AS VARCHAR) AS citing_paper_id, cite_position AS rank, 'cited ' || n || ' times' AS context, is_influential FROM cit WHERE cite_position <= 20"),
     "influential_count": _with("SELECT CAST(cited AS VARCHAR) AS paper_id, count(*) AS n_citations, count(*) FILTER (WHERE is_influential) AS n_influential FROM cit GROUP BY 1"),
     "recommend_cocite": _with("SELECT CAST(p AS VARCHAR) AS paper_id, CAST(q AS VARCHAR) AS recommended_id, score, k AS rank FROM recommended"),
@@ -201,6 +214,7 @@ ORACLES = {
     "paper_authors": _with("SELECT CAST(key AS VARCHAR) AS paper_id, CAST(l_suppkey AS VARCHAR) AS author_id, s_name AS name, row_number() OVER (PARTITION BY key ORDER BY l_suppkey) - 1 AS author_position FROM all_authors"),
     "citations_table": _with("SELECT CAST(citing AS VARCHAR) AS citing_paper_id, CAST(cited AS VARCHAR) AS cited_paper_id, 2 * n AS citation_count, is_influential, 'cited ' || n || ' times' AS contexts FROM cit"),
     "papers_table": _unrolled_papers(),
+    "components_global": f"SELECT paper_id AS id, cluster_id FROM ({_unrolled_papers()})",
     "doi_duplicates": _with("SELECT lower(own_doi) AS doi, count(*) AS n FROM sources WHERE own_doi IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
     "title_missing": "SELECT page_id FROM pages WHERE page_id % 4 = 0",
     "cache_keys": _with("""SELECT left(sha256(CAST(n.root AS VARCHAR) || '_2_150'), 16) AS query_hash, CAST(n.root AS VARCHAR) AS root_paper_id, CAST(n.c AS INTEGER) AS node_count, CAST(coalesce(e.c, 0) AS INTEGER) AS edge_count, md5(n.told) AS nodes_md5, md5(coalesce(e.told, '')) AS edges_md5

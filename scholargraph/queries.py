@@ -52,6 +52,12 @@ def components_thin(spark, sf_dir):
     return graph.connected_components(*_whole_graph(spark, sf_dir, thin=True)).select("id", "cluster_id")
 
 
+@query
+def components_global(spark, sf_dir):
+    """Components of the whole graph, numbered by their first paper."""
+    return graph.connected_components(*_whole_graph(spark, sf_dir)).select("id", "cluster_id")
+
+
 @query
 def ego_network_nodes(spark, sf_dir):
     nodes, _ = _networks(spark, sf_dir)
@@ -158,6 +164,18 @@ def merge_dedup_normalized(spark, sf_dir):
     return _merged(search.merge_dedup(_sources(spark, sf_dir), "normalized"))
 
 
+@query
+def merge_upsert(spark, sf_dir):
+    """The sources as dumps that come one by one, the last source first and one of them twice, merged into a stored table."""
+    from scholargraph.plans.cutpoints import shared_dir
+
+    path = f"{shared_dir(spark)}/merged-{spark.range(1).select(F.uuid()).first()[0]}"
+    papers = _sources(spark, sf_dir)
+    for source in ("crossref", "semantic_scholar", "openalex", "crossref"):
+        stores.merge_papers(spark, path, papers.filter(F.col("source") == source), "normalized")
+    return _merged(stores.merged_papers(spark, path))
+
+
 @query
 def search_stats(spark, sf_dir):
     return search.search_stats(_sources(spark, sf_dir))
@@ -376,6 +394,14 @@ def atom_extract(spark, sf_dir):
     return made.select(F.regexp_replace("paper_id", "^ARXIV:", "").cast("long").alias("page_id"), "title", "url")
 
 
+@query
+def atom_fields(spark, sf_dir):
+    """Atom entries with all their parts: titles over lines, summaries with odd spaces, names, dates, or none of them."""
+    read = records.read_arxiv_atom(fx.atom_entries(spark, sf_dir))
+    made = normalize.normalize_arxiv(read, AS_OF_YEAR, details=True)
+    return made.select("paper_id", "title", "abstract", "publication_year", "citation_count", "authors", "venue", "url", "pdf_url", F.array_join("fields_of_study", "; ").alias("fields"), "journal", F.array_join("publication_types", "; ").alias("types"))
+
+
 @query
 def author_labels(spark, sf_dir):
     n = (F.col("doc_id") % 6).cast("int")
@@ -409,6 +435,19 @@ def merge_details(spark, sf_dir):
     return merged.select("id", "title", "abstract", "journal", "doi", "openalex_id", F.coalesce("is_open_access", F.lit(False)).alias("is_open_access"), F.when(F.col("openalex_id").isNotNull(), F.size("concepts")).otherwise(0).alias("n_concepts"))
 
 
+@query
+def merge_details_full(spark, sf_dir):
+    """All that details add: journal, types, dates, first twenty references and citations, open access, charges, goals, concepts."""
+    m = details.merge_details(fx.s2_details(spark, sf_dir), fx.openalex_details(spark, sf_dir))
+    told = lambda c, *of: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[o].cast("string") for o in of])), "; "), F.lit(""))
+    plain = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return m.select(
+        "id", plain("journal").alias("journal"), plain("publication_venue").alias("publication_venue"), F.array_join("publication_types", "; ").alias("publication_types"), plain("publication_date").alias("publication_date"),
+        "citation_count", "influential_citation_count", "reference_count", plain("pdf_url").alias("pdf_url"), told("references", "paperId", "title", "year", "citationCount").alias("refs"), told("citations", "paperId", "title", "year", "citationCount").alias("cites"),
+        plain("oa_url").alias("oa_url"), plain("apc_paid").alias("apc_paid"), F.coalesce(F.array_join("sdg_goals", "; "), F.lit("")).alias("sdgs"), told("concepts", "id", "name", "level", "score").alias("concepts"), told("authors", "id", "name").alias("authors"),
+    )
+
+
 @query
 def contexts_top(spark, sf_dir):
     return details.citation_contexts(fx.citations(spark, sf_dir))

@@ -100,3 +100,45 @@ def crossref_works(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper("doi").alias("DOI"), F.array("title").alias("title"), F.struct(F.array(F.array("publication_year")).alias("date-parts")).alias("published"), F.col("citation_count").alias("is-referenced-by-count"),
         F.when(F.col("key") % 10 == 0, who).alias("author"), F.array("venue").alias("container-title"), F.col("url").alias("URL"), F.lit("journal-article").alias("type"), F.col("key").cast("int").alias("position"),
     )
+
+
+def s2_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2-style records with the fields that details have: lists of references and citations, journal, types, dates, PDF."""
+    k, text = F.col("position"), F.col("position").cast("string")
+    cit = citations(spark, sf_dir)
+
+    def listed(own: str, other: str, place: str, name: str) -> DataFrame:
+        year = F.when(F.col(other) % 3 != 0, (1975 + F.col(other) % 50).cast("int"))
+        one = F.struct(F.concat(F.lit("s2-"), F.col(other).cast("string")).alias("paperId"), F.col(f"{own_title[other]}").alias("title"), year.alias("year"), F.col("n").cast("int").alias("citationCount"))
+        made = cit.groupBy(F.col(own).cast("int").alias("position")).agg(F.sort_array(F.collect_list(F.struct(F.col(place).alias("at"), one.alias("x")))).alias("l"))
+        return made.select("position", F.col("l.x").alias(name))
+
+    own_title = {"cited": "cited_title", "citing": "citing_title"}
+    base = s2_papers(spark, sf_dir).drop("references", "citations")
+    both = base.join(listed("citing", "cited", "ref_position", "references"), "position", "left").join(listed("cited", "citing", "cite_position", "citations"), "position", "left")
+    return both.withColumns({
+        "journal": F.when(k % 8 == 0, F.struct(F.concat(F.lit("Journal "), (k % 5).cast("string")).alias("name"))).when(k % 8 == 2, F.struct(F.lit("").alias("name"))),
+        "publicationVenue": F.when(k % 10 == 0, F.concat(F.lit("Venue "), (k % 3).cast("string"))), "publicationTypes": F.when(k % 4 == 0, F.array(F.lit("JournalArticle"), F.concat(F.lit("Type "), (k % 3).cast("string")))),
+        "publicationDate": F.when(k % 3 != 1, F.concat(F.col("year").cast("string"), F.lit("-01-15"))), "influentialCitationCount": F.when(k % 4 == 2, k % 17),
+        "openAccessPdf": F.when(k % 6 == 0, F.struct(F.concat(F.lit("https://example.org/pdf/"), text).alias("url"))),
+    })
+
+
+def openalex_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OpenAlex-style works with open access places, charges and goals."""
+    k, text = F.col("position"), F.col("position").cast("string")
+    return openalex_works(spark, sf_dir).withColumns({
+        "best_oa_location": F.when(k % 6 == 0, F.struct(F.struct(F.concat(F.lit("https://oa.example.org/"), text).alias("url")).alias("host_venue"))),
+        "apc_paid": F.when(k % 9 == 0, (k % 7 * 100).cast("string")), "sustainable_development_goals": F.when(k % 12 == 0, F.array(F.lit("SDG 3"), F.concat(F.lit("SDG "), (k % 17).cast("string")))),
+    })
+
+
+def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, arxiv_id, xml): an Atom entry of each part, with odd spaces, lines within titles, several or no names, sometimes no date or summary."""
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    name = lambda i: F.concat(F.lit("<author><name> Author "), ((k + i) % 97).cast("string"), F.lit("</name></author>"))
+    names = F.when(k % 4 == 0, "").when(k % 4 == 1, name(0)).otherwise(F.concat(name(0), F.lit("\n"), name(1)))
+    summary = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<summary>\n  about\t "), F.col("p_name"), F.lit("\n\n and more </summary>")))
+    day = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("<published>"), (1990 + k % 35).cast("string"), F.lit("-06-01T12:00:00Z</published>")))
+    xml = F.concat(F.lit("<entry>\n<title>\n Paper "), text, F.lit("\nof "), F.col("p_name"), F.lit(" </title>\n"), summary, day, names, F.lit("</entry>"))
+    return table(spark, sf_dir, "part").select(k.alias("key"), F.concat(F.lit("2101."), F.lpad((k % 100000).cast("string"), 5, "0"), F.when(k % 2 == 0, "v3").otherwise("")).alias("arxiv_id"), xml.alias("xml"))
