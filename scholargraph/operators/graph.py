@@ -17,13 +17,14 @@ from scholargraph.plans.ordering import dense_numbers
 BLOCK_EDGES, HELD = 1_000_000, 4_000_000
 
 
-def _edge_blocks(flows: DataFrame, bits: int, most: int) -> DataFrame:
+def _edge_blocks(flows: DataFrame, ends: DataFrame, bits: int, most: int) -> DataFrame:
     """(b, dst, pos, share, base): the edges (src, dst, share, base) of 2**bits sources as arrays, by target. base is the share of 1/n.
 
-    A block with more than ``most`` edges, as a hub's, is several rows.
+    A block with more than ``most`` of the edges ``ends`` (src, dst), as a hub's, is several rows.
     """
+    large = ends.groupBy(F.shiftright("src", bits).alias("b")).agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    large = written(large.filter("parts > 1"), "large")
     at = flows.select(F.shiftright("src", bits).alias("b"), "dst", F.col("src").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("pos"), "share", "base")
-    large = written(at.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).filter("parts > 1"), "large")
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0)
     dealt = at.join(maybe_broadcast(large, large.count()), "b", "left").withColumn("part", part)
     packed = dealt.groupBy("b", "part").agg(F.sort_array(F.collect_list(F.struct("dst", "pos", "share", "base"))).alias("e"))
@@ -94,7 +95,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     out = ends.groupBy("src").agg(F.count("*").alias("out"))
     by_pair = ends.filter("dst is not null").groupBy("src", "dst", "n").agg(F.count("*").alias("times")).join(out, "src")
     share = F.lit(damping) * F.col("times") / F.col("out")
-    packed = _edge_blocks(by_pair.select("src", "dst", share.alias("share"), (share / F.col("n")).alias("base")), bits, BLOCK_EDGES)
+    packed = _edge_blocks(by_pair.select("src", "dst", share.alias("share"), (share / F.col("n")).alias("base")), ends, bits, BLOCK_EDGES)
     blocks = packed.repartition("b").persist()
     inflow = None
     for i in range(iterations):

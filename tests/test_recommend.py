@@ -42,11 +42,11 @@ def graph(seed):
     return links
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_any_bound_of_heavy_lists_gives_the_same(spark, seed):
     links = graph(seed)
     want = brute(links)
-    for heavy, part_rows in ((1, 3), (4, 2), (12, 1_000), (500, 1_000)):
+    for heavy, part_rows in ((1, 3), (6, 2), (500, 1_000)):
         assert told(recommend(made(spark, links), heavy=heavy, part_rows=part_rows)) == want, heavy
 
 
