@@ -36,7 +36,8 @@ def merge_details(s2: DataFrame, openalex: DataFrame, most: int = 20) -> DataFra
         F.col("sustainable_development_goals").alias("sdg_goals"), F.col("abstract_inverted_index").alias("index"),
     )
     first = work.groupBy("__doi").agg(F.min_by(F.struct("openalex_id", "is_open_access", "oa_url", "apc_paid", "concepts", "sdg_goals", "index"), F.struct("position", "openalex_id")).alias("w"))
-    both = paper.join(first, "__doi", "left")
+    # records without a DOI are dealt out by their ids, as no work is found by "id:..."
+    both = paper.withColumn("__doi", F.coalesce("__doi", F.concat(F.lit("id:"), F.coalesce("id", F.lit(""))))).join(first.filter(~F.col("__doi").startswith("id:")), "__doi", "left")
     abstract = F.coalesce(ids.present(F.col("abstract")), reconstruct_abstract(F.col("w.index")), "abstract")
     return both.withColumn("abstract", abstract).select(*[c for c in paper.columns if c != "__doi"], *[F.col(f"w.{c}").alias(c) for c in ("openalex_id", "is_open_access", "oa_url", "apc_paid", "concepts", "sdg_goals")])
 
