@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholargraph.functions import ids
 from scholargraph.functions.normalize import reconstruct_abstract
 from scholargraph.functions.style import citations_per_year, estimated_h_index
-from scholargraph.plans.cutpoints import maybe_broadcast, written
+from scholargraph.plans.cutpoints import BROADCAST_ROWS, maybe_broadcast, written
 from scholargraph.plans.ordering import dense_numbers
 
 
@@ -62,49 +66,105 @@ def influential_citations(citations: DataFrame) -> DataFrame:
 HEAVY = 500
 
 
-def _members(citations: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(lists, numbers): every list (via, p) of papers cited together or citing alike, and (id, k, own) of its papers.
+#: Papers of a block, pairs beyond which a block is cut into parts, and pairs that a task counts at once.
+BLOCK, BLOCK_PAIRS, COUNTED = 2_048, 200_000_000, 4_000_000
+
+
+def _numbered(citations: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame, str]:
+    """(links, numbers, kind): the links (a, b, oa, ob) by numbers, (id, k, own) of their papers, and the type that members have.
 
-    Papers are numbered in the order of their ids. ``asked`` (id) leaves only the lists that hold an asked
-    paper, whole; own tells the asked ones.
+    Papers are numbered in the order of their ids. ``asked`` (id) tells the own ones; if they are few, links that are in
+    no list of theirs are left out.
     """
-    links = citations.select("citing_paper_id", "cited_paper_id").na.drop()
     ends = ["citing_paper_id", "cited_paper_id"]
-    shape = [(ends[0], ends[1], "r"), (ends[1], ends[0], "c")]  # the list of a citing paper's references, of a cited one's citing papers
-    if asked is None:
-        flat = [links.select(F.lit(kind).alias("kind"), F.col(of).alias("via"), F.col(p).alias("id")) for of, p, kind in shape]
-        wanted = None
-    else:
+    links, wanted = written(citations.select(*ends).na.drop(), "links"), None
+    if asked is not None:
         wanted = written(asked.select("id").na.drop().distinct(), "asked")
         n = wanted.count()
-        flat = []
-        for of, p, kind in shape:
-            held = written(links.join(maybe_broadcast(wanted.withColumnRenamed("id", p), n), p, "left_semi").select(of).distinct(), "held")
-            flat.append(links.join(maybe_broadcast(held, held.count()), of, "left_semi").select(F.lit(kind).alias("kind"), F.col(of).alias("via"), F.col(p).alias("id")))
-    flat = written(flat[0].union(flat[1]).distinct(), "lists")
-    numbers = dense_numbers(flat.select("id").distinct(), ["id"], "k")
+        if n <= BROADCAST_ROWS:
+            for of, p in (ends, ends[::-1]):  # the lists of a citing paper's references, of a cited one's citing papers
+                held = written(links.join(maybe_broadcast(wanted.withColumnRenamed("id", p), n), p, "left_semi").select(of).distinct(), "held")
+                links = links.join(maybe_broadcast(held.withColumn(f"__{of}", F.lit(True)), held.count()), of, "left")
+            links = links.filter(" or ".join(f"__{c}" for c in ends)).select(*ends)
+    numbers = dense_numbers(links.select(F.col(ends[0]).alias("id")).union(links.select(ends[1])).distinct(), ["id"], "k")
     own = numbers.withColumn("own", F.lit(True)) if wanted is None else numbers.join(maybe_broadcast(wanted.withColumn("own", F.lit(True)), n), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
     numbers = written(own, "numbers")
-    keys = flat.select("kind", "via").distinct().withColumn("v", F.monotonically_increasing_id())
-    lists = flat.join(numbers, "id").join(written(keys, "keys"), ["kind", "via"])
-    return written(lists.select(F.col("v").alias("via"), F.col("k").alias("p"), "own"), "members"), numbers
+    count = numbers.count()
+    for c, k, o in ((ends[0], "a", "oa"), (ends[1], "b", "ob")):
+        links = links.join(maybe_broadcast(numbers.select(F.col("id").alias(c), F.col("k").alias(k), F.col("own").alias(o)), count), c).drop(c)
+    return written(links, "numbered"), numbers, "int" if count < 1 << 30 else "bigint"
+
 
+def _sides(links: DataFrame) -> list[DataFrame]:
+    """(via, p, own) of the lists of references, and of those of citing papers."""
+    return [links.select((F.col(of) * 2 + place).alias("via"), F.col(p).alias("p"), F.col(own).alias("own")) for of, p, own, place in (("a", "b", "ob", 0), ("b", "a", "oa", 1))]
 
-def _met(light: DataFrame, all_own: bool) -> DataFrame:
-    """(p, q, score): how many of the lists hold both, for asked p; lists are short."""
-    if not all_own:
-        return light.filter("own").select("via", "p").join(light.select("via", F.col("p").alias("q")), "via").filter("p <> q").groupBy("p", "q").agg(F.count("*").alias("score"))
-    pairs = light.select("via", "p").join(light.select("via", F.col("p").alias("q")), "via").filter("p < q").groupBy("p", "q").agg(F.count("*").alias("score"))
-    both = F.explode(F.array(F.struct("p", "q"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"))))  # each pair is met once and mirrored when counted
-    return pairs.select(both.alias("x"), "score").select("x.*", "score")
+
+def _met(light: list[DataFrame], kind: str, limit: int | None, block: int = BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
+    """(p, q, score, rank): how many of the lists hold both, for own p; its first ``limit`` only, if given. Lists are short.
+
+    A list goes whole, as an array, to each block of papers that has own members of it, once; tasks count what their
+    papers meet there, so that no pair is moved. Blocks with more than ``most`` pairs are cut by paper.
+    """
+    packed = [df.groupBy("via").agg(F.collect_set((F.col("p") * 2 + F.col("own").cast("int")).cast(kind)).alias("ms")) for df in light]
+    lists = packed[0].union(packed[1]).filter(F.size("ms") > 1).filter(F.exists("ms", lambda m: m % 2 == 1))
+    lists = written(lists.select(F.transform("ms", lambda m: F.shiftright(m, 1)).alias("ps"), F.transform(F.filter("ms", lambda m: m % 2 == 1), lambda m: F.shiftright(m, 1)).alias("own")), "lists")
+    at = lambda p: F.floor(p / block).cast("int")
+    pairs = lists.select(F.explode("own").alias("p"), F.size("ps").alias("n")).groupBy(at(F.col("p")).alias("b")).agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
+    large = written(pairs.filter("parts > 1"), "large")
+    to = lambda b, own: F.struct(b.alias("b"), F.filter(own, lambda p: at(p) == b).alias("own"))
+    dealt = lists.select("ps", F.explode(F.transform(F.array_distinct(F.transform("own", at)), lambda b: to(b, F.col("own")))).alias("x")).select("ps", "x.*").withColumn("part", F.lit(0))
+    if not large.isEmpty():
+        cut = dealt.join(F.broadcast(large), "b")  # of some blocks a row each
+        part = lambda p: F.pmod(p, F.col("parts")).cast("int")
+        each = F.explode(F.transform(F.array_distinct(F.transform("own", part)), lambda i: F.struct(F.filter("own", lambda p: part(p) == i).alias("own"), i.alias("part")))).alias("x")
+        dealt = dealt.join(F.broadcast(large), "b", "left_anti").select("b", "part", "ps", "own").union(cut.select("b", "ps", each).select("b", "x.part", "ps", "x.own"))
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        ps, own = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
+        del held
+        p, members, start = own.flatten().to_numpy(), ps.flatten().to_numpy(), ps.offsets.to_numpy()[:-1]
+        size = np.diff(ps.offsets.to_numpy())
+        row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
+        order = np.argsort(p, kind="stable")
+        p, row = p[order], row[order]
+        done = np.cumsum(size[row])
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+        ends, a = np.r_[first[1:], len(p)], 0
+        while a < len(p):  # whole papers, COUNTED pairs or so
+            before = done[a - 1] if a else 0
+            b = ends[max(np.searchsorted(done[ends - 1], before + COUNTED, "right") - 1, np.searchsorted(first, a))]
+            n = size[row[a:b]]
+            where = np.arange(n.sum()) + np.repeat(start[row[a:b]] - (np.cumsum(n) - n), n)
+            yield told(np.repeat(p[a:b], n).astype(np.int64), members[where].astype(np.int64))
+            a = b
+
+    def told(p, q):
+        apart = p != q
+        p, q = p[apart], q[apart]
+        low = p.min() if len(p) else 0
+        span = q.max() + 1 if len(q) else 1
+        met, score = np.unique((p - low) * span + q, return_counts=True)
+        p, q = met // span + low, met % span
+        order = np.lexsort((q, -score, p))
+        p, q, score = p[order], q[order], score[order]
+        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
+        rank = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)])) + 1
+        take = rank <= (limit or len(p))
+        return pa.RecordBatch.from_arrays([pa.array(p[take]), pa.array(q[take]), pa.array(score[take].astype(np.int64)), pa.array(rank[take].astype(np.int32))], ["p", "q", "score", "rank"])
+
+    return dealt.repartition("b", "part").select("ps", "own").mapInArrow(run, "p long, q long, score long, rank int")
 
 
 def _first_of(df: DataFrame, by: str, order: list, most: int) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__r") <= most).drop("__r")
 
 
-def _with_heavy(lists: DataFrame, sizes: DataFrame, counted: DataFrame, limit: int, part_rows: int) -> DataFrame:
-    """(p, q, score) that hold the first ``limit`` of every asked p, from light counts and heavy lists.
+def _with_heavy(heavy: DataFrame, counted: DataFrame, limit: int, part_rows: int) -> DataFrame:
+    """(p, q, score) that hold the first ``limit`` of every asked p, from light counts and heavy lists (via, p, own, n).
 
     What a heavy list adds is bounded by the number of heavy lists that a paper is in, h. A pair with a light
     count can reach p's ``limit``-th only if its count and the smaller h do; only then are its papers' heavy
@@ -116,7 +176,6 @@ def _with_heavy(lists: DataFrame, sizes: DataFrame, counted: DataFrame, limit: i
       Of every class found the least ids are enough.
     """
     more = limit + 1  # a paper may meet itself
-    heavy = written(lists.join(maybe_broadcast(sizes, sizes.count()), "via").select("via", "p", "own", "n"), "heavy")
     shortest = F.transform(F.sort_array(F.collect_list(F.struct("n", "via"))), lambda x: x["via"])
     held = written(heavy.groupBy("p", "own").agg(shortest.alias("vias")).withColumn("h", F.size("vias")), "held")
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score")))).filter(F.col("r") == limit)
@@ -163,15 +222,21 @@ def recommend(citations: DataFrame, limit: int = 10, asked: DataFrame | None = N
     Pairs are counted in lists of up to ``heavy`` papers. What longer lists add is bounded and looked up only
     where it can change the first ``limit``; the result is the same for any ``heavy``.
     """
-    lists, numbers = _members(citations, asked)
-    sizes = written(lists.groupBy("via").agg(F.count("*").alias("n")).filter(F.col("n") > heavy), "heavy")
-    n_heavy = sizes.count()
-    light = lists.join(maybe_broadcast(sizes, n_heavy), "via", "left_anti") if n_heavy else lists
-    scores = _met(light, asked is None or lists.filter("not own").isEmpty())
-    if n_heavy:
-        scores = _with_heavy(lists, sizes, written(scores, "counted"), limit, part_rows)
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "q"))
-    best = scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    links, numbers, kind = _numbered(citations, asked)
+    light, long = _sides(links), []
+    for i, side in enumerate(light):
+        sizes = written(side.groupBy("via").agg(F.count("*").alias("n")).filter(F.col("n") > heavy), "heavy")  # repeats may count
+        n_heavy = sizes.count()
+        if n_heavy:
+            long.append(side.join(maybe_broadcast(sizes, n_heavy), "via").distinct())
+            light[i] = side.join(maybe_broadcast(sizes.select("via"), n_heavy), "via", "left_anti")
+    if not long:
+        best = _met(light, kind, limit)
+    else:
+        counted = written(_met(light, kind, None).select("p", "q", "score"), "counted")
+        scores = _with_heavy(written(reduce(DataFrame.union, long), "heavy"), counted, limit, part_rows)
+        rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "q"))
+        best = scores.withColumn("rank", rank).filter(F.col("rank") <= limit)
     named = [numbers.select(F.col("k").alias(x), F.col("id").alias(c)) for x, c in (("p", "paper_id"), ("q", "recommended_id"))]
     return best.join(named[0], "p").join(named[1], "q").select("paper_id", "recommended_id", "score", "rank")
 
