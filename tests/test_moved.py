@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from scholargraph import queries
 from scholargraph.operators import details
+from tests.conftest import DATA
 from tests.test_recommend import brute, graph, made, told
 
 
@@ -32,3 +34,9 @@ def test_no_pair_is_moved(spark):
     """The counted pairs are never grouped or joined by Spark: one exchange of lists, none by (p, q)."""
     got = plan(details.recommend(made(spark, graph(2))))
     assert "MapInArrow" in got and "keys=[p#" not in got
+
+
+def test_lone_networks_are_told_before_nodes_are(spark):
+    """Only networks without neighbours are unfolded and joined with papers; the citation pairs are there already."""
+    got = plan(queries.single_node_networks(spark, DATA))
+    assert "size(new_at" in got and "lineitem" not in got
