@@ -8,8 +8,9 @@ the greatest angle of its rows to it. Two rows of parts A and B are at least ang
    least of them over the part, is what others must reach.
 2. Each part meets all others whose bound reaches that. What is left out can't change a result.
 
-Parts are rows of packed vectors; the parts that a part meets come to it sorted by bound, and one that can't
-improve any row any more isn't multiplied.
+Parts are rows of packed vectors, and they are dealt to a few groups; what a group's parts meet comes to it once, sorted
+by bound, and a part that can't improve any row of another any more isn't multiplied. So a vector is moved as often as
+there are groups, not parts.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from scholargraph.plans.ordering import dense_numbers
 
 #: Rows that the quantiser is fitted on, cells and parts at most: both are sent to all tasks.
 SAMPLE_ROWS, CELLS, PARTS = 20_000, 1_024, 200_000
+#: Groups of parts that others are sent to: as many, and rows of one beyond which there are more.
+GROUPS, GROUP_ROWS = 24, 32_768
 #: Rounding that a bound must allow for.
 _SLACK = 1e-9
 
@@ -85,10 +88,15 @@ def _pairs(parts: DataFrame, others: DataFrame, centres: np.ndarray, first: int,
     return asked.mapInArrow(run, "part long, other long, bound double")
 
 
-def _met(parts: DataFrame, others: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(part, p, q, score): the ``k`` best of each row of a part among the rows of the parts it meets."""
-    theirs = others.select(F.col("part").alias("other"), F.col("ks").alias("oks"), F.col("vs").alias("ovs"))
-    both = pairs.join(theirs, "other").join(parts.select("part", "ks", "vs"), "part").select("part", "bound", "ks", "vs", "oks", "ovs")
+def _met(parts: DataFrame, others: DataFrame, pairs: DataFrame, k: int, groups: int) -> DataFrame:
+    """(part, p, q, score): the ``k`` best of each row of a part among the rows of the parts it meets.
+
+    Parts are dealt to ``groups``. A group's own parts come to it once, and so does each other part that one of them meets.
+    """
+    of = F.pmod(F.xxhash64("part"), F.lit(groups)).cast("int").alias("group")
+    asked = pairs.groupBy(of, "other").agg(F.max("bound").alias("bound"), F.collect_list(F.struct("part", "bound")).alias("x"))
+    theirs = asked.join(others.select(F.col("part").alias("other"), "ks", "vs"), "other").select("group", "bound", F.col("x.part").alias("parts"), F.col("x.bound").alias("bounds"), "ks", "vs")
+    own = parts.select(of, F.lit(2.0).alias("bound"), F.array("part").alias("parts"), F.lit(None).cast("array<double>").alias("bounds"), "ks", "vs")  # before all others
 
     def best(p, q, s):
         order = np.lexsort((q, -np.round(s, 9), p))
@@ -98,39 +106,42 @@ def _met(parts: DataFrame, others: DataFrame, pairs: DataFrame, k: int) -> DataF
         at = order[rank < k]
         return at, rank[rank < k]
 
-    def run(batches):
-        own, held = None, None
-
-        def told():
-            ks, (p, q, s), _ = held
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), own)), pa.array(ks[p]), pa.array(q), pa.array(s)], ["part", "p", "q", "score"])
+    def improved(state, bound, oks, theirs):
+        ks, mine, (p, q, s), floor = state
+        open_ = np.flatnonzero(floor <= bound + _SLACK)
+        if not len(open_):
+            return state
+        near = mine[open_] @ theirs.T
+        a, b = np.nonzero((near >= floor[open_, None] - _SLACK) & (ks[open_, None] != oks))
+        p, q, s = np.r_[p, open_[a]], np.r_[q, oks[b]], np.r_[s, near[a, b]]
+        at, rank = best(p, q, s)
+        p, q, s = p[at], q[at], s[at]
+        floor = floor.copy()
+        floor[p[rank == k - 1]] = s[rank == k - 1]
+        return ks, mine, (p, q, s), floor
+
+    def told(held):
+        for part, (ks, _, (p, q, s), _) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), part)), pa.array(ks[p]), pa.array(q), pa.array(s)], ["part", "p", "q", "score"])
 
+    def run(batches):
+        group, held = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                part, bound = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if part != own:
-                    if held is not None:
-                        yield told()
-                    ks = batch.column(2)[i].values.to_numpy()
-                    own, mine = part, batch.column(3)[i].values.to_numpy().reshape(len(ks), -1)
-                    held = (ks, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(ks), -2.0))
-                ks, (p, q, s), floor = held
-                open_ = np.flatnonzero(floor <= bound + _SLACK)
-                if not len(open_):
+                at, _, ids, bounds, ks, vs = (batch.column(c)[i] for c in range(6))
+                if at.as_py() != group:
+                    yield from told(held)
+                    group, held = at.as_py(), {}
+                ks = ks.values.to_numpy()
+                vs = vs.values.to_numpy().reshape(len(ks), -1)
+                if not bounds.is_valid:
+                    held[ids[0].as_py()] = (ks, vs, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(ks), -2.0))
                     continue
-                oks = batch.column(4)[i].values.to_numpy()
-                near = mine[open_] @ batch.column(5)[i].values.to_numpy().reshape(len(oks), -1).T
-                a, b = np.nonzero((near >= floor[open_, None] - _SLACK) & (ks[open_, None] != oks))
-                p, q, s = np.r_[p, open_[a]], np.r_[q, oks[b]], np.r_[s, near[a, b]]
-                at, rank = best(p, q, s)
-                p, q, s = p[at], q[at], s[at]
-                floor = floor.copy()
-                floor[p[rank == k - 1]] = s[rank == k - 1]
-                held = (ks, (p, q, s), floor)
-        if held is not None:
-            yield told()
+                for part, bound in zip(ids.as_py(), bounds.as_py()):
+                    held[part] = improved(held[part], bound, ks, vs)
+        yield from told(held)
 
-    return both.repartition("part").sortWithinPartitions("part", F.desc("bound")).mapInArrow(run, "part long, p long, q long, score double")
+    return own.union(theirs).repartition("group").sortWithinPartitions("group", F.desc("bound")).mapInArrow(run, "part long, p long, q long, score double")
 
 
 def nearest(rows: DataFrame, k: int = 10, asked: DataFrame | None = None, id_col: str = "id", vector_col: str = "embedding", cells: int | None = None, part_rows: int = 2_000, first: int = 8) -> DataFrame:
@@ -157,15 +168,17 @@ def nearest(rows: DataFrame, k: int = 10, asked: DataFrame | None = None, id_col
     placed = written(_placed(numbered, centres), "placed")
     part_rows = max(part_rows, -(-n // PARTS))
     others = _packed(placed, part_rows)
-    parts = others
+    parts, n_asked = others, n
     if asked is not None:
         wanted = written(numbers.join(asked.select("id").na.drop().distinct(), "id", "left_semi").select("k"), "wanted")
-        parts = _packed(placed.join(maybe_broadcast(wanted, wanted.count()), "k", "left_semi"), part_rows)
-    seen = written(_met(parts, others, _pairs(parts, others, centres, first), k), "seen")
+        n_asked = wanted.count()
+        parts = _packed(placed.join(maybe_broadcast(wanted, n_asked), "k", "left_semi"), part_rows)
+    groups = max(GROUPS, -(-n_asked // GROUP_ROWS))
+    seen = written(_met(parts, others, _pairs(parts, others, centres, first), k, groups), "seen")
     count = seen.groupBy("part", "p").agg(F.when(F.count("*") == k, F.min("score")).otherwise(-2.0).alias("floor"))
     # a row that has met no other row yet must meet all
     floors = parts.select("part", F.explode("ks").alias("p")).join(count, ["part", "p"], "left").groupBy("part").agg(F.min(F.coalesce("floor", F.lit(-2.0))).alias("floor"))
-    more = _met(parts, others, _pairs(parts, others, centres, first, written(floors, "floors")), k)
+    more = _met(parts, others, _pairs(parts, others, centres, first, written(floors, "floors")), k, groups)
     rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc(F.round("score", 9)), "q"))
     best = seen.union(more).select("p", "q", "score").withColumn("rank", rank).filter(F.col("rank") <= k)
     named = [numbers.select(F.col("k").alias(a), F.col("id").alias(c)) for a, c in (("p", "paper_id"), ("q", "recommended_id"))]

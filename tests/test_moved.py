@@ -5,7 +5,7 @@ import random
 import pytest
 
 from scholargraph import queries
-from scholargraph.operators import details
+from scholargraph.operators import details, similar
 from tests.conftest import DATA
 from tests.test_recommend import brute, graph, made, told
 
@@ -40,3 +40,20 @@ def test_lone_networks_are_told_before_nodes_are(spark):
     """Only networks without neighbours are unfolded and joined with papers; the citation pairs are there already."""
     got = plan(queries.single_node_networks(spark, DATA))
     assert "size(new_at" in got and "lineitem" not in got
+
+
+@pytest.mark.parametrize("groups, rows", [(1, 10**6), (3, 5)])
+def test_parts_come_to_a_group_once(spark, monkeypatch, groups, rows):
+    """Any number of groups gives the same, and a group gets each part it meets in one row."""
+    rnd = random.Random(3)
+    vectors = {i: [rnd.gauss(0, 1) for _ in range(6)] for i in range(60)}
+    frame = spark.createDataFrame(list(vectors.items()), "id long, embedding array<double>")
+    monkeypatch.setattr(similar, "GROUPS", groups)
+    monkeypatch.setattr(similar, "GROUP_ROWS", rows)
+    got = {}
+    for r in similar.nearest(frame, 4, cells=5, part_rows=4, first=2).collect():
+        got.setdefault(r.paper_id, []).append((r["rank"], r.recommended_id))
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in vectors.items()}
+    for i, v in unit.items():
+        near = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in unit.items() if j != i)[:4]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in near]
