@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +64,8 @@ def influential_citations(citations: DataFrame) -> DataFrame:
 HEAVY = 500
 
 
-#: Papers of a block, pairs beyond which a block is cut into parts, and pairs that a task counts at once.
-BLOCK, BLOCK_PAIRS, COUNTED = 2_048, 200_000_000, 4_000_000
+#: Papers of a block, pairs beyond which a block is cut into parts, and pairs that a task counts.
+BLOCK, BLOCK_PAIRS, COUNTED = 2_048, 8_000_000, 4_000_000
 
 
 def _numbered(citations: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame, str]:
@@ -101,7 +99,7 @@ def _sides(links: DataFrame) -> list[DataFrame]:
 
 
 def _met(light: list[DataFrame], kind: str, limit: int | None, block: int = BLOCK, most: int = BLOCK_PAIRS) -> DataFrame:
-    """(p, q, score, rank): how many of the lists hold both, for own p; its first ``limit`` only, if given. Lists are short.
+    """(p, q, score, rank): how many of the lists hold both, for own p; its first ``limit`` only, if given (else no rank). Lists are short.
 
     A list goes whole, as an array, to each block of papers that has own members of it, once; tasks count what their
     papers meet there, so that no pair is moved. Blocks with more than ``most`` pairs are cut by paper.
@@ -110,53 +108,25 @@ def _met(light: list[DataFrame], kind: str, limit: int | None, block: int = BLOC
     lists = packed[0].union(packed[1]).filter(F.size("ms") > 1).filter(F.exists("ms", lambda m: m % 2 == 1))
     lists = written(lists.select(F.transform("ms", lambda m: F.shiftright(m, 1)).alias("ps"), F.transform(F.filter("ms", lambda m: m % 2 == 1), lambda m: F.shiftright(m, 1)).alias("own")), "lists")
     at = lambda p: F.floor(p / block).cast("int")
-    pairs = lists.select(F.explode("own").alias("p"), F.size("ps").alias("n")).groupBy(at(F.col("p")).alias("b")).agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
-    large = written(pairs.filter("parts > 1"), "large")
+    sizes = written(lists.select(F.explode("own").alias("p"), F.size("ps").alias("n")).groupBy(at(F.col("p")).alias("b")).agg(F.sum("n").alias("n")), "sizes")
+    large = written(sizes.filter(F.col("n") > most).select("b", F.ceil(F.col("n") / most).cast("int").alias("parts")), "large")
+    tasks = -(-(sizes.agg(F.sum("n")).first()[0] or 1) // COUNTED)
     to = lambda b, own: F.struct(b.alias("b"), F.filter(own, lambda p: at(p) == b).alias("own"))
     dealt = lists.select("ps", F.explode(F.transform(F.array_distinct(F.transform("own", at)), lambda b: to(b, F.col("own")))).alias("x")).select("ps", "x.*").withColumn("part", F.lit(0))
+    keys = ["b"]  # a constant part would be folded and hide how rows are dealt out
     if not large.isEmpty():
+        keys = ["b", "part"]
         cut = dealt.join(F.broadcast(large), "b")  # of some blocks a row each
         part = lambda p: F.pmod(p, F.col("parts")).cast("int")
         each = F.explode(F.transform(F.array_distinct(F.transform("own", part)), lambda i: F.struct(F.filter("own", lambda p: part(p) == i).alias("own"), i.alias("part")))).alias("x")
         dealt = dealt.join(F.broadcast(large), "b", "left_anti").select("b", "part", "ps", "own").union(cut.select("b", "ps", each).select("b", "x.part", "ps", "x.own"))
 
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        ps, own = (pa.concat_arrays([b.column(i) for b in held]) for i in range(2))
-        del held
-        p, members, start = own.flatten().to_numpy(), ps.flatten().to_numpy(), ps.offsets.to_numpy()[:-1]
-        size = np.diff(ps.offsets.to_numpy())
-        row = np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy()))
-        order = np.argsort(p, kind="stable")
-        p, row = p[order], row[order]
-        done = np.cumsum(size[row])
-        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        ends, a = np.r_[first[1:], len(p)], 0
-        while a < len(p):  # whole papers, COUNTED pairs or so
-            before = done[a - 1] if a else 0
-            b = ends[max(np.searchsorted(done[ends - 1], before + COUNTED, "right") - 1, np.searchsorted(first, a))]
-            n = size[row[a:b]]
-            where = np.arange(n.sum()) + np.repeat(start[row[a:b]] - (np.cumsum(n) - n), n)
-            yield told(np.repeat(p[a:b], n).astype(np.int64), members[where].astype(np.int64))
-            a = b
-
-    def told(p, q):
-        apart = p != q
-        p, q = p[apart], q[apart]
-        low = p.min() if len(p) else 0
-        span = q.max() + 1 if len(q) else 1
-        met, score = np.unique((p - low) * span + q, return_counts=True)
-        p, q = met // span + low, met % span
-        order = np.lexsort((q, -score, p))
-        p, q, score = p[order], q[order], score[order]
-        first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, np.int64)
-        rank = np.arange(len(p)) - np.repeat(first, np.diff(np.r_[first, len(p)])) + 1
-        take = rank <= (limit or len(p))
-        return pa.RecordBatch.from_arrays([pa.array(p[take]), pa.array(q[take]), pa.array(score[take].astype(np.int64)), pa.array(rank[take].astype(np.int32))], ["p", "q", "score", "rank"])
-
-    return dealt.repartition("b", "part").select("ps", "own").mapInArrow(run, "p long, q long, score long, rank int")
+    # all of a paper is in one task, so its pairs are counted and ranked where the lists are
+    each = dealt.repartition(tasks, *keys).select("b", "part", "ps", F.explode("own").alias("p")).select("b", "part", "p", F.explode("ps").alias("q")).filter("p <> q")
+    scores = each.groupBy(*keys, "p", "q").agg(F.count("*").alias("score"))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "p").orderBy(F.desc("score"), "q")))
+    kept = scores.withColumn("rank", F.lit(0)) if limit is None else ranked.filter(F.col("rank") <= limit)
+    return kept.select(F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), "score", "rank")
 
 
 def _first_of(df: DataFrame, by: str, order: list, most: int) -> DataFrame:
