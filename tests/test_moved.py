@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scholargraph import queries
 from scholargraph.operators import details, similar
+from scholargraph.operators import graph as ranking
 from tests.conftest import DATA
 from tests.test_recommend import brute, graph, made, told
 
@@ -17,7 +19,7 @@ def plan(df):
 @pytest.mark.parametrize("block, most", [(1, 10**9), (7, 5), (2_048, 3)])
 def test_blocks_of_any_size_count_the_same(spark, monkeypatch, block, most):
     monkeypatch.setattr(details._met, "__defaults__", (block, most))
-    monkeypatch.setattr(details, "COUNTED", 5)
+    monkeypatch.setattr(details, "COUNTED", 500)
     for asked in (None, ["p1", "h1", "twin3", "nobody"]):
         rows = None if asked is None else spark.createDataFrame([(x,) for x in asked], "id string")
         assert told(details.recommend(made(spark, graph(4)), asked=rows)) == brute(graph(4), asked=None if asked is None else set(asked))
@@ -31,9 +33,9 @@ def test_many_asked_papers(spark, monkeypatch):
 
 
 def test_no_pair_is_moved(spark):
-    """The counted pairs are never grouped or joined by Spark: one exchange of lists, none by (p, q)."""
+    """The counted pairs are never grouped apart from their lists: one exchange of lists, none by (p, q)."""
     got = plan(details.recommend(made(spark, graph(2))))
-    assert "MapInArrow" in got and "keys=[p#" not in got
+    assert "REPARTITION_BY_NUM" in got and "p#" not in "".join(x for x in got.splitlines() if "ENSURE_REQUIREMENTS" in x)
 
 
 def test_lone_networks_are_told_before_nodes_are(spark):
@@ -57,3 +59,13 @@ def test_parts_come_to_a_group_once(spark, monkeypatch, groups, rows):
     for i, v in unit.items():
         near = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in unit.items() if j != i)[:4]
         assert [j for _, j in sorted(got[i])] == [j for _, j in near]
+
+
+def test_edges_are_dealt_out_once_by_block(spark, monkeypatch):
+    """Blocks are packed where they stay: the packed rows are neither written nor exchanged again."""
+    names, plain = [], ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, name="cut": names.append(name) or plain(df, name))
+    ends = spark.createDataFrame([(1, 2, 3), (1, 3, 3), (9000, 1, 3)], "src long, dst long, n long")
+    blocks = ranking._edge_blocks(ends.withColumn("share", F.lit(0.5)).withColumn("base", F.lit(0.1)), ends, 13, 10)
+    assert "blocks" not in names and plan(blocks).count("Exchange hashpartitioning(b") == 1
+    assert sorted((r.b, list(r.dst)) for r in blocks.collect()) == [(0, [2, 3]), (1, [1])]
