@@ -65,7 +65,7 @@ HEAVY = 500
 
 
 #: Papers of a block, pairs beyond which a block is cut into parts, and pairs that a task counts.
-BLOCK, BLOCK_PAIRS, COUNTED = 2_048, 8_000_000, 4_000_000
+BLOCK, BLOCK_PAIRS, COUNTED = 2_048, 8_000_000, 500_000
 
 
 def _numbered(citations: DataFrame, asked: DataFrame | None) -> tuple[DataFrame, DataFrame, str]:
