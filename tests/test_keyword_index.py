@@ -98,3 +98,31 @@ def test_empty_index(spark, tmp_path):
     path = str(tmp_path / "i")
     keyword_index.build(spark.createDataFrame([], DOCS), path)
     assert keyword_index.search(spark, path, spark.createDataFrame([(1, "a")], "query_id int, query string")).count() == 0
+
+
+def test_no_row_of_a_document_and_term_is_written_between(spark, tmp_path, monkeypatch):
+    """What is kept on the way to the index is a row a document at most; each posting is in one part."""
+    rows, sizes, plain = corpus(4), [], keyword_index.written
+
+    def noting(df, name="cut"):
+        made = plain(df, name)
+        sizes.append(made.count())
+        return made
+
+    monkeypatch.setattr(keyword_index, "written", noting)
+    path = str(tmp_path / "i")
+    keyword_index.build(spark.createDataFrame(rows, DOCS).repartition(3), path, block=8, part_rows=20)
+    assert max(sizes) <= len(rows)
+    table = spark.read.parquet(f"{path}/postings")
+    assert table.agg(F.max("part")).first()[0] > 0 and table.agg(F.max(F.size("held"))).first()[0] <= 8
+    got = [(r.source, r.term, r.id) for r in table.select("source", "term", F.explode("held.id").alias("id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, w, d) for d, s, *texts in rows for x in texts for w in x.split()}
+
+
+def test_many_copies_of_an_id_are_one_document(spark, tmp_path, monkeypatch):
+    """Also where ids that are there again are too many to be sent along."""
+    rows = corpus(5, 60) + [("d1", "a", "w1", "w2 w2")] * 300 + [("d2", "a", "w1", "w2"), (None, "b", "w1", "w9"), (None, "b", "w1", "w9"), (None, "b", "w3", "w9")]
+    path = str(tmp_path / "i")
+    monkeypatch.setattr(keyword_index, "maybe_broadcast", lambda df, n: df)
+    keyword_index.build(spark.createDataFrame(rows, DOCS).repartition(5), path, block=16)
+    assert told(keyword_index.search(spark, path, spark.createDataFrame(QUERIES, "query_id int, query string"))) == brute(rows, QUERIES)
