@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholargraph.plans.cutpoints import written
+from scholargraph.plans.cutpoints import broadcast_or_merge, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -79,7 +79,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _forests(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): what each task's own links join, as links of nodes to the least of them; a chunk at a time."""
+    """(u, v): what each task's own links join, as links of nodes to the least of them; a chunk at a time. Nodes with links to themselves only have one."""
 
     def run(batches):
         held, n = [], 0
@@ -87,6 +87,7 @@ def _forests(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
         def told():
             nodes, low = forest(*(np.concatenate(x) for x in zip(*held)))
             inner = nodes != low
+            inner |= ~np.isin(nodes, low[inner])  # or alone
             return pa.RecordBatch.from_arrays([pa.array(nodes[inner]), pa.array(low[inner])], ["u", "v"])
 
         for batch in batches:
@@ -110,15 +111,15 @@ def _contracted(links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     rank = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("x"))
     least = both.groupBy("u").agg(F.min(rank("v")).alias("m"))
     up = written(least.filter(F.col("m") < rank("u")).select(F.col("u").alias("node"), F.col("m.x").alias("up")), "up")
-    moved = True
+    moved, n = True, up.count()
     while moved:  # each round halves the way to the top
-        over = up.select(F.col("node").alias("up"), F.col("up").alias("over"))
+        over = broadcast_or_merge(up.select(F.col("node").alias("up"), F.col("up").alias("over")), n)
         up = written(up.join(over, "up", "left").select("node", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "up")
         moved = not up.filter("moved").isEmpty()
         up = up.drop("moved")
     out = links
     for c in ("u", "v"):
-        out = out.join(up.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
+        out = out.join(broadcast_or_merge(up.withColumnRenamed("node", c), n), c, "left").withColumn(c, F.coalesce("up", c)).drop("up")
     out = out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return up, written(out, "links")
 
@@ -129,10 +130,11 @@ def contracted_components(links: DataFrame, finish_rows: int = FINISH_ROWS, most
     First each task joins what its own links join, before anything is shuffled. Then rounds contract the
     graph, each to well under half its nodes, until ``finish_rows`` links or fewer are left, which one task
     joins. Where the nodes went is kept by round, and put together backwards at the end, so all rounds
-    together move a small multiple of the graph.
+    together move a small multiple of the graph. Tables of nodes are sent along only if they are few; ``links`` are read once.
     """
     clean = links.select("u", "v").filter("u is not null and v is not null")
-    now = written(_forests(clean.filter("u <> v")).distinct(), "links")
+    told = written(_forests(clean).distinct(), "links")
+    now, alone = told.filter("u <> v"), told.filter("u = v").select(F.col("u").alias("node"))
     trail, n = [], now.count()
     for seed in range(most_rounds):
         if n <= finish_rows:
@@ -144,12 +146,13 @@ def contracted_components(links: DataFrame, finish_rows: int = FINISH_ROWS, most
         raise RuntimeError("components did not settle")
     last = written(_forests(now.coalesce(1), finish_rows + 1).select(F.col("u").alias("node"), F.col("v").alias("up")), "last")
     for up in reversed(trail):
-        there = up.join(last.select(F.col("node").alias("up"), F.col("up").alias("over")), "up", "left").select("node", F.coalesce("over", "up").alias("up"))
+        there = up.join(broadcast_or_merge(last.select(F.col("node").alias("up"), F.col("up").alias("over")), last.count()), "up", "left").select("node", F.coalesce("over", "up").alias("up"))
         last = written(last.union(there), "placed")
     placed = written(last.union(last.select(F.col("up").alias("node"), "up").distinct()), "placed")
-    alone = clean.filter("u = v").select(F.col("u").cast("long").alias("node")).distinct().join(placed, "node", "left_anti")
-    placed = placed.union(alone.select("node", F.col("node").alias("up")))
+    if not alone.isEmpty():
+        alone = alone.join(broadcast_or_merge(placed.select("node"), placed.count()), "node", "left_anti")
+        placed = placed.union(alone.select("node", F.col("node").alias("up")))
     if not trail:
         return placed.select("node", F.col("up").alias("component"))
-    least = placed.groupBy("up").agg(F.min("node").alias("component"))  # tops are of the least hash, not the least node
-    return placed.join(least, "up").select("node", "component")
+    least = written(placed.groupBy("up").agg(F.min("node").alias("component")), "least")  # tops are of the least hash, not the least node
+    return placed.join(broadcast_or_merge(least, least.count()), "up").select("node", "component")

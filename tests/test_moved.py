@@ -1,13 +1,15 @@
 """What is moved grows with the input, not with pairs, candidates or steps."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scholargraph import queries
-from scholargraph.operators import details, similar
+from scholargraph.operators import components, details, similar
 from scholargraph.operators import graph as ranking
+from scholargraph.plans import cutpoints
 from tests.conftest import DATA
 from tests.test_recommend import brute, graph, made, told
 
@@ -69,3 +71,25 @@ def test_edges_are_dealt_out_once_by_block(spark, monkeypatch):
     blocks = ranking._edge_blocks(ends.withColumn("share", F.lit(0.5)).withColumn("base", F.lit(0.1)), ends, 13, 10)
     assert "blocks" not in names and plan(blocks).count("Exchange hashpartitioning(b") == 1
     assert sorted((r.b, list(r.dst)) for r in blocks.collect()) == [(0, [2, 3]), (1, [1])]
+
+
+def test_tables_of_nodes_are_not_sent_along(spark, monkeypatch):
+    """Beyond a few rows, components send partitions' counts and one number a network only, whatever the files' sizes."""
+    plans, plain = [], components.written
+
+    def noting(df, name="cut"):
+        plans.append(plan(df))
+        return plain(df, name)
+
+    monkeypatch.setattr(cutpoints, "NUMBER_ROWS", 0, raising=False)
+    for module in (components, ranking):
+        monkeypatch.setattr(module, "written", noting)
+    nodes = spark.range(400).select(F.lit("all").alias("root_id"), F.col("id").cast("string").alias("id"), F.col("id").alias("node_seq"))
+    edges = spark.range(20, 400).select(F.lit("all").alias("root_id"), F.col("id").cast("string").alias("from_id"), (F.col("id") - 20).cast("string").alias("to_id"))
+    got = ranking.connected_components(nodes, edges)
+    assert {(int(r.id), r.cluster_id) for r in got.collect()} == {(k, k % 20) for k in range(400)}
+    links = spark.range(20, 400).select(F.col("id").alias("u"), (F.col("id") - 20).alias("v")).union(spark.createDataFrame([(5, 5), (900, 900)], "u long, v long"))
+    found = components.contracted_components(links, 5)
+    assert {(r.node, r.component) for r in found.collect()} == {(k, k % 20) for k in range(400)} | {(900, 900)}
+    sent = {re.sub(r"#\d+L?", "", x) for p in [*plans, plan(got), plan(found)] for x in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)}
+    assert sent <= {"__p", "root_id"}
