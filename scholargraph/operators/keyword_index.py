@@ -102,7 +102,7 @@ def build(docs: DataFrame, path: str, k1: float = 1.2, b: float = 0.75, key: str
     blocks = F.transform(F.sequence(F.lit(0), F.size("d") - 1, F.lit(block)), lambda i: F.slice("d", i + 1, block))
     rows = ordered.select("bucket", "source", "term", "part", F.posexplode(blocks).alias("block", "d"))
     rows = rows.select("bucket", "source", "term", "part", "block", F.size("d").alias("n"), (-F.col("d")[0]["x"]).alias("most"), F.transform("d", lambda d: F.struct(d["id"].alias("id"), d["h"].alias("h"), (-d["x"]).alias("impact"))).alias("held"))
-    rows.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     sources.select("source", "n_docs", "avg_len", F.lit(buckets).alias("buckets"), F.lit(block).alias("block")).coalesce(1).write.parquet(f"{path}/sources")
 
 
