@@ -24,7 +24,7 @@ from scholargraph.plans.cutpoints import maybe_broadcast, written
 #: Documents of one term beyond which its postings are ordered in several parts.
 PART_ROWS = 50_000
 #: Words of the texts that a file of postings stands for, and files of postings to a task.
-FILE_WORDS, TASK_FILES = 1_000_000, 4
+FILE_WORDS, TASK_FILES = 1_000_000, 2
 
 
 def _packed(split: DataFrame) -> DataFrame:

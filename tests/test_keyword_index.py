@@ -126,3 +126,13 @@ def test_many_copies_of_an_id_are_one_document(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(keyword_index, "maybe_broadcast", lambda df, n: df)
     keyword_index.build(spark.createDataFrame(rows, DOCS).repartition(5), path, block=16)
     assert told(keyword_index.search(spark, path, spark.createDataFrame(QUERIES, "query_id int, query string"))) == brute(rows, QUERIES)
+
+
+def test_more_files_than_tasks(spark, tmp_path, monkeypatch):
+    """A large index is dealt to more tasks than a shuffle has by default; a file holds one bucket."""
+    rows, path = corpus(6), str(tmp_path / "i")
+    monkeypatch.setattr(keyword_index, "FILE_WORDS", 300)
+    keyword_index.build(spark.createDataFrame(rows, DOCS).repartition(3), path, buckets=8, block=16, part_rows=50)
+    files = spark.read.parquet(f"{path}/postings").select("bucket", F.input_file_name().alias("f")).distinct().count()
+    assert 8 < files <= 8 * (sum(len(t.split()) for r in rows for t in r[2:]) // (8 * 300) + 1)
+    assert told(keyword_index.search(spark, path, spark.createDataFrame(QUERIES, "query_id int, query string"))) == brute(rows, QUERIES)
