@@ -23,6 +23,27 @@ def joined_names(names: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(names, lambda n: F.coalesce(n, F.lit(""))), ", "), F.lit(""))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``: a lambda's variable is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def inverted_index(words: Column) -> Column:
+    """The map of each of ``words`` to its places, from 0, in order; no words make an empty map."""
+
+    def started(s):
+        starts = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x["w"] != F.get(s, i - 1)["w"]), i)))
+        return _let(F.struct(s.alias("s"), starts.alias("starts")), entries)
+
+    def entries(b):
+        s, starts = b["s"], b["starts"]
+        upto = lambda k: F.coalesce(F.get(starts, k + 1), F.size(s))
+        return F.transform(starts, lambda at, k: F.struct(F.get(s, at)["w"].alias("key"), F.transform(F.slice(s, at + 1, upto(k) - at), lambda x: x["p"]).alias("value")))
+
+    placed = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    return F.map_from_entries(_let(placed, started))
+
+
 def reconstruct_abstract(index: Column) -> Column:
     """The text of an inverted index; null stays null, an empty index is empty.
 
@@ -35,7 +56,7 @@ def reconstruct_abstract(index: Column) -> Column:
         last = F.filter(words, lambda x, i: F.coalesce(F.get(words, i + 1)["p"] != x["p"], F.lit(True)))
         return F.array_join(F.transform(F.filter(last, lambda x: x["w"] != ""), lambda x: x["w"]), " ")
 
-    return F.get(F.transform(F.array(placed), joined), F.lit(0))  # a lambda's variable is evaluated once
+    return _let(placed, joined)
 
 
 def normalize_s2(df: DataFrame) -> DataFrame:
