@@ -12,6 +12,9 @@ cases, at 0.85 in 0.993, at 0.90 in 0.9999, whatever the table's size. A Hamming
 pair at 0.8 exceeds drops pairs that met by chance, and the exact similarity of the texts' sets of word
 shingles decides. Equal fingerprints are one node.
 
+Where the wide ones of a key come together, those without a near one among them are dropped at once, so that
+what is kept grows with near texts and not with chance meetings.
+
 A bucket may hold a third of all fingerprints (a large group of near copies), so pairs within buckets
 are never listed. Two passes find the components without losing a link between different ones:
 
@@ -54,6 +57,8 @@ _CHUNK = 4_080
 WIDE, BLOCK, WIDE_DISTANCE = 1_600, 20, 280
 #: The same for the first two words, 128 bits, that go along with each key: mean 19.4, deviation 4.1.
 HEAD_DISTANCE = 36
+#: Rows of a key that are compared with one another where they come together; those of longer ones go on as they are.
+LONGEST = 1_000
 
 
 def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -187,6 +192,57 @@ def _wide_keyed(nodes: DataFrame, block: int) -> DataFrame:
     return made.select("node", F.struct("a", "b").alias("head"), F.lit(0).cast("short").alias("choice"), "key")
 
 
+def near_by_head(key: np.ndarray, a: np.ndarray, b: np.ndarray, longest: int) -> np.ndarray:
+    """Which rows, sorted by key, have another of their key with a near head; all rows of a key with over ``longest`` pass."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    live = np.repeat(sizes > longest, sizes)
+    a, b = a.view(np.uint64), b.view(np.uint64)  # of signed numbers the bits of the absolute value would be counted
+    at, d = np.flatnonzero(~live), 0
+    while len(at):  # rows that have a row of their key d places on
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        open_ = at[~(live[at] & live[at + d])]
+        near = open_[np.bitwise_count(a[open_] ^ a[open_ + d]).astype(np.int16) + np.bitwise_count(b[open_] ^ b[open_ + d]) <= HEAD_DISTANCE]
+        live[near] = live[near + d] = True
+    return live
+
+
+def _met(keyed: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """The rows of ``keyed`` with a near head among those of their key.
+
+    Beyond 2**20 texts most keys are shared by chance, so this is told where a key's rows come together, before any is
+    kept. A key of over ``longest`` rows, as of a large group of near copies, is handed on as it comes.
+    """
+    names = ["node", "a", "b", "key"]
+
+    def run(batches):
+        held, over = [np.zeros(0, np.int64)] * 4, None  # the rows of a key that may go on; a long key's rows pass
+
+        def told(rows, live):
+            return pa.RecordBatch.from_arrays([pa.array(x[live]) for x in rows], names)
+
+        for batch in batches:
+            rows = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False)]) for h, c in zip(held, names)]
+            passed = np.searchsorted(rows[3], over, "right") if over is not None else 0
+            if passed:
+                yield told([x[:passed] for x in rows], slice(None))
+            rows = [x[passed:] for x in rows]
+            last = np.searchsorted(rows[3], rows[3][-1]) if len(rows[3]) else 0
+            if len(rows[3]) - last > longest:
+                over, last = rows[3][-1], len(rows[3])
+            done, held = [x[:last] for x in rows], [x[last:] for x in rows]
+            if last:
+                yield told(done, near_by_head(done[3], done[1], done[2], longest))
+        if len(held[3]):
+            yield told(held, near_by_head(held[3], held[1], held[2], longest))
+
+    dealt = keyed.select("node", "head.a", "head.b", "key").repartition("key").sortWithinPartitions("key")
+    made = dealt.mapInArrow(run, "node long, a long, b long, key long")
+    return made.select("node", F.struct("a", "b").alias("head"), F.lit(0).cast("short").alias("choice"), "key")
+
+
 def _similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The rows of ``pairs`` (u, v, ...) whose texts' shingles have that similarity. ``nodes`` has (node, th), ``texts`` (th, text)."""
     pairs = written(pairs, "pairs")
@@ -252,7 +308,7 @@ def link_components(nodes: DataFrame, distance: int = 4, bits: int = 64, blocks:
         choices = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), k.alias("key")) for i, k in enumerate(keys)])
         keyed = nodes.select("node", F.struct(F.get("w", F.lit(0)).alias("a")).alias("head"), F.explode(choices).alias("c")).select("node", "head", "c.choice", "c.key")
     else:
-        keyed = _wide_keyed(nodes, block)
+        keyed = written(_met(_wide_keyed(nodes, block)), "keyed")
 
     def close_indeed(pairs: DataFrame) -> DataFrame:
         """Of wide ones (u, v, ...), those that are within the distance and similar."""
